@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordvol.llm import exact_dedup, packing, token_output, url_filter
+from recordvol.llm import exact_dedup, packing, simhash, token_output, url_filter
 from recordvol.llm.url_filter import Rule
 
 URL_RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
@@ -39,13 +39,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_sequences(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), "dropped", end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_output, op4_url_filter, op7_exact_dedup, op9_packing)}
+    return {f.__name__: f for f in (op2_token_output, op4_url_filter, op7_exact_dedup, op8_simhash, op9_packing)}
 
 
 OP4_SQL = """
