@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordvol.llm import exact_dedup, packing, simhash, token_output, url_filter
+from recordvol.llm import exact_dedup, mixing, packing, simhash, token_output, url_filter
 from recordvol.llm.url_filter import Rule
 
 URL_RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
@@ -49,8 +49,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.plan(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_output, op4_url_filter, op7_exact_dedup, op8_simhash, op9_packing)}
+    return {f.__name__: f for f in (op2_token_output, op4_url_filter, op7_exact_dedup, op8_simhash, op9_packing, op10_mixing)}
 
 
 OP4_SQL = """
