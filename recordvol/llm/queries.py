@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordvol.llm import exact_dedup, mixing, packing, simhash, token_output, url_filter
+from recordvol.llm import exact_dedup, language_id, mixing, packing, simhash, token_output, url_filter
 from recordvol.llm.url_filter import Rule
 
 URL_RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
@@ -25,6 +25,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = token_output.write_tokens(docs, tokenizer_file("byte_bpe_50k.json"), "joined", end_id=2, vocabulary=VOCABULARY)
@@ -55,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_output, op4_url_filter, op7_exact_dedup, op8_simhash, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_output, op4_url_filter, op7_exact_dedup, op8_simhash, op9_packing, op10_mixing)}
 
 
 OP4_SQL = """
