@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordvol.llm import exact_dedup, language_id, mixing, packing, simhash, token_output, url_filter
+from recordvol.llm import exact_dedup, language_id, mixing, packing, simhash, token_output, toxicity, url_filter
 from recordvol.llm.url_filter import Rule
 
 URL_RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
@@ -36,6 +36,11 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -60,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_output, op4_url_filter, op7_exact_dedup, op8_simhash, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_output, op3_toxicity, op4_url_filter, op7_exact_dedup, op8_simhash, op9_packing, op10_mixing)}
 
 
 OP4_SQL = """
