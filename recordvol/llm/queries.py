@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordvol.llm import exact_dedup, language_id, mixing, packing, quality, simhash, token_output, toxicity, url_filter
+from recordvol.llm import ann, exact_dedup, language_id, mixing, packing, quality, simhash, token_output, toxicity, url_filter
 from recordvol.llm.url_filter import Rule
 
 URL_RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
@@ -50,6 +50,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), pages), pages)
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_output, op3_toxicity, op4_url_filter, op5_quality, op7_exact_dedup, op8_simhash, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_output, op3_toxicity, op4_url_filter, op5_quality, op6_ann, op7_exact_dedup, op8_simhash, op9_packing, op10_mixing)}
 
 
 OP4_SQL = """
