@@ -1,0 +1 @@
+"""Nothing here: the engine has batch operators only; results over a growing bars table are runs of the same plan."""
