@@ -107,7 +107,7 @@ def train(language: str, counts: dict[str, int], most: int = MOST_GRAMS) -> Mode
             before = np.zeros(len(gram), np.int64)
             place = np.searchsorted(gram, longer)
             np.add.at(before, place, 1)
-            raw = np.where(edge_start(n, where) | (before == 0), raw, before)
+            raw = np.where((n > 1) & edge_start(n, where) | (before == 0), raw, before)
         longer = hashes[n - 2][where] if n > 1 else None
         context = hashes[n - 2][where - 1] if n > 1 else np.zeros(len(gram), np.uint64)
         if len(gram) > most:
@@ -145,8 +145,9 @@ def word_scores(words: list[str], models: list[Model]) -> np.ndarray:
         part[:, 0] = np.add.reduceat((longest > 0).astype(np.float64), ends[:-1])
         chance = [np.full(len(longest), UNSEEN) for _ in models]
         weight = [np.full(len(longest), m.empty) for m in models]
+        reach = np.maximum(longest, 1)  # an edge before a word is no event of its own, but a context
         for n in range(1, ORDER + 1):
-            at = np.flatnonzero(longest >= n)
+            at = np.flatnonzero(reach >= n)
             gram, inverse = np.unique(hashes[n - 1][at], return_inverse=True)
             for k, m in enumerate(models):
                 if not len(m.hashes[n - 1]):

@@ -87,7 +87,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, ca
         bins, enc, out = Bins(capacity, TaskContext.get().partitionId() << 39), encoder(tokenizer, spaces), []
         for batch in batches:
             for part in slices(batch, 1):
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
+                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     out.extend(bins.add(doc_id, ids + end))
                     while len(out) >= BATCH:
                         yield _batch(out[:BATCH])

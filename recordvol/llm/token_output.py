@@ -9,8 +9,8 @@ blocks. A block has whole documents in ascending doc_id order: shard (its place
 shards), start (ids of its shard before it), doc_ids, lengths, control and data. Spark's writer
 commits whole files, so a lost executor leaves no half-written shard.
 
-Texts are put in order first and encoded once, with the tokenizer's own ids as ranks; counting and
-re-coding by rank then work on the coded blocks.
+Texts are put in order first and encoded once into plain blocks, whose tasks also count their ids;
+coding by rank then works on the plain blocks.
 
 Defined results: null and empty texts are the end id alone; repeated doc_ids follow each other in
 the order of their texts' hashes, null doc_ids come first; an empty table gives an empty file set;
@@ -24,16 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordvol.llm._common import new_path, slices, spread
 from recordvol.llm.tokenization import encoder, pack
 
 BLOCKS = "shard int, start long, doc_ids array<long>, lengths array<int>, control binary, data binary"
-_ARROW = pa.schema(
-    [("shard", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("control", pa.binary()), ("data", pa.binary())]
-)
+_HEAD = [("shard", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))]
+_ARROW = pa.schema([*_HEAD, ("control", pa.binary()), ("data", pa.binary())])
+#: Blocks before ranking: ids as they are, and in a task's last row how often each occurs.
+PLAIN = "shard int, start long, doc_ids array<long>, lengths array<int>, ids binary, counts binary"
+_PLAIN = pa.schema([*_HEAD, ("ids", pa.binary()), ("counts", pa.binary())])
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 18
 #: For each control byte the byte lengths of its four values; for each length the bits that count.
@@ -64,23 +66,30 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values & MASKS[lengths]
 
 
-def _blocks(shard: int, docs: Iterator[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
-    start, ids, parts, size = 0, [], [], 0
+def _row(schema: pa.Schema, *values: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema)], schema=schema)
+
+
+def _plain_blocks(shard: int, docs: Iterator[tuple[int | None, bytes]], vocabulary: int) -> Iterator[pa.RecordBatch]:
+    narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    total = np.zeros(vocabulary, dtype="<i8")
+    start, doc_ids, parts, size = 0, [], [], 0
 
     def full() -> pa.RecordBatch:
-        lengths = [len(p) // 4 for p in parts]
-        control, data = code(np.frombuffer(b"".join(parts), "<u4"))
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, start, ids, lengths, control, data), _ARROW)], schema=_ARROW)
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        np.add(total, np.bincount(ids, minlength=vocabulary), out=total)
+        return _row(_PLAIN, shard, start, doc_ids, [len(p) // 4 for p in parts], ids.astype(narrow).tobytes(), None)
 
-    for doc_id, coded in docs:
-        if size and size + len(coded) // 4 > BLOCK_IDS:
+    for doc_id, ids in docs:
+        if size and size + len(ids) // 4 > BLOCK_IDS:
             yield full()
-            start, ids, parts, size = start + size, [], [], 0
-        ids.append(doc_id)
-        parts.append(coded)
-        size += len(coded) // 4
-    if ids:
+            start, doc_ids, parts, size = start + size, [], [], 0
+        doc_ids.append(doc_id)
+        parts.append(ids)
+        size += len(ids) // 4
+    if doc_ids:
         yield full()
+        yield _row(_PLAIN, shard, start + size, [], [], b"", total.tobytes())
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]:
@@ -106,15 +115,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, voca
         def rows() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
                 for part in slices(batch, 1):
-                    yield from zip(part.column(0).to_pylist(), (x + end for x in enc.encode(part.column(1).to_pylist())))
+                    yield from zip(part.column(0).to_pylist(), (x + end for x in enc.encode(part.column(1))))
 
-        yield from _blocks(TaskContext.get().partitionId(), rows())
+        yield from _plain_blocks(TaskContext.get().partitionId(), rows(), vocabulary)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     rows = rows.repartitionByRange(spread(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     plain = new_path(spark, "plain-tokens")
-    rows.mapInArrow(encoded, BLOCKS).write.option("compression", "zstd").parquet(plain)
-    blocks = spark.read.schema(BLOCKS).parquet(plain)
+    rows.mapInArrow(encoded, PLAIN).write.option("compression", "zstd").parquet(plain)
+    blocks = spark.read.schema(PLAIN).parquet(plain)
 
     counted = _counts(blocks, vocabulary)
     counted.write.parquet(f"{path}/vocabulary")
@@ -125,27 +134,29 @@ def write_tokens(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, voca
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, "<u4")
-        for block, values in _values(batches):
-            block["control"], block["data"] = code(table[values])
-            yield pa.RecordBatch.from_pylist([block], schema=_ARROW)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.slice(i, 1).to_pylist()[0]
+                ids = np.frombuffer(block["ids"], "<u2" if vocabulary <= 1 << 16 else "<u4")
+                yield _row(_ARROW, *(block[f] for f, _ in _HEAD), *code(table[ids]))
 
-    blocks.mapInArrow(ranked, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/shards")
+    blocks.where("counts is null").drop("counts").mapInArrow(ranked, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/shards")
     return path
 
 
 def _counts(blocks: DataFrame, vocabulary: int) -> DataFrame:
     """rank, id and count of every id that occurs; at most `vocabulary` rows."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, dtype=np.int64)
-        for _, values in _values(batches):
-            total += np.bincount(values, minlength=vocabulary)
-        (seen,) = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"])
-
-    from pyspark.sql import Window
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, dtype="<i8")
+        for batch in batches:
+            for counts in batch.column(0):
+                total += np.frombuffer(counts.as_py(), "<i8")
+        (ids,) = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], names=["id", "n"])
 
-    sums = blocks.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("count"))
+    counted = blocks.where("counts is not null").select("counts")
+    sums = counted.mapInArrow(seen, "id long, n long").groupBy("id").agg(F.sum("n").alias("count"))
     place = Window.orderBy(F.desc("count"), "id")  # over the vocabulary, not over the corpus
     return sums.select((F.row_number().over(place) - 1).alias("rank"), "id", "count")
 

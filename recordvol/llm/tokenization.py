@@ -9,12 +9,22 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Most pieces kept at once by a Python worker, and the longest piece that is kept.
-MOST_PIECES, LONGEST_PIECE = 250_000, 64
+MOST_PIECES, LONGEST_PIECE = 400_000, 64
 #: Marks the piece at the start of a text. A text that has it itself is one piece.
 START = "\ue000"
+#: Signs that may end a piece without being part of its last word.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Pieces after which a text must be cut otherwise: none at all, or white space but for one line end.
+ODD = r"^$|^[^\S\n]|^[\x{85}\x{1C}-\x{1F}\p{Z}]|^\n$|^\n[\s\x{85}\x{1C}-\x{1F}\p{Z}]"
+#: Pieces in one call of the library.
+AT_ONCE = 2000
 
 
 class PieceEncoder:
@@ -35,52 +45,79 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text; None is empty."""
-        texts = [t or "" for t in texts]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; null is empty."""
+        texts = pc.fill_null(texts, "")
         if self.joined:
             # A piece stands for itself after a space, but for one that starts with a line end or the mark of a text's start.
-            cut = [(START + t).replace("\n", " \n").split(" ") if START not in t else [START + t] for t in texts]
+            cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(START, texts, ""), "\n", " \n"), " ")
         else:
-            cut = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = self._unknown(cut)
-        if self.joined and (odd := {p for p in fresh if _odd(p)}):
-            # With other runs of white space, a text is only cut at spaces before something visible.
-            for i, c in enumerate(cut):
-                if START not in texts[i] and not odd.isdisjoint(c):
-                    cut[i] = re.split(r" (?=\S)", START + texts[i])
-            fresh = self._unknown(cut)
-        known = self._learned(fresh)
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
-
-    def _unknown(self, cut: list[list[str]]) -> set[str]:
+            cut = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        flat = pc.dictionary_encode(cut.flatten())
+        pieces, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
+        odd = np.zeros(len(pieces), bool)
+        if self.joined:
+            odd = pc.match_substring_regex(flat.dictionary, ODD).to_numpy(zero_copy_only=False)
         if len(self.known) > self.most:
             self.older, self.known = self.known, {}
-        fresh = set().union(*cut) - self.known.keys()
-        again = {p: self.older[p] for p in fresh & self.older.keys()}
-        self.known.update(again)
-        return fresh - again.keys()
+        ids = list(map(self.known.get, pieces))
+        fresh = [i for i, x in enumerate(ids) if x is None]
+        known = self._table({pieces[i] for i in fresh if not odd[i]})
+        for i in fresh:
+            ids[i] = b"" if odd[i] else known[pieces[i]]
+
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        table = np.frombuffer(b"".join(ids), "<u4")
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        out = table[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)].tobytes() if total else b""
+        offsets = cut.offsets.to_numpy(zero_copy_only=False)
+        at = np.concatenate([[0], ends * 4])[offsets - offsets[0]].tolist()
+        found = [out[x:y] for x, y in zip(at, at[1:])]
 
-    def _learned(self, fresh: set[str]) -> dict[str, bytes]:
-        """A table that has all pieces. Long ones are only in a copy that the caller lets go."""
-        pieces = list(fresh)
-        ids = self.tokenizer.encode_batch_fast([_text(p) for p in pieces] if self.joined else pieces, add_special_tokens=False)
-        long = {}
-        for p, x in zip(pieces, ids):
-            (self.known if len(p) <= LONGEST_PIECE else long)[p] = pack(x.ids)
-        return self.known | long if long else self.known
+        if self.joined:
+            # With other runs of white space, a text is only cut at spaces before something visible.
+            has = np.concatenate([[0], np.cumsum(odd[codes])])[offsets - offsets[0]]
+            marked = pc.match_substring(texts, START).to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero((np.diff(has) > 0) | marked).tolist():
+                text = texts[i].as_py()
+                own = [START + text] if marked[i] else re.split(r" (?=\S)", START + text)
+                table = self._table(set(own))
+                found[i] = b"".join(map(table.__getitem__, own))
+        return found
+
+    def _table(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of these pieces."""
+        found = {p: self.older[p] for p in pieces & self.older.keys()}
+        fresh = [p for p in pieces if p not in found]
+        cores = [p.rstrip(SIGNS) for p in fresh]
+        # Signs after a letter are cut off by both tokenizers, and what stands before them is often known.
+        cores = [c if c and c[-1].isalpha() else p for p, c in zip(fresh, cores)]
+        wanted = {c for c in cores if c not in self.known and c not in found}
+        signs = {p[len(c) :] for p, c in zip(fresh, cores)}
+        found.update(self._ids(wanted))
+        ends = dict(self._ids(signs, lead=""))
+        for p, c in zip(fresh, cores):
+            if p is not c:
+                found[p] = (self.known.get(c) or found[c]) + ends[p[len(c) :]]
+        self.known.update(found if max(map(len, found), default=0) <= LONGEST_PIECE else {p: x for p, x in found.items() if len(p) <= LONGEST_PIECE})
+        return {p: found.get(p) or self.known.get(p, b"") for p in pieces}
+
+    def _ids(self, pieces: set[str], lead: str | None = None) -> Iterator[tuple[str, bytes]]:
+        pieces = list(pieces)
+        for i in range(0, len(pieces), AT_ONCE):
+            part = pieces[i : i + AT_ONCE]
+            texts = [_text(p) for p in part] if self.joined and lead is None else part
+            for p, x in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                yield p, pack(x.ids)
 
 
 def pack(ids: Sequence[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _odd(piece: str) -> bool:
-    if not piece or piece == "\n":
-        return True
-    return piece[0].isspace() and (piece[0] != "\n" or piece[1].isspace())
-
-
 def _text(piece: str) -> str:
     if piece.startswith(START):
         return piece[1:]
