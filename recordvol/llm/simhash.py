@@ -9,6 +9,12 @@ more segments and so finer tiles; the result is exact with any number.
 A pair of tiles gives at most one link per fingerprint (a spanning forest of what it found), never
 all pairs of a group, and components of the links are found by contraction.
 
+`deduplicate_similar` is for near copies by similarity of shingle sets, which a small radius misses:
+at similarity 0.8 about 10 of 64 bits differ, and by a radius that wide every fingerprint would have
+to be compared with every other. So texts that share a band of MinHash values meet in a bucket, a
+bucket gives the links of a minimum spanning tree by fingerprint distance (all pairs where it has
+few texts), and every link is checked on the shingle sets before it counts.
+
 Defined results: null, empty and white-space texts have no words and the fingerprint zero, linked
 like any other; texts with fewer words than a shingle are one shingle; repeated rows share a node;
 a null doc_id has the component of its fingerprint and never names one unless all ids are null; an
@@ -33,17 +39,32 @@ from recordvol.llm.components import components
 TILE = 1 << 15
 #: Fingerprints compared at once: rows and columns of a block.
 BLOCK = (1 << 9, 1 << 12)
+#: Bands of MinHash values, and values of a band: a pair of similarity 0.8 shares one with chance 0.9993.
+BANDS, BAND = 24, 6
+#: Texts of a bucket that one task takes as its own, and of one whose pairs are all checked.
+BUCKET, FEW = 1 << 13, 64
+_MIX = np.random.default_rng(8).integers(0, 1 << 32, (2, BANDS * BAND), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
+_FOLD = np.random.default_rng(9).integers(0, 1 << 63, (2, BAND), dtype=np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash of UTF-8 text: A-Z lower-cased, ASCII white space between words."""
+    h = shingles(text, words, seed)
+    return _fingerprint(h) if len(h) else 0
+
+
+def shingles(text: bytes | None, words: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the shingles of UTF-8 text in order, repeated ones too; none for a text without words."""
     import xxhash
 
     w = (text or b"").lower().split()  # for bytes, exactly A-Z and [\x20\x09-\x0D]
     if not w:
-        return 0
-    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), "<u8")
+        return np.zeros(0, "<u8")
+    found = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), found), "<u8")
+
+
+def _fingerprint(h: np.ndarray) -> int:
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     whole = len(bits) // 255 * 255  # sums of 255 bits fit into a byte
     counts = bits[whole:].sum(axis=0, dtype=np.int64)
@@ -181,7 +202,12 @@ def deduplicate(docs: DataFrame, text: str = "text", words: int = 3, radius: int
     rows = stored(fingerprints(docs, text, words), "simhash")
     nodes, roots = _grouped(rows, radius)
     several = nodes.join(roots, "fp", "left").where("n > 1 or root is not null").select("fp", F.coalesce("root", "fp").alias("root"), "n")
-    members = lookup(rows, stored(several, "several"), "fp", "n").where("root is not null")
+    return _first_rows(docs, rows, several, "fp", text)
+
+
+def _first_rows(docs: DataFrame, rows: DataFrame, several: DataFrame, node: str, text: str) -> DataFrame:
+    """The rows of docs that stay, given rows (doc_id, h, node) and the root and rows n of nodes in groups of several."""
+    members = lookup(rows, stored(several, "several"), node, "n").where("root is not null")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     first = members.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("size"))
     members = stored(members.drop("n").withColumn("place", place), "members")
@@ -195,3 +221,105 @@ def deduplicate(docs: DataFrame, text: str = "text", words: int = 3, radius: int
     same = Window.partitionBy("_rv_key", "_rv_alone").orderBy(F.lit(1))
     mine = mine.withColumn("_rv_rank", F.row_number().over(same)).where("_rv_rank = 1")
     return keyed.where("not _rv_member").select(*docs.columns).unionByName(mine.select(*docs.columns))
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A bucket for each band of MinHash values of a text's shingle hashes; texts without words share theirs."""
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * BAND, (1 << 32) - 1, np.uint32)
+    for i in range(0, len(low), 1024):
+        least = np.minimum(least, ((low[i : i + 1024, None] ^ _MIX[1]) * _MIX[0]).min(axis=0))
+    mixed = (least.reshape(BANDS, BAND).astype(np.uint64) + _FOLD[1]) * _FOLD[0]
+    mixed = (mixed ^ (mixed >> np.uint64(29))).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    return (mixed * _FOLD[0, 0]).view(np.int64)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, 2):
+            hashes = [shingles(t, words) for t in part.column(2).to_pylist()]
+            fp = np.array([_fingerprint(h) if len(h) else 0 for h in hashes], dtype=np.uint64).view(np.int64)
+            buckets = pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), buckets], names=["doc_id", "h", "fp", "bands"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, 1):
+            sets = [np.unique(shingles(t, words)).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["h", "shingles"])
+
+
+def _near(nodes: DataFrame, bucket: int) -> DataFrame:
+    """a, b: pairs of texts (h, fp, bands; one row per h) to check; of each bucket a spanning tree at least.
+
+    A bucket with more than `bucket` texts is dealt into parts and every two parts are one piece of
+    work; the trees of the pieces hold that of the whole.
+    """
+    placed = nodes.select("h", "fp", F.explode("bands").alias("bucket"))
+    placed = placed.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
+    parts = F.ceil(F.col("n") / bucket).cast("int")
+    placed = placed.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("h", F.lit(3)), parts).cast("int")})
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or other <> part")
+    work = placed.select("bucket", (F.least("part", "other") * F.col("parts").cast("long") + F.greatest("part", "other")).alias("piece"), "h", "fp")
+    work = work.repartition(spread(nodes), "bucket", "piece").sortWithinPartitions("bucket", "piece")
+    return work.mapInArrow(_trees, "a long, b long").distinct()
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for h, fp in _tiles(batches):
+        if len(h) > 1:
+            a, b = np.triu_indices(len(h), 1) if len(h) <= FEW else _tree(fp.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(h[a], h[b])), pa.array(np.maximum(h[a], h[b]))], names=["a", "b"])
+
+
+def _tree(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the links of a minimum spanning tree by differing bits (Prim's)."""
+    left = np.arange(1, len(fp))
+    off, to = np.bitwise_count(fp[1:] ^ fp[0]), np.zeros(len(left), np.int64)
+    a, b = np.empty(len(left), np.int64), np.empty(len(left), np.int64)
+    for i in range(len(a)):
+        at = int(off.argmin())
+        a[i], b[i] = left[at], to[at]
+        new = left[at]
+        for x in (left, off, to):  # the last one takes its place
+            x[at] = x[-1]
+        left, off, to = left[:-1], off[:-1], to[:-1]
+        d = np.bitwise_count(fp[left] ^ fp[new])
+        nearer = d < off
+        off[nearer], to[nearer] = d[nearer], new
+    return a, b
+
+
+def _checked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        stays = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            stays.append(both >= least * (len(x) + len(y) - both))
+        yield batch.select([0, 1]).filter(pa.array(stays, pa.bool_()))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, text: str = "text", words: int = 5, least: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """a, b: links of texts (by hash) whose shingle sets have Jaccard similarity `least` or more."""
+    pairs = stored(_near(nodes, bucket), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("pairs"))
+    ends = stored(ends, "ends")
+    rows = marked(docs.select(F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text")), F.col("h"), ends.select("h"), "_rv_end", 1 << 20)
+    sets = rows.where("_rv_end").select("h", "text").mapInArrow(partial(_shingle_sets, words=words), "h long, shingles binary")
+    sets = stored(sets.dropDuplicates(["h"]).join(ends, "h"), "shingles")
+    side = lambda name, column: sets.select(F.col("h").alias(name), F.col("shingles").alias(column), "pairs")
+    found = lookup(pairs, side("a", "x"), "a", "pairs").drop("pairs")
+    found = lookup(found, side("b", "y"), "b", "pairs").select("a", "b", "x", "y")
+    return found.mapInArrow(partial(_checked, least=least), "a long, b long")
+
+
+def deduplicate_similar(docs: DataFrame, text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs that stay, with all columns: of each group linked by `similar_links` the row of the smallest doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text"))
+    rows = stored(rows.mapInArrow(partial(_signatures, words=words), "doc_id long, h long, fp long, bands array<long>"), "signatures")
+    nodes = stored(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n")), "texts")
+    roots = components(similar_links(docs, nodes, text, words, least)).select(F.col("node").alias("h"), "root")
+    several = nodes.join(roots, "h", "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"), "n")
+    return _first_rows(docs, rows.select("doc_id", "h"), several, "h", text)
