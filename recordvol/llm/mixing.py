@@ -5,8 +5,13 @@ that the cube method draws with inclusion probability r - floor(r). The draw is
 the number of documents and the number of words of each source at their expected totals. Each
 flight step moves three probabilities along the null space of these two constraints until one is 0
 or 1. Blocks of a source fly independently; at most two undecided documents of each block go on to
-the next level, until one block a source is left. There the largest and the smallest few stay out
-of the flight, and this landing problem of at most 16 documents is decided by trying all outcomes.
+the next level, with the largest and the smallest few, which stay out of the flight, until the
+source has one block. There this landing problem of at most 16 documents is decided by trying all
+outcomes. A source lands when it has one block itself, whatever the others have.
+
+A source's very long documents are settled before, as small documents cannot make up for half of
+one in the landing. What they take more or less than expected is spread over the chances of the
+source's other documents, so the expected words still equal the target.
 
 Blocks are drawn by hash of the document's id, so a source with a third of all rows is as many
 groups as its size needs, and reruns agree whatever the partitions.
@@ -32,10 +37,12 @@ from recordvol.llm._common import stored
 BLOCK = 4096
 #: The largest and the smallest documents of a source's last block that only land.
 LANDING = (8, 6)
+#: A document of more than so many mean sizes of its source is very long; most of a source that are settled first.
+LONG, MOST_LONG = 20, 256
 WEIGHTS = (1, 2, 3)
 #: A target is at most so many times its source.
 MOST = 3
-FLIGHT = "doc_id long, h long, source string, size long, chance double, copies int, block long"
+FLIGHT = "doc_id long, h long, source string, size long, chance double, copies int, block long, blocks long"
 
 
 def words(text: Column) -> Column:
@@ -85,18 +92,21 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", weights: t
         (ratio - F.floor(ratio)).alias("chance"),
         F.floor(ratio).cast("int").alias("copies"),
         F.pmod(F.xxhash64("x.doc_id", "x.h"), blocks).alias("block"),
+        blocks.alias("blocks"),
+        "y.docs", "y.source_size",
     )
     most_blocks = wanted.agg(F.max(F.ceil(F.col("docs") / block))).first()[0] or 0
-    decided, level = [], 0
+    decided, level, factor = [], 0, max(2, block // sum(LANDING, 2))
+    flying, long = _settled(flying)
+    decided.append(long)
     while True:
-        last = most_blocks <= 1
-        flown = stored(flying.groupBy("source", "block").applyInPandas(_flights(level, land=last), FLIGHT), "flight")
+        flown = stored(flying.groupBy("source", "block").applyInPandas(_flights(level), FLIGHT), "flight")
         decided.append(flown.where("chance = 0 or chance = 1"))
-        if last:
+        if most_blocks <= 1:
             break
-        # At most two documents a block are open: each next level has one block for `block` documents of this one.
-        flying = flown.where("chance > 0 and chance < 1").withColumn("block", F.floor(F.col("block") / (block // 2)))
-        most_blocks, level = -(-most_blocks // (block // 2)), level + 1
+        # At most 16 documents a block are open: each next level has one block for `factor` blocks of this one.
+        flying = flown.where("chance > 0 and chance < 1").withColumn("block", F.floor(F.col("block") / factor)).withColumn("blocks", F.ceil(F.col("blocks") / factor))
+        most_blocks, level = -(-most_blocks // factor), level + 1
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
@@ -104,19 +114,43 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", weights: t
     return out.alias("x").join(wanted.alias("y"), same).select("x.doc_id", "x.h", "x.source", "x.size", "y.source_size", "y.target", "x.copies")
 
 
-def _flights(level: int, land: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _settled(flying: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents that fly, with the chances that are left to them, and the very long ones, decided."""
+    columns = [c.split()[0] for c in FLIGHT.split(", ")]
+    by_size = Window.partitionBy("source").orderBy(F.desc("size"), "h", "doc_id")
+    is_long = (F.col("size") * F.col("docs") > LONG * F.col("source_size")) & (F.col("chance") > 0)
+    long = flying.where(is_long).withColumn("place", F.row_number().over(by_size)).where(F.col("place") <= MOST_LONG)
+    settle = long.select(*columns[:-2], F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("blocks"), F.col("chance").alias("was"))
+    decide = _flights(0)
+    settled = settle.groupBy("source").applyInPandas(lambda pdf: decide(pdf.drop(columns="was")).assign(was=pdf["was"].iloc[0]), f"{FLIGHT}, was double")
+    settled = stored(settled, "settled")
+    # Ties in order of the window are rows alike in size, text and id; of those only the number settled counts.
+    key = ["source", "size", "h", "doc_id"]
+    done = settled.groupBy(*key).agg(F.count("*").alias("done"))
+    over = settled.groupBy("source").agg(F.sum((F.col("was") - F.col("chance")) * F.col("size")).alias("over"), F.sum("size").alias("words"))
+    same = lambda t, ks: [F.col(f"f.{k}").eqNullSafe(F.col(f"{t}.{k}")) for k in ks]
+    rest = flying.alias("f").join(F.broadcast(over).alias("o"), same("o", ["source"]), "left")
+    maybe = is_long & F.col("o.words").isNotNull()
+    rest = rest.select("f.*", "over", "words", F.coalesce(maybe, F.lit(False)).alias("maybe"))
+    few = rest.where("maybe").alias("f").join(done.alias("d"), same("d", key), "left").select("f.*", F.coalesce("done", F.lit(0)).alias("done"))
+    few = few.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("size"))).where("nth > done").drop("nth", "done")
+    rest = rest.where("not maybe").unionByName(few)
+    moved = F.col("chance") + F.col("over") / (F.col("source_size") - F.col("words"))
+    chance = F.when(F.col("over").isNotNull() & (F.col("chance") > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved))).otherwise(F.col("chance"))
+    return rest.withColumn("chance", chance).select(*columns), settled.select(*columns)
+
+
+def _flights(level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable", ignore_index=True)
         chance, size = pdf["chance"].to_numpy(float).copy(), pdf["size"].to_numpy(float)
         seed = [int(x) & 0xFFFFFFFF for x in (pdf["h"].iloc[0], pdf["block"].iloc[0], level)]
-        fly = np.arange(len(pdf))
-        if land:
-            by_size = np.argsort(-size, kind="stable")
-            by_size = by_size[(chance[by_size] > 0) & (chance[by_size] < 1)]
-            stay = np.unique(np.concatenate([by_size[:LANDING[0]], by_size[-LANDING[1]:]]))
-            fly = np.setdiff1d(fly, stay)
+        by_size = np.argsort(-size, kind="stable")
+        by_size = by_size[(chance[by_size] > 0) & (chance[by_size] < 1)]
+        stay = np.unique(np.concatenate([by_size[:LANDING[0]], by_size[-LANDING[1]:]]))
+        fly = np.setdiff1d(np.arange(len(pdf)), stay)
         chance[fly], open_ = flight(chance[fly], size[fly], np.random.default_rng(seed))
-        if land:
+        if pdf["blocks"].iloc[0] <= 1:
             few = np.concatenate([stay, fly[open_]]).astype(int)
             chance[few] = landing(chance[few], size[few])
         return pdf.assign(chance=chance)
