@@ -7,9 +7,11 @@ the lowest cross-entropy per character. As the score of a word does not depend o
 distinct words are scored once and texts are sums over them.
 
 The confidence is the softmax of the cross-entropies at a temperature fitted on labelled texts that
-the models have not seen; the same texts give, per language, the largest cross-entropy of its own
-texts. A text is rejected as in none of the learned languages beyond the middle between that and
-the cross-entropy of characters no model has seen.
+the models have not seen. The same texts give, per language, the limit beyond which a text is
+rejected as in none of the learned languages: a high quantile of its own texts' cross-entropies,
+held to a few robust deviations from their median so that single noisy texts do not move it, then
+a part of the way (GAP) to the low quantile of the other languages' texts, and for short texts a
+margin that falls with the square root of the length.
 
 Fitting takes a bounded sample: of each language at most SAMPLE documents with TRAIN_CHARS
 characters in all, drawn by hash. A language's model has at most ORDER * MOST_GRAMS entries of 16
@@ -43,6 +45,10 @@ SAMPLE, TRAIN_CHARS, MOST_GRAMS = 1200, 600_000, 150_000
 UNSEEN = 1e-4
 #: Distinct words a Python worker keeps scores of, and words scored at once.
 MOST_WORDS, CHUNK = 250_000, 50_000
+#: Quantiles of own and other texts, deviations (in nats at least) own texts may be off, part of the gap to the others' texts.
+OWN, OTHER, DEVIATIONS, LEAST_OFF, GAP = 0.99, 0.01, 6, 0.3, 1 / 3
+#: Nats instead of the gap where no other language is learned; deviations of one character's cost in the margin.
+ALONE, MARGIN = 0.3, 4
 EDGE = "\x02"
 _STEP, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _OTHER = re.compile(r"[\W\d_]+")
@@ -195,11 +201,13 @@ class Scorer:
 
 @dataclass(frozen=True)
 class Identifier:
-    """Models with their calibration: temperature, and per language the largest cross-entropy accepted."""
+    """Models with their calibration: temperature, and per language the largest cross-entropy accepted, which
+    for a text of n characters is limits + margins / sqrt(n)."""
 
     models: list[Model]
     temperature: float
     limits: np.ndarray
+    margins: np.ndarray
 
     def judge(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Language's place (-1: none), confidence, cross-entropy, whether accepted."""
@@ -211,7 +219,7 @@ class Identifier:
         best = np.argmin(cross, axis=1)
         least = cross[np.arange(len(n)), best]
         odds = np.exp(-(cross - least[:, None]) * self.temperature * np.sqrt(np.maximum(n, 1))[:, None])
-        return np.where(some, best, -1), np.where(some, 1 / odds.sum(axis=1), 0.0), np.where(some, least, np.nan), some & (least <= self.limits[best])
+        return np.where(some, best, -1), np.where(some, 1 / odds.sum(axis=1), 0.0), np.where(some, least, np.nan), some & (least <= self.limits[best] + self.margins[best] / np.sqrt(np.maximum(n, 1)))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, chars: int = TRAIN_CHARS) -> Identifier:
@@ -219,7 +227,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out())
     count = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.count("*")).collect()}  # a row per language
     if not count:
-        return Identifier([], 1.0, np.zeros(0))
+        return Identifier([], 1.0, np.zeros(0), np.zeros(0))
     # A first draw by hash keeps about twice the sample, whatever the corpus has; then the bounds hold exactly.
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40))
     below = F.create_map(*[x for k, v in count.items() for x in (F.lit(k), F.lit(min(1 << 40, int((1 << 40) * 2 * sample / v))))])
@@ -274,8 +282,8 @@ def _calibrated(models: list[Model], seen: pd.DataFrame) -> Identifier:
     n, cross = seen["n"].to_numpy(), -seen.filter(like="l").drop(columns="lang").to_numpy() / np.maximum(seen["n"].to_numpy(), 1)[:, None]
     place = {m.language: i for i, m in enumerate(models)}
     label = seen["lang"].map(place).to_numpy(int) if len(seen) else np.zeros(0, int)
-    own = [cross[label == k, k] for k in range(len(models))]
-    limits = np.array([(max(x, default=0.0) - np.log(UNSEEN)) / 2 for x in own])
+    bounds = [_limit(cross[label == k, k], n[label == k], cross[label != k, k]) for k in range(len(models))]
+    limits, margins = np.array([x[0] for x in bounds]), np.array([x[1] for x in bounds])
     best, temperature = -np.inf, 1.0
     for t in np.geomspace(0.05, 20, 40) if len(seen) else []:
         z = -cross * t * np.sqrt(n)[:, None]
@@ -283,7 +291,18 @@ def _calibrated(models: list[Model], seen: pd.DataFrame) -> Identifier:
         fit_ = (z[np.arange(len(z)), label] - np.log(np.exp(z).sum(axis=1))).mean()
         if fit_ > best:
             best, temperature = fit_, float(t)
-    return Identifier(models, temperature, limits)
+    return Identifier(models, temperature, limits, margins)
+
+
+def _limit(own: np.ndarray, n: np.ndarray, others: np.ndarray) -> tuple[float, float]:
+    """Limit of long texts and margin of one character, from cross-entropies of own texts of n characters and of others."""
+    if not len(own):  # too few texts to calibrate: only what no model has seen goes
+        return -np.log(UNSEEN) / 2, 0.0
+    middle = float(np.median(own))
+    off = 1.4826 * float(np.median(np.abs(own - middle)))
+    high = min(float(np.quantile(own, OWN)), middle + max(DEVIATIONS * off, LEAST_OFF))
+    gap = max(0.0, float(np.quantile(others, OTHER)) - high) * GAP if len(others) else ALONE
+    return high + gap, MARGIN * 1.4826 * float(np.median(np.abs(own - middle) * np.sqrt(n)))
 
 
 def identify(docs: DataFrame, model: Identifier, text: str = "text") -> DataFrame:
