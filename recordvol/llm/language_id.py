@@ -14,7 +14,8 @@ a part of the way (GAP) to the low quantile of the other languages' texts, and f
 margin that falls with the square root of the length.
 
 Fitting takes a bounded sample: of each language at most SAMPLE documents with TRAIN_CHARS
-characters in all, drawn by hash. A language's model has at most ORDER * MOST_GRAMS entries of 16
+characters in all, drawn by hash; of a document longer than 1/LONGEST of these characters, that many
+from its start, so no single one displaces the others. A language's model has at most ORDER * MOST_GRAMS entries of 16
 bytes, so what is broadcast is bounded by the number of languages alone.
 
 Defined results: a null text, an empty one and one without a letter have language `und`, score 0
@@ -41,6 +42,8 @@ from recordvol.llm._common import held_out, slices
 ORDER = 5
 #: Bounds of the sample of each language, and of an order of its model.
 SAMPLE, TRAIN_CHARS, MOST_GRAMS = 1200, 600_000, 150_000
+#: A document gives at most this part of TRAIN_CHARS to the sample.
+LONGEST = 40
 #: Probability of a character no model has seen.
 UNSEEN = 1e-4
 #: Distinct words a Python worker keeps scores of, and words scored at once.
@@ -228,19 +231,24 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     count = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.count("*")).collect()}  # a row per language
     if not count:
         return Identifier([], 1.0, np.zeros(0), np.zeros(0))
+    drawn = _sampled(rows, count, text, lang, sample, chars)
+    fitted = drawn.groupBy("lang").applyInPandas(_train_one, "lang string, arrays array<binary>, empty double").collect()  # bounded models
+    models = [_unpacked(r) for r in sorted(fitted, key=lambda r: r["lang"])]
+    seen = drawn.where("place % 3 = 0").select("lang", "text").mapInArrow(_sums_of(models), _sums_schema(models, "lang string")).toPandas()  # sums only
+    return _calibrated(models, seen)
+
+
+def _sampled(rows: DataFrame, count: dict[str, int], text: str, lang: str, sample: int, chars: int) -> DataFrame:
+    """lang, text, draw, place, chars of the documents that are learned from or calibrate."""
     # A first draw by hash keeps about twice the sample, whatever the corpus has; then the bounds hold exactly.
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40))
     below = F.create_map(*[x for k, v in count.items() for x in (F.lit(k), F.lit(min(1 << 40, int((1 << 40) * 2 * sample / v))))])
     drawn = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw")).where(F.col("draw") < below[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
+    drawn = drawn.withColumn("text", F.substring("text", 1, max(1, chars // LONGEST)))
     drawn = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
     size = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    drawn = drawn.withColumn("chars", size).where((F.col("chars") <= chars) | (F.col("place") <= 3))
-
-    fitted = drawn.groupBy("lang").applyInPandas(_train_one, "lang string, arrays array<binary>, empty double").collect()  # bounded models
-    models = [_unpacked(r) for r in sorted(fitted, key=lambda r: r["lang"])]
-    seen = drawn.where("place % 3 = 0").select("lang", "text").mapInArrow(_sums_of(models), _sums_schema(models, "lang string")).toPandas()  # sums only
-    return _calibrated(models, seen)
+    return drawn.withColumn("chars", size).where((F.col("chars") <= chars) | (F.col("place") <= 3))
 
 
 def _train_one(pdf: pd.DataFrame) -> pd.DataFrame:

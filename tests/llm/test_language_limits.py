@@ -21,3 +21,12 @@ def test_unlearned_latin_language_and_random_letters_are_rejected(spark):
     rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60))) for i in range(20)]
     odd = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model)
     assert odd.where(F.col("accepted")).count() == 0
+
+
+def test_one_very_long_document_does_not_displace_the_others(spark):
+    rows = [(i, "xy", f"some words of number {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    first = docs.orderBy(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40))).first()["doc_id"]
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("long "), 5000)).otherwise(F.col("text")))
+    found = language_id._sampled(docs, {"xy": 300}, "text", "lang", 1200, 20_000)
+    assert found.count() == 300
