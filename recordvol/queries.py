@@ -316,6 +316,14 @@ def close_matrix(spark, sf_dir):
     return matrix.matrix(orders.bars(spark, sf_dir, "daily"), MATRIX_TICKERS)
 
 
+_INDEXES = " OR ".join(f"contains(ticker, '{p}')" for p in matrix.INDEXES)
+
+
+@_query(f"""WITH {STATS_SQL} SELECT d, ticker, close, reason = 'Valid data' AS valid FROM daily JOIN verdict USING (timeframe, ticker) WHERE NOT ({_INDEXES})""")
+def close_matrix_all(spark, sf_dir):
+    return matrix.long(orders.bars(spark, sf_dir, "daily"))
+
+
 # --- Universe --------------------------------------------------------------------------------------------------------
 
 
@@ -345,6 +353,12 @@ def rating_flags(spark, sf_dir):
     return flags.select("place", "rating_Strong_sell", "rating_Strong_buy")
 
 
+@_query(f"""WITH {UNIVERSE_SQL} SELECT place, rating = 'Strong sell' AS "rating_Strong_sell", rating = 'Neutral' AS "rating_Neutral", rating = 'Strong-buy' AS "rating_Strong_buy" FROM clean""")
+def rating_flags_all(spark, sf_dir):
+    flags = universe.category_flags(clean_universe(spark, sf_dir), "analyst rating", "rating_", ("Strong sell", "Neutral", "Strong-buy"))
+    return flags.select("place", "rating_Strong_sell", "rating_Neutral", "rating_Strong_buy")
+
+
 @_query(f"WITH {UNIVERSE_SQL} SELECT DISTINCT place, ticker FROM member WHERE index_name IN ('NASDAQ100', 'Russell1000')")
 def choice_filter_or(spark, sf_dir):
     return universe.members(clean_universe(spark, sf_dir), 9).select("place", "ticker")
