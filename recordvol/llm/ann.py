@@ -5,15 +5,20 @@ need; so a vector that a third of all rows share costs one node. The splits are
 SAMPLE nodes: a tree halves them at the median of their projection on the difference of two random
 ones. Every node is then put into one leaf of each tree.
 
-A query descends all trees at once: one queue holds the open branches of all trees by how far the
-query is on their wrong side, and the nearest is followed until the leaves taken hold enough
-candidates. How many are enough is measured: PROBES nodes of the sample are compared with all nodes
-exactly, and the search goes as far as RECALL of their true neighbours need. Queries meet the nodes of their leaves in the task of the leaf, where cosines are
-computed in double precision on the original vectors and the best of each leaf kept; the best of
-all leaves follow by rank. With few nodes every leaf is taken and the result is exact.
+A query descends all trees at once: one queue holds the open branches of all trees by how far in
+sum the query is on their wrong sides, and the nearest is followed until the leaves taken hold
+enough candidates. How many are enough is measured: PROBES nodes of the sample are compared with all
+nodes exactly, and the search goes as far as RECALL of their true neighbours need.
+
+Leaves are laid out in parts of at most PART nodes (a larger leaf is several parts). A part's nodes
+meet the queries that look at any of its leaves, each query once a part with the list of these
+leaves. The part gives one row a query: the best of all its leaves, with cosines computed anew in
+extended precision on the original vectors. So rows are at most queries times parts, whatever the
+leaves hold, and a task holds one part. With few nodes every leaf is taken and the result is exact.
 
 Defined results: null and zero vectors, vectors with null or non-finite components, of another
-length than most, and rows with a null identifier take no part; ties go to the smaller identifier;
+length than most, and rows with a null identifier take no part; ties go to the smaller identifier,
+also of parallel vectors, as a cosine is rounded to double once; vectors of any magnitude take part;
 rows that repeat an identifier are the query's own as well; an empty table gives no rows; other
 columns are ignored.
 """
@@ -32,9 +37,9 @@ from pyspark.sql import functions as F
 from recordvol.llm._common import lookup, spread, stored
 
 #: Nodes the splits are fitted on, trees, nodes of a leaf about, probes, share of their neighbours wanted.
-SAMPLE, TREES, LEAF, PROBES, RECALL = 20_000, 6, 400, 96, 0.96
-#: Least candidates of a query.
-LEAST = 2000
+SAMPLE, TREES, LEAF, PROBES, RECALL = 20_000, 4, 300, 256, 0.965
+#: Least candidates of a query; most nodes of a part; queries and nodes compared at once.
+LEAST, PART, BLOCK = 2000, 1 << 16, (256, 4096)
 
 
 @dataclass(frozen=True)
@@ -69,7 +74,7 @@ class Forest:
                     wrong, t, at = heapq.heappop(queue)
                     while at < inner:
                         x = side[t][at]
-                        heapq.heappush(queue, (max(wrong, abs(x)), t, 2 * at + (1 if x > 0 else 2)))
+                        heapq.heappush(queue, (wrong + abs(x), t, 2 * at + (1 if x > 0 else 2)))
                         at = 2 * at + (2 if x > 0 else 1)
                     leaf = t * 2**self.depth + at - inner
                     if sizes[leaf]:
@@ -134,58 +139,100 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 5, vec_id: str = "vec
     kind = "<f4" if nodes.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     shared = spark.sparkContext.broadcast(forest)
 
-    placed = nodes.select("node", "embedding").mapInArrow(_indexed(shared, kind), "leaf long, role int, id long, v binary")
+    placed = nodes.select("node", "embedding").mapInArrow(_indexed(shared, kind), "node long, leaves array<int>, v binary")
     placed = stored(placed, "leaves")
     sizes = np.zeros(TREES * 2**depth, np.int64)
-    for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # at most the leaves of the forest
+    for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect():  # at most the leaves of the forest
         sizes[r["leaf"]] = r["n"]
     if search is None:
         probes = np.arange(len(sample))[:: max(1, len(sample) // PROBES)][:PROBES]
         search = _enough(nodes, forest, sizes, [sample[i]["node"] for i in probes], points[probes], k)
-    asking = asked.select("q", "embedding").mapInArrow(_asking(shared, kind, sizes, search), "leaf long, role int, id long, v binary")
-    work = placed.unionByName(asking).repartition(spread(vectors), "leaf").sortWithinPartitions("leaf", "role")
-    near = work.mapInArrow(_ranked(kind, k + 1), "q long, node long, score double")
-
-    near = near.groupBy("q", "node").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "node")
-    near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
-    named = near.join(nodes.select("node", "ids"), "node").select("q", "score", F.explode("ids").alias("vec_id"))
-    entry = F.struct((-F.col("score")).alias("away"), "vec_id", "score")
+    parts = Parts.of(sizes, min(PART, max(1, int(sizes.sum()) // spread(vectors))))
+    schema = "part long, role int, leaf int, id long, leaves binary, v binary"
+    asking = asked.select("q", "embedding").mapInArrow(_asking(shared, kind, sizes, parts, search), schema)
+    work = placed.mapInArrow(_dealt(parts), schema).unionByName(asking)
+    work = work.repartition(spread(vectors), "part").sortWithinPartitions("part", "role", "leaf")
+    near = work.mapInArrow(_ranked(kind, k + 1), "q long, near array<struct<away: double, node: bigint>>")
+
+    every = near.groupBy("q").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))  # k + 1 of each part
+    near = stored(every.select("q", F.explode(F.slice("near", 1, k + 1)).alias("x")).select("q", F.col("x.node").alias("node"), F.col("x.away").alias("away")), "near")
+    used = near.groupBy("node").agg(F.count("*").alias("times"))
+    named = lookup(near, stored(nodes.select("node", "ids").join(used, "node"), "named"), "node", "times").select("q", "away", F.explode("ids").alias("vec_id"))
+    entry = F.struct("away", "vec_id", (-F.col("away")).alias("score"))
     lists = named.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k + 1).alias("near"))  # at most (k + 1)^2 each
     lists = stored(asked.drop("embedding").join(lists, "q"), "lists")
 
-    own = stored(queries.select(F.col("vec_id").alias("query_id"), "embedding").join(asked.select("embedding", "q"), "embedding").select("query_id", "q"), "asked")
-    found = lookup(own, lists, "q", "n")
+    # A vector that very many queries share is one row of asked; its hash finds it, and the vector itself decides.
+    hashed = asked.groupBy(F.xxhash64("embedding").alias("h")).agg(F.collect_list(F.struct("embedding", "q")).alias("found"), F.sum("n").alias("n"))
+    own = stored(queries.select(F.col("vec_id").alias("query_id"), "embedding", F.xxhash64("embedding").alias("h")), "asking")
+    own = lookup(own, stored(hashed, "asked"), "h", "n")
+    own = own.select("query_id", F.filter("found", lambda x: x["embedding"] == F.col("embedding"))[0]["q"].alias("q"))
+    found = lookup(stored(own, "asked"), lists, "q", "n")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = found.select("query_id", F.posexplode(others).alias("place", "x"))
     return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
+@dataclass(frozen=True)
+class Parts:
+    """How leaves are laid out: the first part of each leaf, and how many it has (more than one only where it is alone in them)."""
+
+    first: np.ndarray
+    number: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, most: int) -> Parts:
+        number = np.maximum(1, -(-sizes // most))
+        first, at, held = np.zeros(len(sizes), np.int64), 0, 0
+        for leaf, (n, k) in enumerate(zip(sizes.tolist(), number.tolist())):
+            if held and (held + n > most or k > 1):
+                at, held = at + 1, 0
+            first[leaf] = at
+            held += n
+            if k > 1:
+                at, held = at + k, 0
+        return cls(first, number)
+
+
 def _enough(nodes: DataFrame, forest: Forest, sizes: np.ndarray, own: list[int], points: np.ndarray, k: int) -> int:
     """Candidates with which the search reaches RECALL of the probes' true k nearest."""
+    me = np.array(own)[:, None]
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cos, ids, leaves = np.full((len(points), k), -3.0), np.zeros((len(points), k), np.int64), np.zeros((len(points), k, TREES), np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 4000):
-                ids, unit = batch.column(0).slice(i, 4000).to_numpy(zero_copy_only=False), _unit(_matrix(batch.column(1).slice(i, 4000)))
-                cos = points @ unit.T
-                for p in range(len(points)):
-                    top = _largest(np.where(ids == own[p], -2.0, cos[p]), ids, min(k, len(ids)))
-                    leaves = [x.tolist() for x in forest.leaves(unit[top])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), p)), pa.array(ids[top]), pa.array(cos[p][top]), pa.array(leaves, pa.list_(pa.int64()))], names=["p", "node", "score", "leaves"])
+            for i in range(0, batch.num_rows, BLOCK[1]):
+                node, unit = batch.column(0).slice(i, BLOCK[1]).to_numpy(zero_copy_only=False), _unit(_matrix(batch.column(1).slice(i, BLOCK[1])))
+                new = np.where(me == node, -2.0, points @ unit.T)
+                new, all_ids = np.concatenate([cos, new], 1), np.concatenate([ids, np.broadcast_to(node, new.shape)], 1)
+                all_leaves = np.concatenate([leaves, np.broadcast_to(forest.leaves(unit), (*cos.shape[:1], len(node), TREES))], 1)
+                top = np.argpartition(-new, k - 1, axis=1)[:, :k]
+                cos, ids, leaves = np.take_along_axis(new, top, 1), np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_leaves, top[:, :, None], 1)
+        p, j = np.nonzero(cos > -2)
+        found = [pa.array(p), pa.array(ids[p, j]), pa.array(cos[p, j]), pa.array(list(leaves[p, j]), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(found, names=["p", "node", "score", "leaves"])
 
     near = nodes.select("node", "embedding").mapInArrow(exact, "p long, node long, score double, leaves array<long>")
     best = Window.partitionBy("p").orderBy(F.desc("score"), "node")
-    near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("p", "node", "leaves").collect()  # at most PROBES * k
+    near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("p", "leaves").collect()  # at most PROBES * k
+    by: dict[int, list] = {}
+    for r in near:
+        by.setdefault(r["p"], []).append(r["leaves"])
     needed = []
     for p, found in enumerate(forest.search(points, sizes, int(sizes.sum()) + 1)):
         after = dict(zip(found, np.cumsum(sizes[found]).tolist()))
-        needed += [min(after[x] for x in r["leaves"]) for r in near if r["p"] == p and r["node"] != own[p]]
+        needed += [min(after[x] for x in leaves) for leaves in by.get(p, [])]
     return max(LEAST, int(np.quantile(needed, RECALL)) + 1) if needed else LEAST
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
+    x = _scaled(x)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that the largest component is about 1 and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -193,76 +240,157 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-_ROWS = ["leaf", "role", "id", "v"]
+_ROWS = ["part", "role", "leaf", "id", "leaves", "v"]
 
 
 def _indexed(shared, kind: str):
+    """The leaf of each node in each tree."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
                 x = _matrix(part.column(1))
-                leaves = shared.value.leaves(_unit(x))
-                n, trees = leaves.shape
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), trees)
-                raw = [v.tobytes() for v in x.astype(kind) for _ in range(trees)]
-                yield pa.RecordBatch.from_arrays([pa.array(leaves.reshape(-1)), pa.array(np.zeros(n * trees, np.int32)), pa.array(ids), pa.array(raw, pa.binary())], names=_ROWS)
+                leaves = pa.array(list(shared.value.leaves(_unit(x)).astype(np.int32)), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), leaves, _bytes(x, kind)], names=["node", "leaves", "v"])
+
+    return run
+
+
+def _bytes(x: np.ndarray, kind: str) -> pa.Array:
+    return pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
+
+
+def _dealt(parts: Parts):
+    """A row for each node and tree, with the part it goes to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                own = batch.slice(i, 2000)
+                leaf = own.column(1).flatten().to_numpy(zero_copy_only=False)
+                at = np.repeat(np.arange(own.num_rows), TREES)
+                ids = own.column(0).to_numpy(zero_copy_only=False)[at]
+                spread_ = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                part = parts.first[leaf] + spread_ % parts.number[leaf]
+                none = pa.nulls(len(leaf), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(leaf), np.int32)), pa.array(leaf), pa.array(ids), none, own.column(2).take(pa.array(at))], names=_ROWS)
 
     return run
 
 
-def _asking(shared, kind: str, sizes: np.ndarray, most: int):
+def _asking(shared, kind: str, sizes: np.ndarray, parts: Parts, most: int):
+    """A row for each query and part it looks at, with its leaves there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                x = _matrix(part.column(1))
-                rows = [(leaf, 1, q, v.tobytes()) for q, v, found in zip(part.column(0).to_pylist(), x.astype(kind), shared.value.search(_unit(x), sizes, most)) for leaf in found]
-                leaf, role, ids, raw = zip(*rows) if rows else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(role, pa.int32()), pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=_ROWS)
+                own = batch.slice(i, 200)
+                x = _matrix(own.column(1))
+                part, at, leaves = [], [], []
+                for j, found in enumerate(shared.value.search(_unit(x), sizes, most)):
+                    found = np.sort(np.array(found, np.int32))
+                    first, number = parts.first[found], parts.number[found]
+                    for lo, hi in _runs(first):
+                        own_leaves = found[lo:hi].tobytes()
+                        for p in range(int(first[lo]), int(first[lo] + number[lo])):
+                            part.append(p)
+                            at.append(j)
+                            leaves.append(own_leaves)
+                ids = own.column(0).take(pa.array(at, pa.int64()))
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int32)), ids, pa.array(leaves, pa.binary()), _bytes(x, kind).take(pa.array(at, pa.int64()))], names=_ROWS)
 
     return run
 
 
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where rows that agree in all keys begin and end."""
+    if not len(keys[0]):
+        return []
+    ends = (np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in keys])) + 1).tolist()
+    return list(zip([0, *ends], [*ends, len(keys[0])]))
+
+
+def _best(q: np.ndarray, node: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` best rows of each q, ordered by q; ties to the smaller node."""
+    order = np.lexsort((node, -score, q))
+    q = q[order]
+    start = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], np.arange(len(q)), 0)) if len(q) else q
+    return order[np.arange(len(q)) - start < most]
+
+
+class _Part:
+    """Nodes of a part, in order of their leaves."""
+
+    def __init__(self, leaf: np.ndarray, node: np.ndarray, x: np.ndarray):
+        self.node, self.x = node, _scaled(x)
+        self.unit = self.x / np.sqrt((self.x * self.x).sum(axis=1, keepdims=True))
+        self.place = {int(leaf[lo]): (lo, hi) for lo, hi in _runs(leaf)}
+
+    def near(self, y: np.ndarray, leaves: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query's place, node and cosine of the `most` nearest nodes of each query in its leaves."""
+        y = _scaled(y)
+        unit = y / np.sqrt((y * y).sum(axis=1, keepdims=True))
+        q, leaf = np.repeat(np.arange(len(y)), [len(x) for x in leaves]), np.concatenate(leaves)
+        order = np.argsort(leaf, kind="stable")
+        q, leaf = q[order], leaf[order]
+        # Twice as many as asked for go on to extended precision; what BLAS rounds apart is still a tie here.
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for lo, hi in _runs(leaf):
+            start, end = self.place.get(int(leaf[lo]), (0, 0))
+            for i in range(start, end, BLOCK[1]):
+                cos = np.round(unit[q[lo:hi]] @ self.unit[i : min(end, i + BLOCK[1])].T, 13)
+                width = cos.shape[1]
+                least = np.partition(cos, width - 2 * most, axis=1)[:, width - 2 * most, None] if width > 2 * most else -2.0
+                a, b = np.nonzero(cos >= least)
+                found.append((q[lo:hi][a], i + b, cos[a, b]))
+        q, at, cos = (np.concatenate(x) for x in zip(*found))
+        _, once = np.unique(q * len(self.node) + at, return_index=True)
+        q, at, cos = q[once], at[once], cos[once]
+        some = _best(q, self.node[at], cos, 2 * most)
+        q, at = q[some], at[some]
+        cos = _cosines(y[q], self.x[at])
+        some = _best(q, self.node[at], cos, most)
+        return q[some], self.node[at[some]], cos[some]
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows, in extended precision and rounded to double at the end."""
+    a, b = a.astype(np.longdouble), b.astype(np.longdouble)
+    return ((a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))).astype(np.float64)
+
+
+_NEAR = pa.list_(pa.struct([("away", pa.float64()), ("node", pa.int64())]))
+
+
 def _ranked(kind: str, most: int):
-    """Of each query in each leaf the `most` nearest nodes; queries in blocks, nodes of a leaf in parts."""
+    """A row for each query and part: the `most` nearest nodes there."""
 
-    def best(nodes: np.ndarray, x: np.ndarray, queries: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lengths = np.sqrt((x * x).sum(axis=1))
-        for i in range(0, len(queries), 256):
-            part = y[i : i + 256]
-            cos = part @ x.T / (np.sqrt((part * part).sum(axis=1))[:, None] * lengths)
-            for q, row in zip(queries[i : i + 256], cos):
-                top = np.lexsort((nodes, -row))[:most] if len(row) <= 4 * most else _largest(row, nodes, most)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q)), pa.array(nodes[top]), pa.array(row[top])], names=["q", "node", "score"])
+    def vectors(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
+
+    def answer(part: _Part, own: pa.RecordBatch) -> pa.RecordBatch:
+        leaves = [np.frombuffer(x, np.int32) for x in own.column(4).to_pylist()]
+        q, node, cos = part.near(vectors(own.column(5)), leaves, most)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(q, minlength=own.num_rows))]).astype(np.int32)
+        rows = pa.StructArray.from_arrays([pa.array(-cos), pa.array(node)], fields=list(_NEAR.value_type))
+        return pa.RecordBatch.from_arrays([own.column(3), pa.ListArray.from_arrays(pa.array(ends), rows)], names=["q", "near"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, nodes, raw = None, [], []
-        out: list[pa.RecordBatch] = []
+        last, held, part = None, [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            leaves, roles, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            ends = np.flatnonzero((np.diff(leaves) != 0) | (np.diff(roles) != 0)) + 1
-            for lo, hi in zip([0, *ends], [*ends, batch.num_rows]):
-                vectors = np.frombuffer(b"".join(batch.column(3).slice(lo, hi - lo).to_pylist()), kind).reshape(hi - lo, -1).astype(np.float64)
-                if roles[lo] == 0:
-                    if leaves[lo] != leaf:
-                        leaf, nodes, raw = leaves[lo], [], []
-                    nodes.append(ids[lo:hi].copy())
-                    raw.append(vectors)
-                elif leaves[lo] == leaf:
-                    out.extend(best(np.concatenate(nodes), np.concatenate(raw), ids[lo:hi], vectors))
-                    if len(out) > 500:
-                        yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-                        out = []
-        if out:
-            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+            key, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for lo, hi in _runs(key, role):
+                own = batch.slice(lo, hi - lo)
+                if key[lo] != last:
+                    last, held, part = key[lo], [], None
+                if role[lo] == 0:
+                    held.append((own.column(2).to_numpy(zero_copy_only=False).copy(), own.column(3).to_numpy(zero_copy_only=False).copy(), vectors(own.column(5))))
+                elif held or part:
+                    if part is None:
+                        part, held = _Part(*(np.concatenate(x) for x in zip(*held))), []
+                    for i in range(0, own.num_rows, BLOCK[0]):
+                        yield answer(part, own.slice(i, BLOCK[0]))
 
     return run
-
-
-def _largest(row: np.ndarray, nodes: np.ndarray, most: int) -> np.ndarray:
-    least = -np.partition(-row, most - 1)[most - 1]
-    place = np.flatnonzero(row >= least)
-    return place[np.lexsort((nodes[place], -row[place]))[:most]]
