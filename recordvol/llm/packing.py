@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordvol.llm._common import slices
-from recordvol.llm.tokenization import encoder, pack
+from recordvol.llm.tokenization import TEXT_BYTES, encoder, pack
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema(
@@ -86,7 +86,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, enc, out = Bins(capacity, TaskContext.get().partitionId() << 39), encoder(tokenizer, spaces), []
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, TEXT_BYTES):
                 for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     out.extend(bins.add(doc_id, ids + end))
                     while len(out) >= BATCH:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordvol.llm._common import new_path, slices, spread
-from recordvol.llm.tokenization import encoder, pack
+from recordvol.llm.tokenization import TEXT_BYTES, encoder, pack
 
 BLOCKS = "shard int, start long, doc_ids array<long>, lengths array<int>, control binary, data binary"
 _HEAD = [("shard", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))]
@@ -114,13 +114,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, voca
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
-                for part in slices(batch, 1):
+                for part in slices(batch, 1, TEXT_BYTES):
                     yield from zip(part.column(0).to_pylist(), (x + end for x in enc.encode(part.column(1))))
 
         yield from _plain_blocks(TaskContext.get().partitionId(), rows(), vocabulary)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    rows = rows.repartitionByRange(spread(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    # Repeated rows differ in their place only, so that they can be dealt out as well.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange(spread(docs), "doc_id", "h", "place").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     plain = new_path(spark, "plain-tokens")
     rows.mapInArrow(encoded, PLAIN).write.option("compression", "zstd").parquet(plain)
     blocks = spark.read.schema(PLAIN).parquet(plain)

@@ -1,7 +1,10 @@
-"""Whole-text encoding with a public tokenizer, one library call per distinct piece of text.
+"""Whole-text encoding with a public tokenizer, which sees each distinct piece of text once.
 
 Both supported kinds of tokenizer cut a text at spaces before they merge anything, so the ids of a
-text are those of its pieces in a row. Pieces repeat a lot; their ids are kept in a bounded table.
+text are those of its pieces in a row. Pieces repeat a lot: a slice of texts is cut, and its distinct
+pieces looked up in a bounded table, by Arrow kernels. New pieces go to the library many at a time
+as one run of text, whose ids are split where a token begins (or ends) a piece; ids are put together
+by numpy. No Python object is made for a piece that is known.
 """
 
 from __future__ import annotations
@@ -9,30 +12,54 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Most pieces kept at once by a Python worker, and the longest piece that is kept.
-MOST_PIECES, LONGEST_PIECE = 400_000, 64
+#: Most pieces kept at once by a Python worker, and the longest piece (in bytes) that is kept.
+MOST_PIECES, LONGEST_PIECE = 600_000, 64
 #: Marks the piece at the start of a text. A text that has it itself is one piece.
 START = "\ue000"
 #: Signs that may end a piece without being part of its last word.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that stay one letter when a tokenizer composes or lower-cases them, so signs after them are cut off.
+LETTER = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}\x{400}-\x{45F}]$"
 #: Pieces after which a text must be cut otherwise: none at all, or white space but for one line end.
 ODD = r"^$|^[^\S\n]|^[\x{85}\x{1C}-\x{1F}\p{Z}]|^\n$|^\n[\s\x{85}\x{1C}-\x{1F}\p{Z}]"
-#: Pieces in one call of the library.
+#: Bytes of text encoded at once: the more, the fewer pieces are looked up twice.
+TEXT_BYTES = 8 << 20
+#: Pieces in one call of the library, and in one run of text.
 AT_ONCE = 2000
+#: How the vocabularies write a space and a line end, and the end of a word.
+SPACE, LINE, WORD_END = "\u0120", "\u010a", "</w>"
+
+
+class Table:
+    """Ids of some strings: where those of each begin in `flat`, and how many they are."""
+
+    def __init__(self, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray):
+        self.starts, self.sizes, self.flat = starts, sizes, flat
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the strings at these places, in a row."""
+        return self.flat[_places(self.starts[at], self.sizes[at])]
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], ... (sizes[0] of them), starts[1], ..."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
 
 
 class PieceEncoder:
     """Encodes texts as little-endian unsigned 32-bit ids.
 
     spaces: "joined" if a space belongs to the word after it (byte-level BPE), "dropped" if white
-    space only separates. Strings of special tokens in a text are ordinary text. At most 2 * `most`
-    pieces are kept: when one table is full, the one before it goes, but for what is used again.
+    space only separates. Strings of special tokens in a text are ordinary text. When `most` pieces
+    are kept, the table starts anew.
     """
 
     def __init__(self, path: str, spaces: str, most: int = MOST_PIECES):
@@ -42,8 +69,15 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.joined, self.most = spaces == "joined", most
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        names = np.full(max(vocabulary.values()) + 1, "", dtype=object)
+        names[list(vocabulary.values())] = list(vocabulary)
+        self.after_space, self.after_line, self.last = (np.array([f(x) for x in names]) for f in (lambda x: x.startswith(SPACE), lambda x: x.startswith(LINE), lambda x: x.endswith(WORD_END)))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.table = Table(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4"))
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text; null is empty."""
@@ -53,65 +87,113 @@ class PieceEncoder:
             cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(START, texts, ""), "\n", " \n"), " ")
         else:
             cut = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
-        flat = pc.dictionary_encode(cut.flatten())
-        pieces, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-        odd = np.zeros(len(pieces), bool)
-        if self.joined:
-            odd = pc.match_substring_regex(flat.dictionary, ODD).to_numpy(zero_copy_only=False)
-        if len(self.known) > self.most:
-            self.older, self.known = self.known, {}
-        ids = list(map(self.known.get, pieces))
-        fresh = [i for i, x in enumerate(ids) if x is None]
-        known = self._table({pieces[i] for i in fresh if not odd[i]})
-        for i in fresh:
-            ids[i] = b"" if odd[i] else known[pieces[i]]
-
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        table = np.frombuffer(b"".join(ids), "<u4")
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        out = table[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)].tobytes() if total else b""
+        pieces, codes = _distinct(cut.flatten())
+        table = self._pieces(pieces)
+        ends = np.concatenate([[0], np.cumsum(table.sizes[codes])])
+        out = table.take(codes).tobytes()
         offsets = cut.offsets.to_numpy(zero_copy_only=False)
-        at = np.concatenate([[0], ends * 4])[offsets - offsets[0]].tolist()
+        offsets = offsets - offsets[0]
+        at = (4 * ends[offsets]).tolist()
         found = [out[x:y] for x, y in zip(at, at[1:])]
 
         if self.joined:
             # With other runs of white space, a text is only cut at spaces before something visible.
-            has = np.concatenate([[0], np.cumsum(odd[codes])])[offsets - offsets[0]]
+            odd = pc.match_substring_regex(pieces, ODD).to_numpy(zero_copy_only=False)
+            has = np.concatenate([[0], np.cumsum(odd[codes])])[offsets]
             marked = pc.match_substring(texts, START).to_numpy(zero_copy_only=False)
             for i in np.flatnonzero((np.diff(has) > 0) | marked).tolist():
                 text = texts[i].as_py()
                 own = [START + text] if marked[i] else re.split(r" (?=\S)", START + text)
-                table = self._table(set(own))
-                found[i] = b"".join(map(table.__getitem__, own))
+                pieces, codes = _distinct(pa.array(own, pa.string()))
+                found[i] = self._pieces(pieces).take(codes).tobytes()
         return found
 
-    def _table(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of these pieces."""
-        found = {p: self.older[p] for p in pieces & self.older.keys()}
-        fresh = [p for p in pieces if p not in found]
-        cores = [p.rstrip(SIGNS) for p in fresh]
-        # Signs after a letter are cut off by both tokenizers, and what stands before them is often known.
-        cores = [c if c and c[-1].isalpha() else p for p, c in zip(fresh, cores)]
-        wanted = {c for c in cores if c not in self.known and c not in found}
-        signs = {p[len(c) :] for p, c in zip(fresh, cores)}
-        found.update(self._ids(wanted))
-        ends = dict(self._ids(signs, lead=""))
-        for p, c in zip(fresh, cores):
-            if p is not c:
-                found[p] = (self.known.get(c) or found[c]) + ends[p[len(c) :]]
-        self.known.update(found if max(map(len, found), default=0) <= LONGEST_PIECE else {p: x for p, x in found.items() if len(p) <= LONGEST_PIECE})
-        return {p: found.get(p) or self.known.get(p, b"") for p in pieces}
-
-    def _ids(self, pieces: set[str], lead: str | None = None) -> Iterator[tuple[str, bytes]]:
-        pieces = list(pieces)
-        for i in range(0, len(pieces), AT_ONCE):
-            part = pieces[i : i + AT_ONCE]
-            texts = [_text(p) for p in part] if self.joined and lead is None else part
-            for p, x in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                yield p, pack(x.ids)
+    def _pieces(self, pieces: pa.Array) -> Table:
+        """The ids of distinct pieces.
+
+        Signs after a letter are cut off by both tokenizers, and what stands before them is often known.
+        """
+        core = pc.utf8_rtrim(pieces, SIGNS)
+        cut = pc.and_(pc.match_substring_regex(core, LETTER), pc.less(pc.binary_length(core), pc.binary_length(pieces)))
+        core = pc.if_else(cut, core, pieces)
+        names, at = _distinct(core)
+        signs, of = _distinct(_rest(pieces, core))
+        words, ends = self._words(names), self._encoded(signs, lead="")
+        starts = np.column_stack([words.starts[at], len(words.flat) + ends.starts[of]]).reshape(-1)
+        sizes = np.column_stack([words.sizes[at], ends.sizes[of]]).reshape(-1)
+        flat = np.concatenate([words.flat, ends.flat])[_places(starts, sizes)]
+        sizes = sizes.reshape(-1, 2).sum(axis=1)
+        return Table(np.cumsum(sizes) - sizes, sizes, flat)
+
+    def _words(self, words: pa.Array) -> Table:
+        """The ids of distinct words, through the table of known ones."""
+        if len(self.known) + len(words) > self.most:
+            self._forget()
+        place = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(place))
+        fresh = self._encoded(new)
+        flat = np.concatenate([self.table.flat, fresh.flat])
+        starts = np.concatenate([self.table.starts, len(self.table.flat) + fresh.starts])
+        sizes = np.concatenate([self.table.sizes, fresh.sizes])
+        at = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        found = Table(starts[at], sizes[at], flat)
+        short = pc.less_equal(pc.binary_length(new), LONGEST_PIECE)
+        stays = np.concatenate([np.ones(len(self.known), bool), short.to_numpy(zero_copy_only=False).astype(bool)])
+        self.known = pa.concat_arrays([self.known, new.filter(short)])
+        self.table = Table(starts[stays], sizes[stays], flat) if stays.all() else Table(np.cumsum(sizes[stays]) - sizes[stays], sizes[stays], flat[_places(starts[stays], sizes[stays])])
+        return found
+
+    def _encoded(self, pieces: pa.Array, lead: str | None = None) -> Table:
+        """The ids of pieces by the library; with a lead, of texts as they are."""
+        texts = pieces.to_pylist()
+        groups: list[tuple[np.ndarray, np.ndarray | None]] = []  # places, and where a run is split; None: texts apart
+        if lead is not None:
+            groups = [(np.arange(len(texts)), None)]
+        elif self.joined:
+            first, line = (pc.starts_with(pieces, x).to_numpy(zero_copy_only=False).astype(bool) for x in (START, "\n"))
+            groups = [(np.flatnonzero(~first & ~line), self.after_space), (np.flatnonzero(line), self.after_line), (np.flatnonzero(first), None)]
+        else:
+            plain = pc.match_substring_regex(pieces, r"^\p{L}+$").to_numpy(zero_copy_only=False).astype(bool)
+            groups = [(np.flatnonzero(plain), self.last), (np.flatnonzero(~plain), None)]
+        starts, sizes, flat, total = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [np.zeros(0, "<u4")], 0
+        for places, marks in groups:
+            for i in range(0, len(places), AT_ONCE):
+                at = places[i : i + AT_ONCE]
+                n, ids = self._run([texts[x] for x in at.tolist()], marks, lead)
+                sizes[at], starts[at] = n, total + np.cumsum(n) - n
+                flat.append(ids)
+                total += len(ids)
+        return Table(starts, sizes, np.concatenate(flat))
+
+    def _run(self, pieces: list[str], marks: np.ndarray | None, lead: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and the ids in a row."""
+        if marks is not None:
+            text = "".join(pieces) if marks is self.after_line else " " + " ".join(pieces)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            # Every piece has a mark at least, so as many marks as pieces are one each.
+            at = np.flatnonzero(marks[ids]) + (0 if self.joined else 1)
+            bounds = np.append(at, len(ids)) if self.joined else np.append(0, at)
+            if len(at) == len(pieces) and bounds[0] == 0 and bounds[-1] == len(ids):
+                return np.diff(bounds), ids
+        texts = pieces if lead is not None or not self.joined else [_text(x) for x in pieces]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return n, np.fromiter((i for x in found for i in x), "<u4", int(n.sum()))
+
+
+def _distinct(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values, and the place of each value among them."""
+    coded = pc.dictionary_encode(values)
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _rest(whole: pa.Array, part: pa.Array) -> pa.Array:
+    """What stands after part, which each string of whole starts with."""
+    data, offsets = np.frombuffer(whole.buffers()[2] or b"", np.uint8), np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    sizes = np.diff(offsets) - pc.binary_length(part).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(whole), pa.py_buffer(ends.tobytes()), pa.py_buffer(data[_places(offsets[1:] - sizes, sizes)].tobytes()))
 
 
 def pack(ids: Sequence[int]) -> bytes:
