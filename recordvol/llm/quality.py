@@ -1,114 +1,149 @@
-"""Document quality by co-training of a text view and a metadata view.
-
-The text view sees what a document says (shares of signs, letters, repeated words and lines, word
-lengths); the metadata view what is known about it (source, language, sizes, and the URL of its
-page). Each view has a logistic classifier. In every round both score a pool of unlabelled
-documents, each hands the pool's documents it is surest of to the other as pseudo-labels, and both
-are fitted again on labels plus what they were handed. In the end each view is calibrated on
-labelled documents it did not learn from, and the calibrated log-odds are added with weights by how
-much each view tells.
-
-Features are DataFrame expressions and computed once per document; only feature rows of the bounded
-sample (SAMPLE labelled and POOL unlabelled ones, drawn by hash) reach the driver, where a few
-Newton steps fit some dozen coefficients. Scoring all documents is one narrow stage; with pages
-there is one more join on the id.
-
-Defined results: null and empty texts have all-zero text features and a score like any other; a
-null source, language or URL is a category of its own; repeated rows get the same score; without
-labels of both classes all scores are the share of good rows (0.5 if there are none); an empty
-table gives no rows; columns of the input other than doc_id, text, source and lang are ignored.
+"""Document quality by co-training of a text-content view and a page-metadata view.
+
+The text view sees what a document says and how it is written: its words and word pairs, and the
+shapes of its tokens (capitals, letters, digits, signs) and shape pairs, hashed into a fixed number
+of places, damped by the logarithm and scaled to length one. The metadata view sees only what is
+known about the document: source, language, and the URL of its page (the page whose page_id is the
+doc_id, where there is one); no text and no size. Each view has a logistic classifier.
+
+In every round both views score all documents without a label, each hands those it is surest of to
+the other as pseudo-labels, and both are fitted again on labels plus what they were handed. A view
+is sure of a document only where its log-odds have the sign of the class and are off the base rate
+by SURE in that direction, so a view that tells nothing hands over nothing. In the end each view is
+calibrated on labelled documents it did not learn from, and the calibrated log-odds are added with
+weights by how much each view tells (log-likelihood gained over the base rate; 0 where it tells nothing).
+
+Features are computed once per document and stored; a round is one pass over them in which each
+task keeps its surest few. Fitting takes at most SAMPLE labelled rows, drawn by hash, and HANDED
+pseudo-labels a round and view.
+
+Defined results: null and empty texts have an all-zero text view and a score like any other; a null
+source, language or URL is a category of its own; repeated rows get the same score; rows with a
+null doc_id are scored but never pseudo-labelled; without labelled rows of both classes among the
+documents all scores are the share of good ones of these (0.5 if there are none); an empty table
+gives no rows; columns of the input other than doc_id, text, source and lang are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordvol.llm._common import held_out
-
-#: Most labelled and unlabelled rows fitted on, rounds, and pseudo-labels of each class a round and view.
-SAMPLE, POOL, ROUNDS, HANDED = 8000, 4000, 4, 200
-#: Categories of the metadata view are hashed into so many places.
-PLACES = 16
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def text_view(text: Column) -> list[Column]:
-    """Features of the text view, about 0 to 1 each."""
-    t = F.coalesce(text, F.lit(""))
-    size = F.greatest(F.length(t), F.lit(1))
-    words = F.greatest(F.regexp_count(t, F.lit(WORD)), F.lit(1))
-    tokens = F.split(F.lower(t), r"[\x20\x09-\x0D]+")
-    lines = F.split(t, "\n")
-    share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / size
-    return [
-        share(r"\p{L}"),
-        share(r"\p{Lu}"),
-        share(r"[0-9]"),
-        F.least(F.lit(1.0), 4 * share(r"[^\p{L}\p{N}\s.,;:!?'\"()-]")),
-        F.least(F.lit(1.0), F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s]{3,}")) / words),
-        F.least(F.lit(1.0), F.regexp_count(t, F.lit(r"[.!?](\s|$)")) * 10 / words),
-        F.least(F.lit(1.0), size / words / 20),
-        F.size(F.array_distinct(tokens)) / F.greatest(F.size(tokens), F.lit(1)),
-        F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
-        F.log1p(words.cast("double")) / 10,
-    ]
-
-
-def metadata_view(source: Column, lang: Column, url: Column, size: Column) -> list[Column]:
-    """Features of the metadata view: hashed source, language, URL host suffix and form, and size class."""
+from recordvol.llm._common import held_out, slices, stored
+
+#: Most labelled rows fitted on, rounds, pseudo-labels a round and view, and how far off the base rate (log-odds) a view is sure.
+SAMPLE, ROUNDS, HANDED, SURE = 8000, 4, 200, 1.0
+#: Hash places of words and of shapes, and of each category of the metadata view.
+WORDS, SHAPES, PLACES = 512, 256, 16
+FEATURES = "doc_id long, held_out boolean, a binary, b array<float>"
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+
+def _hashes(values: pa.Array) -> np.ndarray:
+    """An odd 64-bit hash per string; 0 for the empty one."""
+    import xxhash
+
+    coded = pc.dictionary_encode(values)
+    distinct = np.fromiter((xxhash.xxh64_intdigest(x) | 1 if x else 0 for x in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return distinct[coded.indices.to_numpy(zero_copy_only=False)] if len(values) else np.zeros(0, np.uint64)
+
+
+def shapes(tokens: pa.Array) -> pa.Array:
+    """Tokens with A for capitals, a for other letters, 0 for numbers and ## for runs of signs."""
+    for pattern, sign in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+", "a"), (r"\p{N}+", "0"), (r"[^\p{L}\p{N}]{2,}", "##")):
+        tokens = pc.replace_substring_regex(tokens, pattern, sign)
+    return tokens
+
+
+def _place(x: np.ndarray, places: int) -> np.ndarray:
+    return ((x ^ (x >> np.uint64(29))) * _A >> np.uint64(33)).astype(np.int64) % places
+
+
+def text_view(texts: pa.Array) -> np.ndarray:
+    """Rows of WORDS + SHAPES values; both parts have length one, or zero for a text without a word."""
+    tokens = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    coded = pc.dictionary_encode(tokens.flatten())
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    letters = pc.replace_substring_regex(pc.utf8_lower(coded.dictionary), r"[^\p{L}]+", "")
+    doc = np.repeat(np.arange(len(texts)), np.diff(tokens.offsets.to_numpy(zero_copy_only=False)))
+    some = np.asarray(pc.greater(pc.binary_length(pc.cast(coded.dictionary, pa.binary())), 0).to_numpy(zero_copy_only=False), bool)[at]
+    at, doc = at[some], doc[some]  # splitting an empty text gives an empty token
+    same = doc[1:] == doc[:-1]
+    out = np.zeros((len(texts), WORDS + SHAPES), np.float32)
+    for first, places, values in ((0, WORDS, letters), (WORDS, SHAPES, shapes(coded.dictionary))):
+        h = _hashes(values)[at]
+        has, pair = h != 0, (h[1:] * h[:-1] != 0) & same
+        owner = np.concatenate([doc[has], doc[1:][pair]])
+        place = _place(np.concatenate([h[has] * _B, (h[:-1] * _C + h[1:])[pair]]), places)
+        counts = np.log1p(np.bincount(owner * places + place, minlength=len(texts) * places).reshape(len(texts), places))
+        out[:, first : first + places] = counts / np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-9)
+    return out
+
+
+def metadata_view(source: Column, lang: Column, url: Column) -> list[Column]:
+    """Features of the metadata view: hashed source, language, URL host suffix and form."""
     place = lambda c, salt: F.pmod(F.xxhash64(F.coalesce(c, F.lit("")), F.lit(salt)), F.lit(PLACES))
     suffix = F.substring_index(F.substring_index(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://([^/?#]*)", 1), ".", -2), ":", 1)
-    hot = [(place(c, s) == F.lit(k)).cast("double") for c, s in ((source, 1), (lang, 2), (suffix, 3)) for k in range(PLACES)]
-    bits = [F.coalesce(F.contains(url, F.lit(x)), F.lit(False)).cast("double") for x in ("?", "#", "utm_")]
-    grade = F.least(F.lit(15), F.floor(F.log2(1.0 + F.coalesce(size, F.lit(0)))).cast("int"))
-    return [*hot, *bits, url.isNull().cast("double"), *((grade == k).cast("double") for k in range(16))]
+    hot = [(place(c, s) == F.lit(k)).cast("float") for c, s in ((source, 1), (lang, 2), (suffix, 3)) for k in range(PLACES)]
+    bits = [F.coalesce(F.contains(url, F.lit(x)), F.lit(False)).cast("float") for x in ("?", "#", "utm_")]
+    return [*hot, *bits, url.isNull().cast("float")]
+
+
+def features(docs: DataFrame, pages: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """doc_id, held_out, a (the text view, 16-bit floats) and b (the metadata view), one row per row of docs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 5):
+                a = text_view(part.column(5)).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([x.tobytes() for x in a], pa.binary())], names=["doc_id", "salt", "held_out", "source", "lang", "a"])
 
-def features(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """doc_id, a (array of the text view) and b (of the metadata view); pages adds the URL of page_id = doc_id."""
+    # Rows without an id join with nothing; the salt spreads them.
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(4096)) + 1).otherwise(F.lit(0)).cast("long")
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.array(*(c.cast("float") for c in text_view(F.col("text")))).alias("a"),
-        F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.length("text").alias("size"),
+        F.col("doc_id").cast("long").alias("doc_id"), salt.alias("salt"), held_out().alias("held_out"),
+        F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text).alias("text"),
     )
+    rows = rows.mapInArrow(run, "doc_id long, salt long, held_out boolean, source string, lang string, a binary")
     if pages is None:
         rows = rows.withColumn("url", F.lit(None).cast("string"))
     else:
         urls = pages.where(F.col("page_id").isNotNull()).groupBy(F.col("page_id").cast("long").alias("doc_id")).agg(F.min("url").alias("url"))
-        rows = rows.join(urls, "doc_id", "left")
-    view = metadata_view(F.col("source"), F.col("lang"), F.col("url"), F.col("size"))
-    return rows.select("doc_id", "a", F.array(*(c.cast("float") for c in view)).alias("b"))
+        rows = rows.join(urls.withColumn("salt", F.lit(0).cast("long")), ["doc_id", "salt"], "left")
+    return rows.select("doc_id", "held_out", "a", F.array(*metadata_view(F.col("source"), F.col("lang"), F.col("url"))).alias("b"))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Coefficients of both views (the last is the intercept), calibrations (slope, shift) and weights."""
+    """Coefficients of both views (the last is the intercept), calibrations (slope, shift), weights, and log-odds of the base rate."""
 
-    a: list[float]
-    b: list[float]
+    a: np.ndarray
+    b: np.ndarray
     calibration: tuple[tuple[float, float], tuple[float, float]]
     weights: tuple[float, float]
     prior: float
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, start: np.ndarray | None = None) -> np.ndarray:
     """Ridge logistic regression by Newton's method; the intercept, last, is free."""
     x = np.column_stack([x, np.ones(len(x))])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + penalty * w
         hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hess, grad)
         w -= step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-4 * max(1.0, np.abs(w).max()):
             break
     return w
 
@@ -117,86 +152,139 @@ def _odds(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, rounds: int = ROUNDS, handed: int = HANDED) -> Model:
-    """Fit on labelled rows (two thirds learn, a third calibrates) and an unlabelled pool."""
+def surest(odds: np.ndarray, ids: np.ndarray, prior: float, good: int, bad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the `good` rows a view is surest are good, and of the `bad` ones; ties to the smaller id."""
+    up = np.flatnonzero((odds > 0) & (odds - prior > SURE))
+    down = np.flatnonzero((odds < 0) & (odds - prior < -SURE))
+    return up[np.lexsort((ids[up], -odds[up]))[:good]], down[np.lexsort((ids[down], odds[down]))[:bad]]
+
+
+def _pseudo_labels(rows: DataFrame, wa: np.ndarray, wb: np.ndarray, known: np.ndarray, prior: float, good: int, bad: int) -> pd.DataFrame:
+    """view, label, odds, doc_id, a, b of what each view hands over, from all rows that are not known."""
+    shape = "view int, label int, sure double, doc_id long, a binary, b array<float>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            free = np.flatnonzero(~np.isin(ids, known))
+            batch = batch.take(pa.array(free))
+            if not batch.num_rows:
+                continue
+            a, b = _matrices(batch.column(1), batch.column(2))
+            picked = [best] if best is not None else []
+            for view, odds in ((0, _odds(wa, a)), (1, _odds(wb, b))):
+                for label, at in zip((1, 0), surest(odds, ids[free], prior, good, bad)):
+                    part = batch.take(pa.array(at))
+                    n = len(at)
+                    picked.append(pa.table([pa.array(np.full(n, view), pa.int32()), pa.array(np.full(n, label), pa.int32()), pa.array(np.abs(odds[at])), part.column(0), part.column(1), part.column(2)], names=["view", "label", "sure", "doc_id", "a", "b"]))
+            best = _first(pa.concat_tables(picked, promote_options="permissive"), good, bad)
+        if best is not None and best.num_rows:
+            yield from best.combine_chunks().to_batches()
+
+    found = rows.where("doc_id is not null").select("doc_id", "a", "b").mapInArrow(run, shape)
+    per_task = pa.Table.from_pandas(found.toPandas(), preserve_index=False)  # 2 * HANDED a task at most
+    return _first(per_task, good, bad).to_pandas()
+
+
+def _first(picked: pa.Table, good: int, bad: int) -> pa.Table:
+    """Of each view and label the surest rows; ties to the smaller id."""
+    view, label, sure, ids = (picked.column(c).to_numpy() for c in ("view", "label", "sure", "doc_id"))
+    order = np.lexsort((ids, -sure, label, view))
+    stays = [at[: good if lab else bad] for v in (0, 1) for lab in (1, 0) for at in [order[(view[order] == v) & (label[order] == lab)]]]
+    return picked.take(pa.array(np.concatenate(stays)))
+
+
+def _matrices(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(a.to_pylist()), np.float16).reshape(len(a), -1).astype(np.float32)
+    return x, b.flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+
+
+def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, hand, rounds: int = ROUNDS, handed: int = HANDED) -> Model:
+    """Fit on labelled rows; two thirds learn, a third calibrates.
+
+    `hand(wa, wb, prior, good, bad)` gives of each view what it hands over as (view, features for
+    the other view, labels).
+    """
     learn = np.arange(len(y)) % 3 != 0
     if y[learn].min() == y[learn].max() or y[~learn].min() == y[~learn].max():
         learn = np.ones(len(y), bool)
     check = ~learn if not learn.all() else learn
     share = y[learn].mean()
-    sets = {"a": ([a[learn]], [y[learn]]), "b": ([b[learn]], [y[learn]])}
-    free = np.ones(len(pool_a), bool)
+    prior = float(np.log(share / (1 - share)))
+    sets = ([a[learn]], [y[learn]]), ([b[learn]], [y[learn]])
+    good = max(1, round(handed * share))
+    w: list[np.ndarray | None] = [None, None]
     for r in range(rounds + 1):
-        wa, wb = (_logistic(np.concatenate(xs), np.concatenate(ys)) for xs, ys in sets.values())
-        if r == rounds or not free.any():
+        w = [_logistic(np.concatenate(xs), np.concatenate(ys), start=old) for (xs, ys), old in zip(sets, w)]
+        if r == rounds:
+            break
+        new = [x for x in hand(w[0], w[1], prior, good, max(1, handed - good)) if len(x[2])]
+        for view, x, labels in new:
+            sets[1 - view][0].append(x)
+            sets[1 - view][1].append(labels)
+        if not new:
             break
-        # Each view hands over its surest rows, in the shares of the labels so that classes keep their balance.
-        for w, pool, other, give in ((wa, pool_a, pool_b, "b"), (wb, pool_b, pool_a, "a")):
-            place = np.flatnonzero(free)
-            odds = _odds(w, pool[place])
-            order = np.argsort(odds, kind="stable")
-            good, bad = max(1, round(handed * share)), max(1, round(handed * (1 - share)))
-            for picked, label in ((order[-good:], 1.0), (order[:bad], 0.0)):
-                sure = picked[np.abs(odds[picked]) > 1.0]
-                sets[give][0].append(other[place[sure]])
-                sets[give][1].append(np.full(len(sure), label))
-                free[place[sure]] = False
     calibration, told = [], []
-    for w, x in ((wa, a), (wb, b)):
-        c = _logistic(_odds(w, x[check])[:, None], y[check], ridge=1e-3)
-        p = 1 / (1 + np.exp(-np.clip(c[0] * _odds(w, x[check]) + c[1], -30, 30)))
+    for k, x in ((0, a), (1, b)):
+        odds = _odds(w[k], x[check])
+        c = _logistic(odds[:, None], y[check], ridge=1e-3)
+        p = 1 / (1 + np.exp(-np.clip(c[0] * odds + c[1], -30, 30)))
         base = y[check].mean()
         gain = np.mean(np.log(np.where(y[check] == 1, p, 1 - p) + 1e-9)) - np.mean(np.log(np.where(y[check] == 1, base, 1 - base) + 1e-9))
         calibration.append((float(c[0]), float(c[1])))
         told.append(max(gain, 0.0))
     total = sum(told) or 1.0
-    prior = float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
-    return Model(wa.tolist(), wb.tolist(), tuple(calibration), (told[0] / total, told[1] / total), prior)
-
+    return Model(w[0], w[1], tuple(calibration), (told[0] / total, told[1] / total), prior)
 
-def _drawn(rows: DataFrame, most: int, count: int, salt: int) -> pd.DataFrame:
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40))
-    below = min(1 << 40, int((1 << 40) * 1.2 * (most + 50) / max(count, 1)))
-    return rows.where(draw < below).orderBy(draw, "doc_id").limit(most).toPandas()
 
-
-def fit(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, label: str = "quality") -> Model | float:
-    """A model from labelled rows that are not held out, or the share of good rows if one class is missing."""
+def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model | float:
+    """A model from stored features (see `features`) and labels of rows that are not held out."""
     marks = labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    if not counts.get(0) or not counts.get(1):
-        return counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    rows = docs.where(~held_out())
-    total = rows.select("doc_id").count()
-    chosen = _drawn(marks, SAMPLE, sum(counts.values()), 21)
-    known = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")  # at most SAMPLE rows
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(22)), F.lit(1 << 40)) < min(1 << 40, int((1 << 40) * POOL / max(total, 1)))
-    some = rows.join(F.broadcast(known.withColumnRenamed("doc_id", "_rv_id")), F.col("doc_id").cast("long") == F.col("_rv_id"), "left").where(F.col("_rv_id").isNotNull() | drawn)
-    some = some.select("doc_id", "text", "source", "lang", "label")
-    with_label = features(some, pages).join(F.broadcast(known), "doc_id", "left").select("doc_id", "label", "a", "b").toPandas()  # bounded as above
-    with_label = with_label.sort_values("doc_id", kind="stable")
-    a, b = (np.array(with_label[c].tolist(), dtype=float) for c in "ab")
-    is_known = with_label["label"].notna().to_numpy()
-    y = with_label["label"][is_known].to_numpy(float)
+    ids = stored(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).join(marks, "doc_id"), "labelled")
+    total = ids.count()
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 40))
+    below = min(1 << 40, int((1 << 40) * 1.2 * (sample + 50) / max(total, 1)))
+    chosen = ids.where(draw < below).orderBy(draw, "doc_id").limit(sample).select("doc_id", "label")
+    known = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "a", "b").toPandas()  # at most `sample` rows
+    known = known.sort_values("doc_id", kind="stable")
+    y = known["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
-    return co_train(a[is_known], b[is_known], y, a[~is_known], b[~is_known])
+    a, b = _matrices(pa.array(known["a"]), pa.array(known["b"].map(list).tolist(), pa.list_(pa.float32())))
+    labelled = known["doc_id"].to_numpy()
+    seen = [labelled]
 
+    def hand(wa: np.ndarray, wb: np.ndarray, prior: float, good: int, bad: int):
+        found = _pseudo_labels(rows, wa, wb, np.concatenate(seen), prior, good, bad)
+        seen.append(found["doc_id"].to_numpy())
+        for view in (0, 1):
+            own = found[found["view"] == view]
+            if len(own):
+                xa, xb = _matrices(pa.array(own["a"]), pa.array(own["b"].map(list).tolist(), pa.list_(pa.float32())))
+                yield view, (xb, xa)[view], own["label"].to_numpy(float)
 
-def _dot(column: str, w: list[float]) -> Column:
-    terms = F.zip_with(F.col(column), F.lit(w[:-1]), lambda x, y: x.cast("double") * y)
-    return F.aggregate(terms, F.lit(float(w[-1])), lambda s, x: s + x)
+    return co_train(a.astype(float), b.astype(float), y, hand)
 
 
-def score(docs: DataFrame, model: Model | float, pages: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out, text_score, metadata_score, score, predicted: one row per row of docs."""
-    rows = features(docs, pages)
-    chance = lambda odds: 1 / (1 + F.exp(-odds))
-    if not isinstance(model, Model):
-        same = F.lit(float(model))
-        rows = rows.select("doc_id", held_out().alias("held_out"), same.alias("text_score"), same.alias("metadata_score"), same.alias("score"))
-    else:
-        odds = [F.lit(c[0]) * _dot(v, w) + F.lit(c[1]) for v, w, c in zip("ab", (model.a, model.b), model.calibration)]
-        both = F.lit(model.prior) + sum((F.lit(k) * (o - F.lit(model.prior)) for k, o in zip(model.weights, odds)), F.lit(0.0))
-        rows = rows.select("doc_id", held_out().alias("held_out"), chance(odds[0]).alias("text_score"), chance(odds[1]).alias("metadata_score"), chance(both).alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+def score(rows: DataFrame, model: Model | float) -> DataFrame:
+    """doc_id, held_out, text_score, metadata_score, score, predicted, metadata_weight: one row per row of features."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "held_out", "text_score", "metadata_score", "score", "predicted", "metadata_weight"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        chance = lambda odds: 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        for batch in batches:
+            n = batch.num_rows
+            if isinstance(m, Model):
+                odds = [c[0] * _odds(w, x) + c[1] for x, w, c in zip(_matrices(batch.column(2), batch.column(3)), (m.a, m.b), m.calibration)]
+                both = m.prior + sum(k * (o - m.prior) for k, o in zip(m.weights, odds))
+                values, weight = [chance(odds[0]), chance(odds[1]), chance(both)], m.weights[1]
+            else:
+                values, weight = [np.full(n, float(m))] * 3, 0.0
+            columns = [batch.column(0), batch.column(1), *map(pa.array, values), pa.array((values[2] >= 0.5).astype(np.int32)), pa.array(np.full(n, weight))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    shape = "doc_id long, held_out boolean, text_score double, metadata_score double, score double, predicted int, metadata_weight double"
+    return rows.mapInArrow(run, shape)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordvol.llm import ann, exact_dedup, language_id, mixing, packing, quality, simhash, token_output, toxicity, url_filter
+from recordvol.llm._common import stored
 from recordvol.llm.url_filter import Rule
 
 URL_RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
@@ -15,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folder or resolver of tokenizer files; ids its vocabulary may give, with the end ids used here.
+#: Ids the tokenizer of op2_token_output may give, its end id included.
 VOCABULARY = 50_257
 
 
@@ -46,8 +47,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), pages), pages)
+    rows = stored(quality.features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")), "quality-features")
+    return quality.score(rows, quality.fit(rows, table(spark, sf_dir, "labels")))
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
