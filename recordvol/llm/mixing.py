@@ -13,8 +13,10 @@ A source's very long documents are settled before, as small documents cannot mak
 one in the landing. What they take more or less than expected is spread over the chances of the
 source's other documents, so the expected words still equal the target.
 
-Blocks are drawn by hash of the document's id, so a source with a third of all rows is as many
-groups as its size needs, and reruns agree whatever the partitions.
+Repeated rows (same id, text and source) are counted first and numbered by their count, so they are
+alike in every run. Blocks are drawn by hash of id, text and number: a source, or a row, with a
+third of all rows is as many groups as its size needs, and reruns agree whatever the partitions.
+The targets are found by sorting one row per source (some 40 bytes) in one task.
 
 Defined results: a null source is a source of its own, the last; null and empty texts have size 0
 and take nothing; a source without words has target 0; repeated rows are drawn each for itself; a
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordvol.llm._common import stored
+from recordvol.llm._common import lookup, spread, stored
 
 #: Documents of a block, about.
 BLOCK = 4096
@@ -42,7 +44,9 @@ LONG, MOST_LONG = 20, 256
 WEIGHTS = (1, 2, 3)
 #: A target is at most so many times its source.
 MOST = 3
-FLIGHT = "doc_id long, h long, source string, size long, chance double, copies int, block long, blocks long"
+FLIGHT = "doc_id long, h long, source string, size long, place long, chance double, copies int, block long, blocks long"
+#: What tells two rows of a flight apart.
+ROW = ("source", "size", "h", "doc_id", "place")
 
 
 def words(text: Column) -> Column:
@@ -81,17 +85,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def plan(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """doc_id, h, source, size, source_size, target, copies: one row per row of docs; h is the hash of its text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"))
-    rows = stored(rows, "sizes")
-    wanted = stored(targets(rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size")), weights, most), "targets")
+    rows = stored(rows.groupBy("doc_id", "h", "source", "size").agg(F.count("*").alias("rows")), "sizes")
+    wanted = stored(targets(rows.groupBy("source").agg(F.sum("rows").alias("docs"), F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, most), "targets")
 
     same = F.col("x.source").eqNullSafe(F.col("y.source"))
     ratio = F.when(F.col("y.source_size") > 0, F.col("y.target") / F.col("y.source_size")).otherwise(0.0)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("y.docs") / block))
-    flying = rows.alias("x").join(wanted.alias("y"), same).select(
-        "x.doc_id", "x.h", "x.source", "x.size",
+    flying = numbered(rows, block).alias("x").join(wanted.alias("y"), same).select(
+        "x.doc_id", "x.h", "x.source", "x.size", "x.place",
         (ratio - F.floor(ratio)).alias("chance"),
         F.floor(ratio).cast("int").alias("copies"),
-        F.pmod(F.xxhash64("x.doc_id", "x.h"), blocks).alias("block"),
+        F.pmod(F.xxhash64("x.doc_id", "x.h", "x.place"), blocks).alias("block"),
         blocks.alias("blocks"),
         "y.docs", "y.source_size",
     )
@@ -114,26 +118,31 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", weights: t
     return out.alias("x").join(wanted.alias("y"), same).select("x.doc_id", "x.h", "x.source", "x.size", "y.source_size", "y.target", "x.copies")
 
 
+def numbered(rows: DataFrame, chunk: int) -> DataFrame:
+    """rows without their column `rows`, each as often as it says, numbered from 0 (place). No task holds more than a chunk of one row's."""
+    chunks = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / chunk))).alias("chunk"))
+    if not rows.where(F.col("rows") > chunk).isEmpty():
+        chunks = chunks.repartition(spread(rows), "doc_id", "h", "chunk")
+    first = F.col("chunk") * chunk
+    return chunks.withColumn("place", F.explode(F.sequence(first, F.least(first + chunk, F.col("rows")) - 1))).drop("rows", "chunk")
+
+
 def _settled(flying: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents that fly, with the chances that are left to them, and the very long ones, decided."""
     columns = [c.split()[0] for c in FLIGHT.split(", ")]
-    by_size = Window.partitionBy("source").orderBy(F.desc("size"), "h", "doc_id")
+    by_size = Window.partitionBy("source").orderBy(F.desc("size"), "h", "doc_id", "place")
     is_long = (F.col("size") * F.col("docs") > LONG * F.col("source_size")) & (F.col("chance") > 0)
-    long = flying.where(is_long).withColumn("place", F.row_number().over(by_size)).where(F.col("place") <= MOST_LONG)
+    long = flying.where(is_long).withColumn("nth", F.row_number().over(by_size)).where(F.col("nth") <= MOST_LONG)
     settle = long.select(*columns[:-2], F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("blocks"), F.col("chance").alias("was"))
     decide = _flights(0)
     settled = settle.groupBy("source").applyInPandas(lambda pdf: decide(pdf.drop(columns="was")).assign(was=pdf["was"].iloc[0]), f"{FLIGHT}, was double")
     settled = stored(settled, "settled")
-    # Ties in order of the window are rows alike in size, text and id; of those only the number settled counts.
-    key = ["source", "size", "h", "doc_id"]
-    done = settled.groupBy(*key).agg(F.count("*").alias("done"))
     over = settled.groupBy("source").agg(F.sum((F.col("was") - F.col("chance")) * F.col("size")).alias("over"), F.sum("size").alias("words"))
     same = lambda t, ks: [F.col(f"f.{k}").eqNullSafe(F.col(f"{t}.{k}")) for k in ks]
     rest = flying.alias("f").join(F.broadcast(over).alias("o"), same("o", ["source"]), "left")
     maybe = is_long & F.col("o.words").isNotNull()
     rest = rest.select("f.*", "over", "words", F.coalesce(maybe, F.lit(False)).alias("maybe"))
-    few = rest.where("maybe").alias("f").join(done.alias("d"), same("d", key), "left").select("f.*", F.coalesce("done", F.lit(0)).alias("done"))
-    few = few.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("size"))).where("nth > done").drop("nth", "done")
+    few = rest.where("maybe").alias("f").join(settled.select(*ROW).alias("d"), same("d", ROW), "left_anti")
     rest = rest.where("not maybe").unionByName(few)
     moved = F.col("chance") + F.col("over") / (F.col("source_size") - F.col("words"))
     chance = F.when(F.col("over").isNotNull() & (F.col("chance") > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved))).otherwise(F.col("chance"))
@@ -142,7 +151,7 @@ def _settled(flying: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _flights(level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["h", "doc_id", "size", "place"], kind="stable", ignore_index=True)
         chance, size = pdf["chance"].to_numpy(float).copy(), pdf["size"].to_numpy(float)
         seed = [int(x) & 0xFFFFFFFF for x in (pdf["h"].iloc[0], pdf["block"].iloc[0], level)]
         by_size = np.argsort(-size, kind="stable")
@@ -207,15 +216,26 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source") -> DataFram
 
     Rows without words stay out, as they add nothing.
     """
+    key = lambda *c: F.concat_ws("-", F.xxhash64(*c), F.xxhash64(*c, F.lit(1)))
     taken = plan(docs, text, source).where("size > 0")
-    key = ["_rv_id", "_rv_h", "_rv_source"]
-    taken = taken.select(F.col("doc_id").alias(key[0]), F.col("h").alias(key[1]), F.col("source").alias(key[2]), "copies")
     # Repeated rows are alike: of n with c copies in all, the first c - n * least have one more than the least.
-    taken = taken.groupBy(*key).agg(F.min("copies").alias("_rv_least"), F.sum("copies").alias("_rv_sum"), F.count("*").alias("_rv_rows")).where("_rv_sum > 0")
-    rows = docs.withColumns({key[0]: F.col("doc_id").cast("long"), key[1]: F.xxhash64(text), key[2]: F.col(source).cast("string")}).alias("d")
-    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}")) for k in key]
-    found = rows.join(taken.alias("t"), on)
-    found = found.withColumn("_rv_place", F.row_number().over(Window.partitionBy(*(F.col(f"d.{k}") for k in key)).orderBy(F.lit(1))))
+    taken = taken.groupBy(key("doc_id", "h", "source").alias("_rv_key")).agg(F.min("copies").alias("_rv_least"), F.sum("copies").alias("_rv_sum"), F.count("*").alias("_rv_rows"))
+    taken = stored(taken.where("_rv_sum > 0"), "taken")
+    rows = docs.withColumn("_rv_key", key(F.col("doc_id").cast("long"), F.xxhash64(text), F.col(source).cast("string")))
+    found = lookup(rows, taken, "_rv_key", "_rv_rows").where("_rv_rows is not null")
+    same = Window.partitionBy("_rv_key")
+    few = found.where(F.col("_rv_rows") <= BLOCK).withColumn("_rv_place", F.row_number().over(same.orderBy(F.lit(1))))
+    if not taken.where(F.col("_rv_rows") > BLOCK).isEmpty():
+        few = few.unionByName(_places(stored(found.where(F.col("_rv_rows") > BLOCK).withColumn("_rv_task", F.spark_partition_id()), "repeated")))
     more = F.col("_rv_place") <= F.col("_rv_sum") - F.col("_rv_rows") * F.col("_rv_least")
     copies = (F.col("_rv_least") + more.cast("int")).cast("int")
-    return found.withColumn("_rv_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*(f"d.{c}" for c in docs.columns))
+    return few.withColumn("_rv_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """rows (stored) with `_rv_place`, their number from 1 among those of their key: by task, then in each task."""
+    own = rows.groupBy("_rv_key", "_rv_task").agg(F.count("*").alias("n"))  # a row per key and task
+    earlier = Window.partitionBy("_rv_key").orderBy("_rv_task").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("_rv_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    here = F.row_number().over(Window.partitionBy("_rv_key", "_rv_task").orderBy(F.lit(1)))
+    return rows.withColumn("_rv_place", here).join(own, ["_rv_key", "_rv_task"]).withColumn("_rv_place", F.col("_rv_place") + F.col("_rv_before")).drop("_rv_task", "_rv_before")
