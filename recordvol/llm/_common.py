@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder used for intermediate tables where the session names none (tests, notebooks).
-LOCAL_SHARED = "/tmp/checkpoints/recordvol"
 #: A key with more than total / HEAVY rows is heavy, so there are fewer than HEAVY heavy keys.
 HEAVY = 256
+#: Most bits of a filter (8 MB).
+MOST_BITS = 1 << 26
 #: Most bytes of text a Python task turns into Python objects at once.
 SLICE_BYTES = 4 << 20
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor can reach."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder in spark.checkpoint.dir, which every executor can reach.
+
+    Where a session names none, one of its own is made only in local mode, as in tests: there all
+    tasks share the machine's folders.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _FOLDERS.setdefault(f"{spark.sparkContext.applicationId} local", tempfile.mkdtemp(prefix="recordvol-"))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/recordvol/{name}-{uuid.uuid4().hex}"
+    """A new path for an intermediate table, in a folder that goes when the application ends."""
+    me = spark.sparkContext.applicationId
+    if me not in _FOLDERS:
+        _FOLDERS[me] = f"{shared_dir(spark)}/recordvol/{me}"
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS[me])
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return f"{_FOLDERS[me]}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -57,20 +77,24 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     )
 
 
-def marked(df: DataFrame, key: Column, keys: DataFrame, column: str, buckets: int = 1 << 16) -> DataFrame:
+def marked(df: DataFrame, key: Column, keys: DataFrame, column: str, bits: int | None = None) -> DataFrame:
     """Adds a boolean `column`: may `key` be among `keys`? Never false for one that is.
 
-    A single-hash filter of `buckets` cells: at most that many integers are broadcast, whatever
-    the size of keys. `keys` has one column of the same type as `key`.
+    A filter of `bits` bits, by default 32 for each key and MOST_BITS at most, so its size is bounded
+    whatever the size of keys; with more keys it lets more others pass. The filter is one row of
+    longs that a scalar subquery hands to the tasks. `keys` (stored) has one column of the type of `key`.
     """
-    cell = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(buckets)).cast("int")
-    cells = keys.select(cell.alias("_rv_cell")).distinct().withColumn(column, F.lit(True))
-    return (
-        df.withColumn("_rv_cell", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        .join(F.broadcast(cells), "_rv_cell", "left")
-        .drop("_rv_cell")
-        .withColumn(column, F.coalesce(F.col(column), F.lit(False)))
-    )
+    if bits is None:
+        bits = min(MOST_BITS, max(1 << 12, 1 << (32 * keys.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = place(F.col(keys.columns[0]))
+    words = keys.select((at / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    every = df.sparkSession.range(0, bits // 64, 1, 1).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    row = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bit", F.lit(0).cast("long")).alias("bit")))), lambda x: x["bit"]).alias("words"))
+    found = df.withColumn("_rv_cell", place(key))
+    word = F.get(row.scalar(), (F.col("_rv_cell") / 64).cast("int"))
+    return found.withColumn(column, F.getbit(word, F.pmod("_rv_cell", F.lit(64)).cast("int")) == 1).drop("_rv_cell")
 
 
 def slices(batch, column: int, most: int = SLICE_BYTES):

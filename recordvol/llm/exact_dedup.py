@@ -2,13 +2,17 @@
 
 1. Every text is normalised and digested; (row, doc_id, digest) is the log.
 2. Memtables: each task aggregates its rows by digest (Spark's partial aggregation) and flushes
-   sorted runs of (digest, smallest id, rows) with Parquet Bloom filters on the digest.
+   sorted runs of (digest, smallest id, rows).
 3. Compaction merges the runs of a level into one, keeping the smallest identifier.
-4. Hits are digests with more than one row. Their rows are read again and grouped by digest and
-   whole normalised text, so that a group is one text byte for byte, not one digest.
+4. Hits are digests with more than one row; those of the merged run make a filter of 32 bits a
+   digest. Rows are read again, every digest is looked up in the filter, and only rows that pass
+   are grouped by digest and whole normalised text, so that a group is one text byte for byte, not
+   one digest.
 
 Copies collapse inside each task before every shuffle, so a group with a third of all rows moves
-as one row per task. Only texts of possible hits are shuffled. DataFrame functions only.
+as one row per task. Texts outside the hits stay where they are, but for the one in 32 that the
+filter lets pass; its size is bounded (8 MB), so beyond two million hits it lets pass more, up to
+all of them: more texts move then, results are the same. DataFrame functions only.
 
 Defined results: null texts count as empty; empty and white-space-only texts are not special
 (`""` and `" "` differ, as runs of white space become one space); rows with a null doc_id come
@@ -24,8 +28,6 @@ from pyspark.sql import functions as F
 from recordvol.llm._common import lookup, marked, new_path, stored
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Cells of the broadcast filter over digests of hits: at most so many integers.
-FILTER_CELLS = 1 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -51,8 +53,6 @@ class DigestIndex:
             .agg(first, F.count("*").alias("n"))
             .sortWithinPartitions("run", "digest")
             .write.partitionBy("run")
-            .option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.expected.ndv#digest", "200000")
             .parquet(path)
         )
         self.runs.append(path)
@@ -64,7 +64,7 @@ class DigestIndex:
             level = level.unionByName(self._read(path))
         merged = level.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
         path = new_path(self.spark, "runs")
-        merged.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "200000").parquet(path)
+        merged.sortWithinPartitions("digest").write.parquet(path)
         self.runs = [path]
         return self._read(path)
 
@@ -80,9 +80,9 @@ def _log(docs: DataFrame, index: DigestIndex, text: str) -> DataFrame:
 
 def _possible_hits(docs: DataFrame, index: DigestIndex, merged: DataFrame, text: str) -> DataFrame:
     """Rows of docs with `_rv_text`, `_rv_digest` and whether their digest may have several rows."""
-    hits = merged.where("n > 1").select("digest")
+    hits = stored(merged.where("n > 1").select("digest"), "hit-digests")
     rows = docs.withColumn("_rv_text", normalised(F.col(text))).withColumn("_rv_digest", index.shortened(F.sha2("_rv_text", 256)))
-    return marked(rows, F.col("_rv_digest"), hits, "_rv_hit", FILTER_CELLS)
+    return marked(rows, F.col("_rv_digest"), hits, "_rv_hit")
 
 
 def groups(docs: DataFrame, text: str = "text", digest_bits: int = 256, runs: int = 4) -> DataFrame:

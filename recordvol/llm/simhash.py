@@ -306,7 +306,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, text: str = "text", words:
     pairs = stored(_near(nodes, bucket), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("pairs"))
     ends = stored(ends, "ends")
-    rows = marked(docs.select(F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text")), F.col("h"), ends.select("h"), "_rv_end", 1 << 20)
+    rows = marked(docs.select(F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text")), F.col("h"), ends.select("h"), "_rv_end")
     sets = rows.where("_rv_end").select("h", "text").mapInArrow(partial(_shingle_sets, words=words), "h long, shingles binary")
     sets = stored(sets.dropDuplicates(["h"]).join(ends, "h"), "shingles")
     side = lambda name, column: sets.select(F.col("h").alias(name), F.col("shingles").alias(column), "pairs")

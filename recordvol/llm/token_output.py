@@ -19,6 +19,7 @@ other columns are ignored. One document's ids must fit into one Spark row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordvol.llm._common import new_path, slices, spread
+from recordvol.llm._common import new_path, shared_dir, slices, spread
 from recordvol.llm.tokenization import TEXT_BYTES, encoder, pack
 
 BLOCKS = "shard int, start long, doc_ids array<long>, lengths array<int>, control binary, data binary"
@@ -106,7 +107,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, voca
     counted, broadcast and kept as the rank table (four bytes each).
     """
     spark = docs.sparkSession
-    path = path or new_path(spark, "tokens")
+    path = path or f"{shared_dir(spark)}/recordvol/tokens-{uuid.uuid4().hex}"
     end = pack([end_id])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,13 +5,15 @@ hashed into 2^BITS places; a text's vector is the log-damped count of each place
 rate per coordinate and an L1 penalty, so most weights are exactly zero and what remains (index,
 weight) is a small table: it is bounded by the number of places, 4 bytes each, and broadcast.
 
-Fitting takes at most SAMPLE labelled rows of each class, drawn by hash. Several tasks train on
+Fitting takes at most SAMPLE labelled documents of each class, drawn by hash. Several tasks train on
 disjoint parts of it side by side, their weights are averaged, and the next round starts from the
-average (iterative parameter mixing). A sixth of the sample calibrates the scores afterwards.
+average (iterative parameter mixing). A sixth of the sample calibrates the scores afterwards; its
+texts are summed up in tasks, and only sums and labels reach the driver.
 
 Defined results: null and empty texts have no feature and the score of the intercept; repeated rows
-get the same score; without labelled rows of both classes all scores are the share of toxic rows
-(0 if there are none); an empty table gives no rows; other columns are ignored.
+get the same score; labels of documents that are not there do not count; without labelled documents
+of both classes all scores are the share of toxic ones (0 if there are none); an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordvol.llm._common import held_out, slices, stored
@@ -147,26 +149,28 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model:
     """Learn from labelled rows that are not held out."""
-    marks = labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    marks = labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    marks = stored(marks.join(there, "doc_id").select("doc_id", "label"), "toxicity-labels")
     counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     if not counts.get(0) or not counts.get(1):
         share = counts.get(1, 0) / max(1, sum(counts.values()))
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((share + 1e-12) / (1 - share + 1e-12))))
     most = {1: sample[0], 0: sample[1]}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40))
-    below = {k: F.lit(min(1 << 40, int((1 << 40) * 1.5 * (v + 100) / counts[k]))) for k, v in most.items()}
-    is_toxic = F.col("label") == 1
-    near = marks.where(draw < F.when(is_toxic, below[1]).otherwise(below[0]))  # about 1.5 times the sample
-    drawn = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.when(is_toxic, most[1]).otherwise(most[0]))
-    drawn = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "place", "text")  # at most sum(sample) rows
+    # About 1.5 times the sample passes by its draw alone, then the bound holds exactly.
+    chosen = [marks.where((F.col("label") == k) & (draw < _below(v, counts[k]))).orderBy(draw, "doc_id").limit(v) for k, v in most.items()]
+    drawn = chosen[0].unionByName(chosen[1])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    drawn = texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])  # at most sum(sample) rows
     shards = max(1, sum(min(counts[k], v) for k, v in most.items()) // SHARD)
-    drawn = stored(drawn.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).cast("int")), "toxicity-sample")
+    part = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n)).cast("int")
+    drawn = stored(drawn.withColumns({"shard": part(5, shards), "place": part(17, 6)}), "toxicity-sample")
     spark = docs.sparkSession
     mixed = None
     for round_ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(mixed)
-        parts = drawn.where("place % 6 <> 0").groupBy("shard").applyInPandas(_learner(shared, round_), "place long, weight double, square double")
+        parts = drawn.where("place <> 0").groupBy("shard").applyInPandas(_learner(shared, round_), "place long, weight double, square double")
         sums = parts.groupBy("place").agg(F.sum("weight").alias("w"), F.sum("square").alias("s"), F.count("*").alias("k")).toPandas()  # at most 2^BITS + 1 rows
         w, s = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
         learners = sums["k"].max()  # each has an intercept
@@ -174,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         mixed = (w.astype(np.float32), s.astype(np.float32))
     (places,) = np.nonzero(mixed[0][:-1])
     model = Model(places, mixed[0][places], float(mixed[0][-1]))
-    return _calibrated(model, drawn.where("place % 6 = 0"), counts)
+    seen = drawn.where("place = 0").select("label", "text").mapInArrow(_raw(spark.sparkContext.broadcast(model)), "label int, raw double").toPandas()
+    return _calibrated(model, seen, counts)
 
 
 def _below(sample: int, count: int) -> int:
@@ -201,15 +206,23 @@ def _learner(shared, round_: int):
     return run
 
 
-def _calibrated(model: Model, drawn: DataFrame, counts: dict[int, int]) -> Model:
-    """Slope and shift (Platt) on texts the weights have not seen, at the classes' true shares."""
-    pdf = drawn.select("label", "text").toPandas()  # a sixth of the bounded sample
-    if pdf["label"].nunique() < 2:
+def _raw(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, features = shared.value, Features()
+        dense = model.dense()
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.raw(dense, *features.places(part.column(1))))], names=["label", "raw"])
+
+    return run
+
+
+def _calibrated(model: Model, seen: pd.DataFrame, counts: dict[int, int]) -> Model:
+    """Slope and shift (Platt) on texts (label, raw) the weights have not seen, at the classes' true shares."""
+    if seen["label"].nunique() < 2:
         return model
-    features, dense, raw = Features(), model.dense(), []
-    for i in range(0, len(pdf), 200):
-        raw.append(model.raw(dense, *features.places(pa.array(pdf["text"].iloc[i : i + 200], pa.string()))))
-    x, y = np.concatenate(raw), pdf["label"].to_numpy(float)
+    seen = seen.sort_values(["label", "raw"], kind="stable")
+    x, y = seen["raw"].to_numpy(float), seen["label"].to_numpy(float)
     weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
     weight /= weight.mean()
     positive, negative = (y == 1).sum(), (y == 0).sum()
