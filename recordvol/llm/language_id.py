@@ -15,8 +15,9 @@ margin that falls with the square root of the length.
 
 Fitting takes a bounded sample: of each language at most SAMPLE documents with TRAIN_CHARS
 characters in all, drawn by hash; of a document longer than 1/LONGEST of these characters, that many
-from its start, so no single one displaces the others. A language's model has at most ORDER * MOST_GRAMS entries of 16
-bytes, so what is broadcast is bounded by the number of languages alone.
+from its start, so no single one displaces the others. These bounds are the only ones: every n-gram
+of the sample is in the model, at most ORDER * TRAIN_CHARS entries of 16 bytes a language. Models of
+more than MOST_BYTES in all are an error, as they are broadcast.
 
 Defined results: a null text, an empty one and one without a letter have language `und`, score 0
 and are rejected; ties go to the language first in order; repeated rows get the same result; with
@@ -37,11 +38,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordvol.llm._common import held_out, slices
+from recordvol.llm._common import held_out, slices, stored
 
 ORDER = 5
-#: Bounds of the sample of each language, and of an order of its model.
-SAMPLE, TRAIN_CHARS, MOST_GRAMS = 1200, 600_000, 150_000
+#: Bounds of the sample of each language, and of all models together.
+SAMPLE, TRAIN_CHARS, MOST_BYTES = 1200, 600_000, 512 << 20
 #: A document gives at most this part of TRAIN_CHARS to the sample.
 LONGEST = 40
 #: Probability of a character no model has seen.
@@ -97,7 +98,7 @@ class Model:
     empty: float
 
 
-def train(language: str, counts: dict[str, int], most: int = MOST_GRAMS) -> Model:
+def train(language: str, counts: dict[str, int]) -> Model:
     """Interpolated Kneser-Ney from cleaned words and how often they occur."""
     words = [w for w in counts if w]
     chars, hashes, longest, ends = grams(words)
@@ -119,9 +120,6 @@ def train(language: str, counts: dict[str, int], most: int = MOST_GRAMS) -> Mode
             raw = np.where((n > 1) & edge_start(n, where) | (before == 0), raw, before)
         longer = hashes[n - 2][where] if n > 1 else None
         context = hashes[n - 2][where - 1] if n > 1 else np.zeros(len(gram), np.uint64)
-        if len(gram) > most:
-            keep = np.sort(np.argsort(-raw, kind="stable")[:most])
-            gram, raw, context = gram[keep], raw[keep], context[keep]
         tables.append((gram, raw, context))
     tables.reverse()
 
@@ -232,7 +230,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     if not count:
         return Identifier([], 1.0, np.zeros(0), np.zeros(0))
     drawn = _sampled(rows, count, text, lang, sample, chars)
-    fitted = drawn.groupBy("lang").applyInPandas(_train_one, "lang string, arrays array<binary>, empty double").collect()  # bounded models
+    fitted = stored(drawn.groupBy("lang").applyInPandas(_train_one, "lang string, arrays array<binary>, empty double"), "models")
+    size = fitted.agg(F.sum(F.aggregate("arrays", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"models of {len(count)} languages have {size} bytes; {MOST_BYTES} is the most that is broadcast")
+    fitted = fitted.collect()
     models = [_unpacked(r) for r in sorted(fitted, key=lambda r: r["lang"])]
     seen = drawn.where("place % 3 = 0").select("lang", "text").mapInArrow(_sums_of(models), _sums_schema(models, "lang string")).toPandas()  # sums only
     return _calibrated(models, seen)
