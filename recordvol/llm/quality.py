@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordvol.llm._common import held_out, slices, stored
@@ -182,9 +182,12 @@ def _pseudo_labels(rows: DataFrame, wa: np.ndarray, wb: np.ndarray, known: np.nd
         if best is not None and best.num_rows:
             yield from best.combine_chunks().to_batches()
 
-    found = rows.where("doc_id is not null").select("doc_id", "a", "b").mapInArrow(run, shape)
-    per_task = pa.Table.from_pandas(found.toPandas(), preserve_index=False)  # 2 * HANDED a task at most
-    return _first(per_task, good, bad).to_pandas()
+    key = ["view", "label", "doc_id"]
+    found = stored(rows.where("doc_id is not null").select("doc_id", "a", "b").mapInArrow(run, shape), "surest")  # 2 * HANDED a task at most
+    best = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id")
+    first = found.groupBy(*key).agg(F.max("sure").alias("sure")).withColumn("place", F.row_number().over(best))
+    first = first.where(F.col("place") <= F.when(F.col("label") == 1, good).otherwise(bad)).drop("sure")
+    return found.join(F.broadcast(first), key).dropDuplicates(key).orderBy("view", "label", "place").toPandas()  # 2 * HANDED in all
 
 
 def _first(picked: pa.Table, good: int, bad: int) -> pa.Table:
