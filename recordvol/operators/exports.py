@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordvol.functions.text import date_text, event_line
 from recordvol.schema import KEYS, TIMEFRAMES
 
+#: Rules of a card. The wording of cards below is fixed as well.
 RULE, LINE = "=" * 80, "-" * 40
 
 
@@ -103,6 +104,11 @@ def latest_activity(results: DataFrame) -> DataFrame:
     return rows.select("ticker", F.col("b.timeframe").alias("timeframe"), F.col("b.days_since_hve").alias("days"))
 
 
+def most_recent(results: DataFrame, most: int = 10) -> DataFrame:
+    """The `most` series with the youngest record (10 in the printed list, 20 in the chart, 50 charts of single series)."""
+    return by_recency(results).limit(most)
+
+
 def by_recency(results: DataFrame) -> DataFrame:
     return results.orderBy("days_since_hve", "ticker")
 

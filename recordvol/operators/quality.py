@@ -47,22 +47,32 @@ def series_stats(bars: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(bars: DataFrame, override: int | None = None) -> DataFrame:
-    """timeframe, ticker, valid and reason: the first test a series fails, or "Valid data"."""
+def verdict(override: int | None = None, closes: Column | None = None) -> Column:
+    """The first test a series fails by its statistics, or "Valid data". Texts are fixed values."""
     n = F.col("bars")
     least = least_bars(override)
-    reason = (
+    return (
         F.when(n < least, F.format_string("Insufficient data: %d < %d (%s)", n, least, F.col("timeframe")))
+        .when(F.lit(False) if closes is None else ~closes, "Missing Close price column")
         .when(F.col("missing") > n * MOST_MISSING, F.format_string("Too many missing Close prices: %d", F.col("missing")))
         .when(F.col("bad_prices") > 0, "Invalid price values (≤ 0)")
         .when(F.col("extreme") > F.col("changes") * MOST_EXTREME, F.format_string("Too many extreme price movements: %d", F.col("extreme")))
         .otherwise("Valid data")
     )
-    return series_stats(bars).select(*KEYS, (reason == "Valid data").alias("valid"), reason.alias("reason"))
 
 
-def valid_bars(bars: DataFrame, override: int | None = None) -> DataFrame:
-    return bars.join(verdicts(bars, override).where("valid").select(*KEYS), list(KEYS), "left_semi")
+def verdicts(bars: DataFrame, override: int | None = None, no_close: DataFrame | None = None) -> DataFrame:
+    """timeframe, ticker, valid and reason. no_close: tickers whose source has no column of closes."""
+    stats, closes = series_stats(bars), None
+    if no_close is not None:
+        stats = stats.join(no_close.select("ticker", F.lit(True).alias("_none")), "ticker", "left")
+        closes = F.col("_none").isNull()
+    reason = verdict(override, closes)
+    return stats.select(*KEYS, (reason == "Valid data").alias("valid"), reason.alias("reason"))
+
+
+def valid_bars(bars: DataFrame, override: int | None = None, no_close: DataFrame | None = None) -> DataFrame:
+    return bars.join(verdicts(bars, override, no_close).where("valid").select(*KEYS), list(KEYS), "left_semi")
 
 
 def data_summary(bars: DataFrame, sample: int | None = None) -> DataFrame:
@@ -70,8 +80,8 @@ def data_summary(bars: DataFrame, sample: int | None = None) -> DataFrame:
     if sample is not None:
         first = bars.select("ticker").distinct().orderBy("ticker").limit(sample)
         bars = bars.join(F.broadcast(first), "ticker", "left_semi")
-    stats = series_stats(bars).join(verdicts(bars).where("valid").select(*KEYS, F.lit(True).alias("ok")), list(KEYS), "left")
-    ok = F.col("ok").isNotNull()
+    stats = series_stats(bars)
+    ok = verdict() == "Valid data"
     n = F.count_if(ok)
     return stats.agg(
         F.count("*").alias("series"),

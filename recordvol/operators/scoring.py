@@ -28,8 +28,11 @@ def score(days: Column, count: Column, ratio_percent: Column) -> Column:
     return F.coalesce(F.round(recency + F.when(count.isNotNull(), frequency) + volume, 2), F.lit(0.0))
 
 
-def legacy_results(bars: DataFrame) -> DataFrame:
-    """Per series with a record past its first bar: counts, dates, largest and current values and detailed records."""
+def legacy_results(bars: DataFrame, empty: bool = False) -> DataFrame:
+    """Per series with a record past its first bar: counts, dates, largest and current values and detailed records.
+
+    empty: series without such a record are there too, with a count of 0 and nothing else.
+    """
     rows = record_flags(bars, first_is_record=False).withColumn("max_volume", F.max("volume").over(whole()))
     move = intraday_change(F.col("open"), F.col("close"))
     event = F.struct("d", "volume", "close", "open", "high", "low", move.alias("price_change_pct"))
@@ -44,8 +47,14 @@ def legacy_results(bars: DataFrame) -> DataFrame:
         F.count("*").alias("data_points"),
         F.sort_array(F.collect_list(F.when(F.col("is_record"), event)), asc=False).alias("hve_details"),
     )
-    out = out.where("hve_count > 0").withColumn("days_since_latest_hve", F.datediff("data_end_date", "latest_hve_date"))
-    return out.withColumn("volume_ratio_to_max", 100 * ratio(F.col("current_volume"), F.col("max_volume_ever")))
+    if empty:
+        known = [c for c in out.columns if c not in (*KEYS, "hve_count", "data_points", "hve_details")]
+        out = out.withColumns({c: F.when(F.col("hve_count") > 0, F.col(c)) for c in known})
+        out = out.withColumn("data_points", F.when(F.col("hve_count") > 0, F.col("data_points")).otherwise(0))
+    else:
+        out = out.where("hve_count > 0")
+    out = out.withColumn("days_since_latest_hve", F.datediff("data_end_date", "latest_hve_date"))
+    return out.withColumn("volume_ratio_to_max", F.when(F.col("hve_count") > 0, 100 * ratio(F.col("current_volume"), F.col("max_volume_ever"))))
 
 
 def scored(results: DataFrame) -> DataFrame:

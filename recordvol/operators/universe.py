@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Indexes of each choice; 0 is everything.
@@ -107,13 +107,55 @@ def union_selections(*selections: DataFrame) -> DataFrame:
     return out.withColumnRenamed("_selection", "selection").orderBy("selection", "place")
 
 
-def enriched(selection: DataFrame, universe: DataFrame, flags: Sequence[str], key: str = "ticker") -> DataFrame:
-    """Selection rows with their universe row; without one flags are false and texts null. The first row of a ticker counts."""
-    order = Window.partitionBy(key).orderBy(*[c for c in universe.columns if c != key])
-    once = universe.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+def enriched(selection: DataFrame, universe: DataFrame, flags: Sequence[str], key: str = "ticker", place: str | None = None) -> DataFrame:
+    """Selection rows with their universe row; without one flags are false and texts null.
+
+    The first universe row of a ticker counts: that of the smallest `place`, a column of universe that
+    is not carried over, or in the order of its columns where none is named. Columns of the selection
+    stay, so its own ordinal restores its order.
+    """
+    columns = [c for c in universe.columns if c not in (key, place)]
+    first = F.min_by(F.struct(*columns), place) if place else F.min(F.struct(*columns))
+    once = universe.groupBy(key).agg(first.alias("_row")).select(key, "_row.*")
     return selection.join(once, key, "left").withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
 
 
+def from_file(tickers: DataFrame, universe: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """A selection that is a file of tickers (place, ticker): each ticker once, at its first place, with its universe row."""
+    listed = tickers.where("ticker is not null").groupBy("ticker").agg(F.min("place").alias("ordinal"))
+    return enriched(listed, universe, flags, place="place").withColumnRenamed("ordinal", "place")
+
+
+def chosen(universe: DataFrame, choices: Sequence[int], files: Mapping[int, DataFrame], flags: Sequence[str]) -> DataFrame:
+    """The selection of one or several choices: those of FILE_CHOICES from their files, others by indexes; the first of each ticker counts."""
+    one = lambda c: from_file(files[c], universe, flags) if c in FILE_CHOICES else members(universe, c)
+    return union_selections(*map(one, choices))
+
+
+def choice_file_names(choices: Sequence[int], files: Mapping[int, str]) -> list[str]:
+    """The files of several choices, each once, in their order."""
+    if unknown := [c for c in choices if c not in files]:
+        raise ValueError(f"no file for choices {unknown}")
+    return list(dict.fromkeys(files[c] for c in choices))
+
+
+def read_universe(spark: SparkSession, path: str) -> DataFrame:
+    """A universe file with standard names, clean tickers and each row's place; market capitalisation is a number."""
+    raw = standard_names(spark.read.option("header", True).csv(path)).withColumn("place", F.monotonically_increasing_id())
+    if "market_cap" in raw.columns:
+        raw = raw.withColumn("market_cap", F.col("market_cap").try_cast("double"))
+    return cleaned(raw)
+
+
+def write_universe(universe: DataFrame, path: str) -> None:
+    """The universe with a flag for each index, exchange and rating it knows, as CSV."""
+    table = one_hot(universe) if "index" in universe.columns else universe
+    for column, prefix in (("exchange", "exchange_"), ("analyst rating", "rating_")):
+        if column in table.columns:
+            table = category_flags(table, column, prefix)
+    table.write.option("header", True).csv(path)
+
+
 def missing(selection: DataFrame, universe: DataFrame) -> DataFrame:
     """Selected tickers the universe does not have."""
     return selection.select("ticker").distinct().join(universe.select("ticker"), "ticker", "left_anti")

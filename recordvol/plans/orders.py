@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +65,33 @@ def intraday_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.to_date("ts").alias("d")).agg(F.count("*").cast("double").alias("volume"), F.max("value").alias("close"))
     none = F.lit(None).cast("double")
     return rows.select(F.lit("intraday").alias("timeframe"), "ticker", "d", none.alias("open"), none.alias("high"), none.alias("low"), "close", "volume")
+
+
+def uneven_bars(spark: SparkSession, sf_dir: str, *timeframes: str) -> DataFrame:
+    """Bars with calmer prices, and with what validation and filters look for: missing, bad, wild and last missing closes, and an index symbol."""
+    k = F.substring("ticker", -9, 9).cast("int") % 10
+    calm = 100 + F.col("close") / 100
+    close = F.when(k == 1, F.when(F.dayofmonth("d") > 6, calm)).when(k == 2, F.col("close")).when(k == 3, F.when(F.dayofmonth("d") > 2, calm).otherwise(0.0)).when(k == 5, F.when(F.col("d") < "2001-06-01", calm)).otherwise(calm)
+    ticker = F.when(k == 6, F.concat(F.lit("^FTSE"), F.substring("ticker", -9, 9))).otherwise(F.col("ticker"))
+    return bars(spark, sf_dir, *timeframes).withColumns({"close": close, "ticker": ticker})
+
+
+def csv_folder(spark: SparkSession, sf_dir: str, timeframe: str) -> str:
+    """A folder of bars files, one per ticker: of every other ticker with other columns, order and case."""
+    folder = f"{scratch(spark)}/bars-{uuid.uuid4().hex}"
+    rows = uneven_bars(spark, sf_dir, timeframe).repartition("ticker")
+    even = F.substring("ticker", -1, 1).cast("int") % 2 == 0
+    names = {"d": "Date", "open": "Open", "high": "High", "low": "Low", "close": "Close", "volume": "Volume"}
+    first = rows.where(even).select("ticker", *(F.col(c).alias(n) for c, n in names.items()))
+    other = rows.where(~even).select("ticker", F.lit("x").alias("Adj Close"), *(F.col(c).alias(c if c == "low" else names[c]) for c in ("volume", "close", "low", "high", "open")), F.concat(F.col("d").cast("string"), F.lit(" 00:00:00-05:00")).alias("Date"))
+    for part in (first, other):
+        part.write.mode("append").partitionBy("ticker").option("header", True).csv(folder)
+    return folder
+
+
+def scratch(spark: SparkSession) -> str:
+    """The shared folder spark.checkpoint.dir names; one of its own only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(folder or tempfile.mkdtemp(prefix='recordvol-')).rstrip('/')}/recordvol"

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from recordvol.operators import exports, matrix, quality, records, scoring, universe
 from recordvol.operators.records import Screen
-from recordvol.plans import orders
+from recordvol.plans import orders, screen
+from recordvol.sources import bars
+from recordvol.sources.settings import Settings
 
 START, END, AS_OF = "1996-01-01", "1999-12-31", "2001-11-02"
 FIXED = Screen(range_mode="fixed", start=START, end=END)
@@ -68,8 +70,8 @@ _SERIES = "PARTITION BY timeframe, ticker"
 _BEFORE = f"{_SERIES} ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
-def flags_sql(source: str = "daily", where: str = "true") -> str:
-    return f"""{BARS_SQL},
+def flags_sql(source: str = "daily", where: str = "true", base: str = BARS_SQL) -> str:
+    return f"""{base},
 ranged AS (SELECT * FROM {source} WHERE {where}),
 flagged AS (
   SELECT *, volume > coalesce(max(volume) OVER ({_BEFORE}), 0) AS is_record, max(d) OVER ({_SERIES}) AS latest_date, max(volume) OVER ({_SERIES}) AS max_volume, count(*) OVER ({_SERIES}) AS n
@@ -87,10 +89,10 @@ hv1y AS (
   FROM windowed WHERE window_n >= 2 GROUP BY timeframe, ticker)"""
 
 
-def summary_sql(source: str = "daily", where: str = "true", trailing: bool = False) -> str:
+def summary_sql(source: str = "daily", where: str = "true", trailing: bool = False, base: str = BARS_SQL) -> str:
     block = """hv1y_date, hv1y_volume, CAST(h.latest_date - hv1y_date AS BIGINT) AS days_since_hv1y, coalesce(hv1y_occ_1y, 0) AS hv1y_occ_1y, coalesce(hv1y_occ_1y, 0) AS total_hv1y_count,
   coalesce(hv1y_date = hve_date, false) AS is_hv1y_also_hve, CASE WHEN hv1y_volume IS NULL OR NOT hve_volume > 0 THEN 0.0::DOUBLE ELSE hv1y_volume / hve_volume END AS hv1y_to_hve_ratio,"""
-    return f"""WITH {flags_sql(source, where)}
+    return f"""WITH {flags_sql(source, where, base)}
 SELECT h.ticker, h.timeframe, hve_date, hve_volume, CAST(h.latest_date - hve_date AS BIGINT) AS days_since_hve, hve_occ_1y, total_hve_count, {block if trailing else ""}
   h.latest_date, latest_volume, latest_close, CASE WHEN hve_volume > 0 THEN latest_volume / hve_volume ELSE 0.0::DOUBLE END AS volume_ratio, data_points
 FROM hve h LEFT JOIN hv1y t ON h.timeframe = t.timeframe AND h.ticker = t.ticker"""
@@ -193,10 +195,7 @@ def latest_bar_filter(spark, sf_dir):
 
 # --- Validation ------------------------------------------------------------------------------------------------------
 
-STATS_SQL = f"""{BARS_SQL},
-intraday AS (
-  SELECT 'intraday' AS timeframe, 'U' || user_id AS ticker, CAST(ts AS DATE) AS d, max(value) AS close FROM events GROUP BY user_id, CAST(ts AS DATE)),
-checked AS (SELECT timeframe, ticker, d, close FROM every UNION ALL SELECT timeframe, ticker, d, close FROM intraday),
+_VERDICT_SQL = f"""
 moves AS (
   SELECT *, CASE WHEN last_value(close IGNORE NULLS) OVER ({_BEFORE}) <> 0 THEN close / last_value(close IGNORE NULLS) OVER ({_BEFORE}) - 1 END AS change FROM checked),
 stats AS (
@@ -206,6 +205,16 @@ verdict AS (
   SELECT *, CASE WHEN bars < least THEN 'Insufficient data: ' || bars || ' < ' || least || ' (' || timeframe || ')' WHEN missing > bars * 0.1 THEN 'Too many missing Close prices: ' || missing
     WHEN bad_prices > 0 THEN 'Invalid price values (≤ 0)' WHEN extreme > changes * 0.01 THEN 'Too many extreme price movements: ' || extreme ELSE 'Valid data' END AS reason
   FROM (SELECT *, CASE timeframe WHEN 'daily' THEN 252 WHEN 'weekly' THEN 52 WHEN 'monthly' THEN 12 WHEN 'intraday' THEN 100 ELSE 50 END AS least FROM stats))"""
+STATS_SQL = f"""{BARS_SQL},
+intraday AS (
+  SELECT 'intraday' AS timeframe, 'U' || user_id AS ticker, CAST(ts AS DATE) AS d, max(value) AS close FROM events GROUP BY user_id, CAST(ts AS DATE)),
+checked AS (SELECT timeframe, ticker, d, close FROM every UNION ALL SELECT timeframe, ticker, d, close FROM intraday),{_VERDICT_SQL}"""
+UNEVEN_SQL = f"""{BARS_SQL},
+uneven AS (
+  SELECT timeframe, CASE WHEN k = 6 THEN '^FTSE' || right(ticker, 9) ELSE ticker END AS ticker, d, open, high, low,
+    CASE k WHEN 1 THEN CASE WHEN day(d) > 6 THEN calm END WHEN 2 THEN close WHEN 3 THEN CASE WHEN day(d) > 2 THEN calm ELSE 0.0::DOUBLE END WHEN 5 THEN CASE WHEN d < DATE '2001-06-01' THEN calm END ELSE calm END AS close, volume
+  FROM (SELECT *, CAST(right(ticker, 9) AS INT) % 10 AS k, 100 + close / 100 AS calm FROM every)),
+checked AS (SELECT timeframe, ticker, d, close FROM uneven),{_VERDICT_SQL}"""
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,6 +237,35 @@ def data_summary(spark, sf_dir):
     return quality.data_summary(_checked(spark, sf_dir))
 
 
+@_query(f"WITH {UNEVEN_SQL} SELECT timeframe, ticker, reason = 'Valid data' AS valid, reason FROM verdict")
+def validation_verdict_uneven(spark, sf_dir):
+    return quality.verdicts(orders.uneven_bars(spark, sf_dir))
+
+
+@_query(f"""WITH {UNEVEN_SQL}, latest AS (SELECT timeframe, ticker, last(close ORDER BY d) AS c, last(volume ORDER BY d) AS v FROM uneven GROUP BY timeframe, ticker)
+SELECT timeframe, ticker, d, volume FROM uneven JOIN latest USING (timeframe, ticker) WHERE NOT coalesce(c < 112, false) AND NOT coalesce(v < 20, false)""")
+def latest_bar_filter_uneven(spark, sf_dir):
+    return records.latest_filter(orders.uneven_bars(spark, sf_dir), Screen(min_price=112.0, min_volume=20)).select("timeframe", "ticker", "d", "volume")
+
+
+@_query(f"WITH {UNEVEN_SQL} SELECT d, open, high, low, close, volume, ticker, timeframe FROM uneven WHERE timeframe = 'daily'")
+def csv_bars(spark, sf_dir):
+    return bars.read_csv_bars(spark, orders.csv_folder(spark, sf_dir, "daily"), "daily")
+
+
+_SCREENED = f"(SELECT u.* FROM uneven u JOIN verdict v USING (timeframe, ticker) WHERE v.reason = 'Valid data' AND u.ticker IN (SELECT s_name FROM supplier WHERE s_suppkey % 3 <> 0) AND timeframe <> 'monthly')"
+
+
+@_query(summary_sql(_SCREENED, f"d BETWEEN DATE '{START}' AND DATE '{END}'", trailing=True, base=UNEVEN_SQL))
+def full_screen(spark, sf_dir):
+    """From bars files and a selection by file to the results, by the settings of a run."""
+    settings = Settings(yf_daily_data=True, yf_weekly_data=True, hve_date_range_mode="fixed", hve_start_date=START, hve_end_date=END)
+    rows, no_close = screen.bars_of(spark, {t: orders.csv_folder(spark, sf_dir, t) for t in settings.timeframes()})
+    listed = orders.table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("place"), F.col("s_name").alias("ticker"))
+    selection = universe.chosen(universe.one_hot(clean_universe(spark, sf_dir), FLAGS), (6,), {6: listed}, FLAGS)
+    return flat(screen.run(rows, selection, settings, no_close=no_close))
+
+
 # --- Exports and cards -----------------------------------------------------------------------------------------------
 
 
@@ -319,6 +357,11 @@ def close_matrix(spark, sf_dir):
 _INDEXES = " OR ".join(f"contains(ticker, '{p}')" for p in matrix.INDEXES)
 
 
+@_query(f"""WITH {UNEVEN_SQL} SELECT d, ticker, close, reason = 'Valid data' AS valid FROM (SELECT * FROM uneven WHERE timeframe = 'daily') JOIN verdict USING (timeframe, ticker) WHERE NOT ({_INDEXES})""")
+def close_matrix_uneven(spark, sf_dir):
+    return matrix.long(orders.uneven_bars(spark, sf_dir, "daily"))
+
+
 @_query(f"""WITH {STATS_SQL} SELECT d, ticker, close, reason = 'Valid data' AS valid FROM daily JOIN verdict USING (timeframe, ticker) WHERE NOT ({_INDEXES})""")
 def close_matrix_all(spark, sf_dir):
     return matrix.long(orders.bars(spark, sf_dir, "daily"))
@@ -379,6 +422,21 @@ def enrich_left(spark, sf_dir):
     return universe.enriched(selection, known, ("SP500",))
 
 
+_TWICE = "(SELECT ticker, place, exchange FROM clean UNION ALL SELECT 'Supplier#' || lpad(CAST(place // 4 AS VARCHAR), 9, '0'), place + 1000000, exchange FROM clean)"
+
+
+@_query(f"""WITH {UNIVERSE_SQL}, listed AS (SELECT 'Supplier#' || lpad(CAST(s_suppkey // 2 AS VARCHAR), 9, '0') AS ticker, min(s_suppkey) AS place FROM supplier GROUP BY 1)
+SELECT ticker, l.place, u.exchange, ticker IN (SELECT c.ticker FROM clean c JOIN member m ON m.place = c.place WHERE index_name = 'SP500') AS SP500
+FROM listed l LEFT JOIN (SELECT ticker, arg_min(exchange, place) AS exchange FROM {_TWICE} GROUP BY ticker) u USING (ticker)""")
+def enrich_first_match(spark, sf_dir):
+    name = lambda k: F.concat(F.lit("Supplier#"), F.lpad(F.floor(k).cast("string"), 9, "0"))
+    listed = orders.table(spark, sf_dir, "supplier").select(name(F.col("s_suppkey") / 2).alias("ticker"), F.col("s_suppkey").alias("place"))
+    known = universe.one_hot(clean_universe(spark, sf_dir), ("SP500",)).select("ticker", "place", "exchange", "SP500")
+    # Later rows of the same tickers, which must not count.
+    again = known.select(name(F.col("place") / 4).alias("ticker"), (F.col("place") + 1000000).alias("place"), "exchange", F.lit(False).alias("SP500"))
+    return universe.from_file(listed, known.unionByName(again), ("SP500",))
+
+
 @_query(f"WITH {UNIVERSE_SQL} SELECT s_name AS ticker FROM supplier WHERE s_name NOT IN (SELECT ticker FROM clean)")
 def missing_from_universe(spark, sf_dir):
     return universe.missing(orders.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("ticker")), clean_universe(spark, sf_dir))

@@ -2,38 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordvol.schema import BARS, CSV, KEYS
 
+#: Settings that hold input folders, before the name of the environment.
+INPUT_SETTINGS = {"daily": "yf_daily_data_files_", "weekly": "yf_weekly_data_files_", "monthly": "yf_monthly_data_files_", "intraday": "tw_intraday_folder_"}
 #: Names a ticker column may have, in order of preference.
 TICKER_NAMES = ("ticker", "symbol", "Ticker", "Symbol")
 
 
-def read_csv_bars(spark: SparkSession, folder: str, timeframe: str, tickers: DataFrame | None = None) -> DataFrame:
-    """All `{ticker}.csv` files of a folder as one bars table; tickers without a file are simply not there.
+#: Commas that are not between quotes.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def cells(line: Column) -> Column:
+    """The fields of a line of CSV, without quotes around them."""
+    found = F.when(F.contains(line, F.lit('"')), F.split(line, _COMMA)).otherwise(F.split(line, ","))
+    return F.transform(found, lambda x: F.trim(F.trim(x), F.lit('"')))
+
+
+def csv_rows(spark: SparkSession, folder: str, tickers: DataFrame | None = None) -> DataFrame:
+    """ticker, line, the columns of CSV as text, and has_close, of all bars files of a folder.
 
-    With `tickers` only files of those are kept, before their rows are parsed.
+    Files are `{ticker}.csv`, or lie in folders `ticker={ticker}` as Spark writes them. Each file's
+    own header says where its columns are, whatever their order and case; a column that a file does
+    not have is null. A file is one row of the scan, which suits files of one series each (a daily
+    history takes some hundred KB). With `tickers` other files are left out before they are parsed.
     """
-    raw = spark.read.schema(CSV).option("header", True).option("mode", "PERMISSIVE").csv(f"{folder}/*.csv")
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")
-    raw = raw.select(F.url_decode(name).alias("ticker"), *CSV.fieldNames())
+    path = F.col("_metadata.file_path")
+    partition, name = F.regexp_extract(path, r"/ticker=([^/]+)/", 1), F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv")
+    # Paths are URLs, and Spark's partition folders escape their values once more.
+    ticker = F.when(partition != "", F.url_decode(F.url_decode(partition))).otherwise(F.url_decode(name))
+    files = files.select(ticker.alias("ticker"), F.ltrim(F.col("value"), F.lit("\ufeff")).alias("value"))
     if tickers is not None:
-        raw = raw.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
-    return tidy(raw, timeframe)
+        files = files.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
+    lines = files.select("ticker", F.split("value", r"\r?\n").alias("lines"))
+    lines = lines.withColumn("names", F.transform(cells(F.col("lines")[0]), lambda x: F.lower(x)))
+    rows = lines.select("ticker", "names", F.posexplode(F.slice("lines", 2, 1 << 30)).alias("line", "text")).where("trim(text) <> ''")
+    rows = rows.withColumn("cells", cells(F.col("text")))
+    column = lambda c: F.get("cells", (F.array_position("names", c.lower()) - 1).cast("int")).alias(c)
+    return rows.select("ticker", "line", *(column(c) for c in CSV.fieldNames()), F.array_contains("names", "close").alias("has_close"))
+
+
+def read_csv_bars(spark: SparkSession, folder: str, timeframe: str, tickers: DataFrame | None = None) -> DataFrame:
+    """All bars files of a folder as one table; tickers without a file are simply not there."""
+    return tidy(csv_rows(spark, folder, tickers), timeframe)
+
+
+def without_close(raw: DataFrame) -> DataFrame:
+    """Tickers whose file has no Close column (validation turns them down)."""
+    return raw.where("not has_close").select("ticker").distinct()
 
 
 def tidy(raw: DataFrame, timeframe: str) -> DataFrame:
     """Bars from text columns: the date before the first space, weekdays only, missing and NaN numbers null.
 
     Dates that cannot be parsed go with the missing ones (see `unreadable_dates`). Of several rows
-    of one day the last in (volume, close) order stays.
+    of one day the last in the file (by `line`) stays.
     """
     numbers = [number(F.col(c)).alias(c.lower()) if c in raw.columns else F.lit(None).cast("double").alias(c.lower()) for c in CSV.fieldNames()[1:]]
-    bars = raw.select(F.lit(timeframe).alias("timeframe"), "ticker", bar_date(F.col("Date")).alias("d"), *numbers)
+    bars = raw.select(F.lit(timeframe).alias("timeframe"), "ticker", bar_date(F.col("Date")).alias("d"), *numbers, "line")
     bars = bars.where(F.col("d").isNotNull() & (F.weekday("d") < 5))
     return one_per_day(bars).select(*BARS.fieldNames())
 
@@ -44,7 +78,7 @@ def bar_date(text: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    value = F.trim(text).try_cast("double") if hasattr(text, "try_cast") else F.trim(text).cast("double")
+    value = F.trim(text).try_cast("double")
     return F.when(F.isnan(value), None).otherwise(value)
 
 
@@ -55,8 +89,9 @@ def unreadable_dates(raw: DataFrame) -> DataFrame:
 
 
 def one_per_day(bars: DataFrame) -> DataFrame:
-    last = Window.partitionBy(*KEYS, "d").orderBy(F.col("volume").desc_nulls_last(), F.col("close").desc_nulls_last())
-    return bars.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    """The last row of each day, by the row's place `line` in its file."""
+    last = F.max_by(F.struct(*(c for c in bars.columns if c not in KEYS)), "line")
+    return bars.groupBy(*KEYS, "d").agg(last.alias("row")).select(*KEYS, "row.*")
 
 
 def read_bars(spark: SparkSession, path: str, tickers: DataFrame | None = None) -> DataFrame:
@@ -80,6 +115,40 @@ def ticker_list(table: DataFrame) -> DataFrame:
     return table.select(ticker).where("ticker is not null and ticker <> ''").distinct()
 
 
+def find_file(spark: SparkSession, name: str, folders: Sequence[str]) -> str | None:
+    """The first place where a file of this name is: the name itself where it has a folder or scheme, else each folder in turn."""
+    places = [name] if "/" in name else [f"{f.rstrip('/')}/{name}" for f in folders]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for place in places:
+        path = hadoop(place)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return place
+    return None
+
+
+def ticker_list_paths(folder: str, choice: str, name: str | None = None) -> list[str]:
+    """Where a list of tickers is looked for, in order: the named file here and in the folder, then the files of the choice."""
+    own = [name, f"{folder}/{name}"] if name else [f"{folder}/combined_tickers_choice_{choice}.csv"]
+    names = [f"combined_info_tickers_clean_{choice}", f"combined_info_tickers_{choice}", "tradingview_universe_bool"]
+    return own + [f"{folder}/{n}.csv" for n in names]
+
+
+def input_folder(settings: dict[str, str], timeframe: str, environment: str, base: str) -> str:
+    """The folder of a timeframe's bars: the environment's setting (relative ones below base), else `{base}/data/market_data/{timeframe}`."""
+    if timeframe not in INPUT_SETTINGS:
+        raise ValueError(f"unknown timeframe {timeframe}")
+    path = settings.get(INPUT_SETTINGS[timeframe] + environment, "").strip()
+    if not path or path.lower() == "nan":
+        return f"{base}/data/market_data/{timeframe}"
+    return path if path.startswith("/") or "://" in path else f"{base}/{path}"
+
+
+def environment_of(override: str | None = None, variables: Mapping[str, str] = os.environ) -> str:
+    """local or colab: an override that is one of them, else by a variable that hosted notebooks have."""
+    chosen = (override or "").strip().lower()
+    return chosen if chosen in ("local", "colab") else "colab" if "COLAB_GPU" in variables else "local"
+
+
 def read_first(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The first of several CSV files that is there (ticker information falls back that way)."""
     from pyspark.errors import AnalysisException

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordvol.operators import exports, quality, records, scoring, universe
 from recordvol.operators.records import Screen
+from recordvol.plans import screen
 from recordvol.schema import BARS, HEAD, TAIL, TRAILING
 from recordvol.sources import bars as sources
 from recordvol.sources.settings import Settings, choice_files, parse_choice, read_settings
@@ -116,6 +117,88 @@ def test_csv_scan(spark, tmp_path):
     assert [(r["ticker"], r["d"].isoformat(), r["close"], r["volume"]) for r in rows] == [("A", "2024-01-05", 1.0, 10.0), ("A", "2024-01-08", None, None)]
 
 
+def test_csv_columns_go_by_their_names(spark, tmp_path):
+    (tmp_path / "EXTRA.csv").write_text("\ufeffDate,Open,High,Low,Close,Adj Close,Volume\r\n2024-01-05,1,2,3,4,1.4,1000\r\n")
+    (tmp_path / "FEW.csv").write_text("Date,close,VOLUME\n2024-01-05,1.5,1000\n")
+    (tmp_path / "MIXED.csv").write_text('Volume,"Date",Close\n7,2024-01-05,5\n"1000","2024-01-05","4"\n')
+    (tmp_path / "NOCLOSE.csv").write_text("Date,Volume\n2024-01-05,3\n")
+    (tmp_path / "EMPTY.csv").write_text("")
+    raw = sources.csv_rows(spark, str(tmp_path))
+    found = {r["ticker"]: (r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in sources.tidy(raw, "daily").collect()}
+    # Of two rows of a day the last one counts, not the largest.
+    assert found == {"EXTRA": (1, 2, 3, 4, 1000), "FEW": (None, None, None, 1.5, 1000), "MIXED": (None, None, None, 4, 1000), "NOCLOSE": (None, None, None, None, 3)}
+    none = sources.without_close(raw)
+    assert [r[0] for r in none.collect()] == ["NOCLOSE"]
+    reasons = {r["ticker"]: r["reason"] for r in quality.verdicts(sources.tidy(raw, "daily"), 1, none).collect()}
+    assert reasons["NOCLOSE"] == "Missing Close price column" and reasons["EXTRA"] == "Valid data"
+
+
+def test_full_screen_from_files_to_reports(spark, tmp_path):
+    first = dt.date(2020, 1, 1)
+    for t, top in (("A", 900), ("B", 500), ("C", 100)):
+        lines = [f"{first + dt.timedelta(i)},1,1,1,10,{top if i == 100 else 10 + i % 7}" for i in range(600)]
+        (tmp_path / "daily").mkdir(exist_ok=True)
+        (tmp_path / "daily" / f"{t}.csv").write_text("Date,Open,High,Low,Close,Volume\n" + "\n".join(lines))
+    (tmp_path / "daily" / "SHORT.csv").write_text("Date,Close,Volume\n2020-01-01,1,1\n")
+    (tmp_path / "mine.csv").write_text("Symbol\nB\nSHORT\nA\nB\nGONE\n")
+    settings = Settings(ticker_choice="6", yf_daily_data=True, hve_limit_years=0, hve_date_range_mode="rolling")
+    listed = sources.ticker_list(spark.read.option("header", True).csv(str(tmp_path / "mine.csv"))).withColumn("place", F.monotonically_increasing_id())
+    known = spark.createDataFrame([("A", 1, True, "NYSE"), ("A", 2, False, "LSE")], "ticker string, place long, SP500 boolean, exchange string")
+    selection = universe.chosen(known, [6], {6: listed}, ["SP500"])
+    assert {(r["ticker"], r["SP500"], r["exchange"]) for r in selection.collect()} == {("A", True, "NYSE"), ("B", False, None), ("SHORT", False, None), ("GONE", False, None)}
+    bars, none = screen.bars_of(spark, {"daily": str(tmp_path / "daily")}, selection)
+    results = screen.run(bars, selection, settings, no_close=none)
+    assert {(r["ticker"], r["hve_volume"]) for r in results.collect()} == {("A", 900.0), ("B", 500.0)}
+    screen.write_reports(results, settings, str(tmp_path / "out"), "now")
+    names = {p.name for p in (tmp_path / "out").iterdir()}
+    assert names == {"results", "csv", "ticker_cards", "hve_historical", "hvd_historical"}
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "hve_historical")).count() == 2
+    assert [r["ticker"] for r in exports.most_recent(results, 1).collect()] == ["A"]
+    universe.write_selection(selection, str(tmp_path / "sel"), "6")
+    assert spark.read.option("header", True).csv(str(tmp_path / "sel" / "combined_tickers_6.csv")).count() == 4
+
+
+def test_universe_files(spark, tmp_path):
+    (tmp_path / "u.csv").write_text('Symbol,Exchange,Analyst Rating,Market capitalization,Index\nBRK.A,NYSE,Strong buy,12.5,"S&P 500, NASDAQ 100"\nX/P,NYSE,Neutral,1,\nN,LSE,Neutral,x,\n')
+    table = universe.read_universe(spark, str(tmp_path / "u.csv"))
+    assert [(r["ticker"], r["market_cap"]) for r in table.orderBy("place").collect()] == [("BRK-A", 12.5), ("N", None)]
+    universe.write_universe(table, str(tmp_path / "flags"))
+    flags = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "flags"))
+    assert {(r["ticker"], r["SP500"], r["exchange_LSE"], r["rating_Strong_buy"]) for r in flags.collect()} == {("BRK-A", True, False, True), ("N", False, True, False)}
+    assert universe.choice_file_names([6, 5, 6], {5: "a.csv", 6: "b.csv"}) == ["b.csv", "a.csv"]
+    with pytest.raises(ValueError, match="no file"):
+        universe.choice_file_names([1], {})
+    lacking = universe.backfilled(table, spark.createDataFrame([("N",), ("NEW",)], "ticker string"))
+    assert {r["ticker"] for r in lacking.collect()} == {"BRK-A", "N", "NEW"}
+
+
+def test_file_lookups(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "t.csv").write_text("ticker\nA\n")
+    assert sources.find_file(spark, "t.csv", [str(tmp_path), str(tmp_path / "in")]) == f"{tmp_path}/in/t.csv"
+    assert sources.find_file(spark, "u.csv", [str(tmp_path)]) is None
+    paths = sources.ticker_list_paths(str(tmp_path / "in"), "3", "t.csv")
+    assert sources.read_first(spark, paths).first()[0] == "A" and len(sources.ticker_info_paths("f", "1")) == 6
+    with pytest.raises(FileNotFoundError):
+        sources.read_first(spark, [f"{tmp_path}/none.csv"])
+    settings = {"yf_daily_data_files_local": "bars/daily", "yf_weekly_data_files_local": "s3://x/w", "yf_monthly_data_files_local": "nan"}
+    assert [sources.input_folder(settings, t, "local", "/b") for t in ("daily", "weekly", "monthly")] == ["/b/bars/daily", "s3://x/w", "/b/data/market_data/monthly"]
+    with pytest.raises(ValueError, match="unknown timeframe"):
+        sources.input_folder({}, "hourly", "local", "/b")
+    assert [sources.environment_of(*x) for x in (("colab", {}), ("odd", {}), (None, {"COLAB_GPU": "1"}))] == ["colab", "local", "colab"]
+
+
+def test_legacy_reports(spark):
+    bars = series(spark, [5, 9, 3]).unionByName(series(spark, [9, 5, 3], ticker="NONE"))
+    sheet = scoring.summary_sheet(scoring.scored(scoring.legacy_results(bars)))
+    assert sheet.columns[:3] == ["Ticker", "Timeframe", "Score"] and [r["Ticker"] for r in scoring.all_combined(sheet, sheet).collect()] == ["T", "T"]
+    empty = scoring.legacy_results(bars, empty=True).where("ticker = 'NONE'").first().asDict()
+    assert (empty.pop("hve_count"), empty.pop("data_points"), empty.pop("hve_details")) == (0, 0, []) and set(empty.values()) == {"NONE", "daily", None}
+    rows = spark.createDataFrame([("A", "2024-01-05"), ("A", "soon"), ("B", "")], "ticker string, Date string")
+    assert {(r["ticker"], r["unreadable"]) for r in sources.unreadable_dates(rows).collect()} == {("A", 1), ("B", 0)}
+    assert sources.since(bars, F.lit("2024-01-03").cast("date"), 1).count() == 6
+
+
 def test_ticker_lists(spark):
     listed = spark.createDataFrame([(" A ",), (None,), ("A",), ("B",)], "Symbol string")
     assert sorted(r[0] for r in sources.ticker_list(listed).collect()) == ["A", "B"]
