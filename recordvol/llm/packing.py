@@ -1,12 +1,14 @@
-"""Harmonic packing of token ids into sequences, without padding and without a shuffle.
+"""Harmonic packing of token ids into sequences, with hardly any padding and without a shuffle.
 
-Documents are cut at sizes that divide the capacity: whole sequences first, then the rest by its
-binary digits. A piece of length s belongs to the reciprocal class capacity / s, and a bin of that
-class holds exactly capacity / s pieces, so every bin that is filled has no padding. Each task
-fills bins of its own. The one open bin a class may have at a task's end is closed as sequences of
-1, 2, 4, ... pieces, whose lengths are powers of two, which need no padding either.
+A document is cut into whole sequences first; of the rest, the largest reciprocal of the capacity
+that fits is cut off again and again: a piece of class k has floor(capacity / k) ids. A bin of class
+k holds exactly k pieces, so a bin that is filled has fewer than k ids of padding. A rest that is
+nearly such a piece (SLACK) stays whole. Each task fills bins of its own. The pieces of the bins that
+are open at a task's end follow each other through whole sequences, cut where one ends, and the last
+ids through sequences whose lengths are powers of two, which need no padding.
 
-A task keeps the open bins only: fewer than 2 * capacity ids, whatever its input holds.
+A task keeps the open bins only: fewer than `capacity` ids a class, of which there are fewer than
+2 * sqrt(capacity), whatever its input holds.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each for
 itself; a null doc_id is passed on; very long texts become many whole sequences; an empty table
@@ -33,10 +35,21 @@ _ARROW = pa.schema(
 BATCH = 2000
 
 
-def cuts(n: int, capacity: int) -> list[int]:
-    """Lengths of the pieces of a document of n ids: whole sequences, then falling powers of two."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+#: A rest that lacks at most 1/SLACK of a class's share of the capacity is put there uncut.
+SLACK = 64
+
+
+def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
+    """Lengths and classes of the pieces of a document of n ids."""
+    found, rest = [(capacity, 1)] * (n // capacity), n % capacity
+    while rest:
+        k = capacity // rest  # as many such rests fit
+        if capacity - k * rest > capacity // SLACK:
+            k += 1  # a piece of the next class is shorter than the rest
+        length = min(rest, capacity // k)
+        found.append((length, k))
+        rest -= length
+    return found
 
 
 class Bins:
@@ -49,12 +62,12 @@ class Bins:
     def add(self, doc_id: int | None, ids: bytes) -> Iterator[tuple]:
         """Rows of all bins that this document fills."""
         total, start = len(ids) // 4, 0
-        for length in cuts(total, self.capacity):
-            bin_ = self.open.setdefault(length, [])
+        for length, k in cuts(total, self.capacity):
+            bin_ = self.open.setdefault(k, [])
             bin_.append((doc_id, start, length, ids[4 * start : 4 * (start + length)], total))
             start += length
-            if len(bin_) * length == self.capacity:
-                yield from self._close(self.open.pop(length))
+            if len(bin_) == k:
+                yield from self._close(self.open.pop(k))
 
     def _close(self, pieces: list[tuple]) -> Iterator[tuple]:
         offset = 0
@@ -64,13 +77,22 @@ class Bins:
         self.next_id += 1
 
     def rest(self) -> Iterator[tuple]:
-        """Rows of the bins that stayed open, split so that every length is a power of two."""
-        for length in sorted(self.open):
-            pieces = self.open[length]
-            for n in cuts(len(pieces), self.capacity):
-                yield from self._close(pieces[:n])
-                pieces = pieces[n:]
+        """Rows of the pieces in bins that stayed open: whole sequences, then lengths that are powers of two."""
+        pieces = [p for k in sorted(self.open) for p in self.open[k]][::-1]
+        left = sum(p[2] for p in pieces)
         self.open.clear()
+        while left:
+            room = min(self.capacity, 1 << left.bit_length() - 1)
+            left -= room
+            taken = []
+            while room:
+                doc_id, start, length, ids, total = pieces.pop()
+                part = min(length, room)
+                taken.append((doc_id, start, part, ids[: 4 * part], total))
+                if part < length:
+                    pieces.append((doc_id, start + part, length - part, ids[4 * part :], total))
+                room -= part
+            yield from self._close(taken)
 
 
 def pack_sequences(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, capacity: int = 2048, text: str = "text") -> DataFrame:
