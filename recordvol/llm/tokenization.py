@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most pieces kept at once by a Python worker, and the longest piece (in bytes) that is kept.
-MOST_PIECES, LONGEST_PIECE = 600_000, 64
+MOST_PIECES, LONGEST_PIECE = 300_000, 64
 #: Marks the piece at the start of a text. A text that has it itself is one piece.
 START = "\ue000"
 #: Signs that may end a piece without being part of its last word.
@@ -29,7 +29,7 @@ LETTER = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}\x{400}
 #: Pieces after which a text must be cut otherwise: none at all, or white space but for one line end.
 ODD = r"^$|^[^\S\n]|^[\x{85}\x{1C}-\x{1F}\p{Z}]|^\n$|^\n[\s\x{85}\x{1C}-\x{1F}\p{Z}]"
 #: Bytes of text encoded at once: the more, the fewer pieces are looked up twice.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Pieces in one call of the library, and in one run of text.
 AT_ONCE = 2000
 #: How the vocabularies write a space and a line end, and the end of a word.
