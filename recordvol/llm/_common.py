@@ -77,6 +77,22 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     )
 
 
+def followed(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", least: int = 1000) -> DataFrame:
+    """Inner or left join of rows with table (one row per key), also where few keys hold most rows.
+
+    Of the HEAVY most frequent keys of rows, which are all that can be heavy, those with `least`
+    rows or more are broadcast; rows without a key count as any other. Both inputs are read twice:
+    pass stored tables.
+    """
+    top = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(HEAVY).collect()
+    hot = [r[0] for r in top if r["n"] >= least]
+    if not hot:
+        return rows.join(table, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = F.broadcast(table.where(F.col(key).isin(hot)))  # HEAVY rows at most
+    return rows.where(is_hot).join(few, key, how).unionByName(rows.where(~is_hot).join(table, key, how))
+
+
 def marked(df: DataFrame, key: Column, keys: DataFrame, column: str, bits: int | None = None) -> DataFrame:
     """Adds a boolean `column`: may `key` be among `keys`? Never false for one that is.
 

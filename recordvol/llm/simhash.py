@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordvol.llm._common import lookup, marked, slices, spread, stored
+from recordvol.llm._common import followed, lookup, marked, slices, spread, stored
 from recordvol.llm.components import components
 
 #: Most fingerprints of a tile that one task holds as its own; larger tiles are split.
@@ -186,9 +186,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, radius:
     """doc_id, fp, component_id: one row per row of docs; component_id is the smallest doc_id reachable."""
     rows = stored(fingerprints(docs, text, words), "simhash")
     nodes, roots = _grouped(rows, radius)
-    named = nodes.join(roots, "fp")
-    least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    least = named.join(least, "root").select("fp", "least")
+    named = stored(nodes.join(roots, "fp").select("fp", "rep", "root"), "named")
+    least = stored(named.groupBy("root").agg(F.min("rep").alias("least")), "least")
+    least = followed(named, least, "root").select("fp", "least")
     group = stored(nodes.join(least, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n"), "components")
     return lookup(rows, group, "fp", "n").select("doc_id", "fp", "component_id")
 
@@ -254,10 +254,13 @@ def _near(nodes: DataFrame, bucket: int) -> DataFrame:
     """a, b: pairs of texts (h, fp, bands; one row per h) to check; of each bucket a spanning tree at least.
 
     A bucket with more than `bucket` texts is dealt into parts and every two parts are one piece of
-    work; the trees of the pieces hold that of the whole.
+    work; the trees of the pieces hold that of the whole. Buckets are counted first, so only texts
+    that share one are shuffled with their fingerprints, and no task holds a whole one.
     """
     placed = nodes.select("h", "fp", F.explode("bands").alias("bucket"))
-    placed = placed.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
+    shared = stored(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    placed = marked(placed, F.col("bucket"), shared.select("bucket"), "several").where("several").drop("several")
+    placed = lookup(placed, shared, "bucket", "n").where("n is not null")
     parts = F.ceil(F.col("n") / bucket).cast("int")
     placed = placed.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("h", F.lit(3)), parts).cast("int")})
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or other <> part")

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from recordvol.llm import ann, exact_dedup, language_id, mixing, packing, quality, simhash, token_output, toxicity, url_filter
 from recordvol.llm._common import stored
+from recordvol.llm._common import followed
 from recordvol.llm.components import components
 from recordvol.llm.queries import tokenizer_file
 from recordvol.llm.url_filter import Rule
@@ -428,6 +429,21 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert len({found[i] for i in range(61)}) == 1 and len({found[i] for i in range(1000, 1201)}) == 1 and found[0] != found[1000]
 
 
+@pytest.mark.parametrize("least", [1, 50, 1000])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_followed_is_a_join_whatever_is_hot(spark, how, least):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else 1 if i % 3 else i) for i in range(200)], "i long, k long")
+    table = spark.createDataFrame([(k, -k) for k in [1, *range(3, 150)]], "k long, v long")
+    got, want = followed(rows, table, "k", how, least), rows.join(table, "k", how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_components_of_a_large_star(spark):
+    star = [(0, 1 + i) for i in range(3000)] + [(3000 + i, 3001 + i) for i in range(5)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert len(found) == 3006 and set(found.values()) == {0}
+
+
 # 10 mixing
 
 
