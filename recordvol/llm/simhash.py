@@ -13,7 +13,9 @@ all pairs of a group, and components of the links are found by contraction.
 at similarity 0.8 about 10 of 64 bits differ, and by a radius that wide every fingerprint would have
 to be compared with every other. So texts that share a band of MinHash values meet in a bucket, a
 bucket gives the links of a minimum spanning tree by fingerprint distance (all pairs where it has
-few texts), and every link is checked on the shingle sets before it counts.
+few texts), and every link is checked on the shingle sets before it counts. Where members of a
+bucket with many texts are then still apart, their shingle sets are compared exactly in the tasks,
+by an inverted index of the shingles of two parts of the bucket, so a tree never loses a link.
 
 Defined results: null, empty and white-space texts have no words and the fingerprint zero, linked
 like any other; texts with fewer words than a shingle are one shingle; repeated rows share a node;
@@ -29,7 +31,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordvol.llm._common import followed, lookup, marked, slices, spread, stored
@@ -43,6 +45,8 @@ BLOCK = (1 << 9, 1 << 12)
 BANDS, BAND = 24, 6
 #: Texts of a bucket that one task takes as its own, and of one whose pairs are all checked.
 BUCKET, FEW = 1 << 13, 64
+#: Bytes of shingle sets of a part of a bucket; a task compares two parts at once.
+PART_BYTES = 8 << 20
 _MIX = np.random.default_rng(8).integers(0, 1 << 32, (2, BANDS * BAND), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
 _FOLD = np.random.default_rng(9).integers(0, 1 << 63, (2, BAND), dtype=np.uint64) | np.uint64(1)
 
@@ -250,22 +254,35 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["h", "shingles"])
 
 
-def _near(nodes: DataFrame, bucket: int) -> DataFrame:
-    """a, b: pairs of texts (h, fp, bands; one row per h) to check; of each bucket a spanning tree at least.
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """bucket, n: the buckets that several texts share (nodes: one row per text, columns h, fp, bands)."""
+    placed = nodes.select(F.explode("bands").alias("bucket"))
+    return stored(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
 
-    A bucket with more than `bucket` texts is dealt into parts and every two parts are one piece of
-    work; the trees of the pieces hold that of the whole. Buckets are counted first, so only texts
-    that share one are shuffled with their fingerprints, and no task holds a whole one.
-    """
+
+def _placed(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """h, fp, bucket, n: the texts of the buckets given; only those are shuffled."""
     placed = nodes.select("h", "fp", F.explode("bands").alias("bucket"))
-    shared = stored(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    placed = marked(placed, F.col("bucket"), shared.select("bucket"), "several").where("several").drop("several")
-    placed = lookup(placed, shared, "bucket", "n").where("n is not null")
-    parts = F.ceil(F.col("n") / bucket).cast("int")
-    placed = placed.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("h", F.lit(3)), parts).cast("int")})
+    placed = marked(placed, F.col("bucket"), buckets.select("bucket"), "several").where("several").drop("several")
+    return lookup(placed, buckets, "bucket", "n").where("n is not null")
+
+
+def _dealt(placed: DataFrame, parts: Column, partitions: int, *columns: str) -> DataFrame:
+    """bucket, piece and columns: a bucket's texts dealt into parts, each two parts of it one piece, a piece in one task."""
+    placed = placed.withColumn("parts", parts.cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("h", F.lit(3)), "parts").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or other <> part")
-    work = placed.select("bucket", (F.least("part", "other") * F.col("parts").cast("long") + F.greatest("part", "other")).alias("piece"), "h", "fp")
-    work = work.repartition(spread(nodes), "bucket", "piece").sortWithinPartitions("bucket", "piece")
+    work = placed.select("bucket", (F.least("part", "other") * F.col("parts").cast("long") + F.greatest("part", "other")).alias("piece"), *columns)
+    return work.repartition(partitions, "bucket", "piece").sortWithinPartitions("bucket", "piece")
+
+
+def _near(nodes: DataFrame, buckets: DataFrame, bucket: int) -> DataFrame:
+    """a, b: pairs of texts to check: all of a bucket with few texts, of any other a spanning tree.
+
+    A bucket with more than `bucket` texts is dealt into parts and every two parts are one piece of
+    work; the trees of the pieces hold that of the whole. No task holds a whole one.
+    """
+    work = _dealt(_placed(nodes, buckets), F.ceil(F.col("n") / bucket), spread(nodes), "h", "fp")
     return work.mapInArrow(_trees, "a long, b long").distinct()
 
 
@@ -304,25 +321,104 @@ def _checked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield batch.select([0, 1]).filter(pa.array(stays, pa.bool_()))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, text: str = "text", words: int = 5, least: float = 0.8, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links of texts (by hash) whose shingle sets have Jaccard similarity `least` or more."""
-    pairs = stored(_near(nodes, bucket), "pairs")
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first two columns, which follow each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        ends = np.flatnonzero((np.diff(a) != 0) | (np.diff(b) != 0)) + 1
+        for lo, hi in zip([0, *ends], [*ends, len(a)]):
+            if (key := (a[lo], b[lo])) != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _joins(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for piece in _pieces(batches):
+        h, root = piece["h"].to_numpy(), piece["root"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in piece["shingles"]]
+        if pairs := list(_apart(sets, root, least)):
+            a, b = h[np.array(pairs).T]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _apart(sets: list[np.ndarray], root: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Places of sets that join all roots linked by similarity, one link for each two that meet.
+
+    Each two sets of different roots have one outside the root with most sets, so only those look
+    up the lists of sets that hold their shingles; the counts are the exact sizes of the overlaps.
+    """
+    names, top, n = np.unique(root, return_inverse=True, return_counts=True)
+    if len(names) == 1:
+        return
+    sizes = np.array([len(x) for x in sets])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[np.argsort(shingle, kind="stable")]
+    lengths = np.bincount(shingle)
+    starts = np.cumsum(lengths) - lengths
+    for i in np.flatnonzero(top != n.argmax()):
+        mine = shingle[bounds[i] : bounds[i + 1]]
+        at = np.repeat(starts[mine] - np.cumsum(lengths[mine]) + lengths[mine], lengths[mine])
+        both = np.bincount(holders[at + np.arange(len(at))], minlength=len(sets))
+        near = np.flatnonzero((both >= least * (sizes[i] + sizes - both)) & (top != top[i]))
+        met, first = np.unique(top[near], return_index=True)
+        yield from ((int(i), int(j)) for j in near[first])
+        top[np.isin(top, met)] = top[i]
+
+
+def _sets(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFrame:
+    """h, shingles: one row per text whose hash is in `wanted` (stored, one row per h), and its other columns."""
+    rows = docs.select(F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text"))
+    rows = marked(rows, F.col("h"), wanted.select("h"), "_rv_end").where("_rv_end").select("h", "text")
+    sets = rows.mapInArrow(partial(_shingle_sets, words=words), "h long, shingles binary")
+    return sets.dropDuplicates(["h"]).join(wanted, "h")
+
+
+def _checked_links(docs: DataFrame, pairs: DataFrame, text: str, words: int, least: float) -> DataFrame:
+    """The pairs (stored) whose shingle sets have similarity `least` or more."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("pairs"))
-    ends = stored(ends, "ends")
-    rows = marked(docs.select(F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text")), F.col("h"), ends.select("h"), "_rv_end")
-    sets = rows.where("_rv_end").select("h", "text").mapInArrow(partial(_shingle_sets, words=words), "h long, shingles binary")
-    sets = stored(sets.dropDuplicates(["h"]).join(ends, "h"), "shingles")
+    sets = stored(_sets(docs, text, words, stored(ends, "ends")), "shingles")
     side = lambda name, column: sets.select(F.col("h").alias(name), F.col("shingles").alias(column), "pairs")
     found = lookup(pairs, side("a", "x"), "a", "pairs").drop("pairs")
     found = lookup(found, side("b", "y"), "b", "pairs").select("a", "b", "x", "y")
     return found.mapInArrow(partial(_checked, least=least), "a long, b long")
 
 
+def similar_roots(docs: DataFrame, nodes: DataFrame, text: str = "text", words: int = 5, least: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """node, root: the groups of texts (by hash) linked by shingle sets of Jaccard similarity `least` or more."""
+    buckets = _buckets(nodes)
+    links = _checked_links(docs, stored(_near(nodes, buckets, bucket), "pairs"), text, words, least)
+    links = stored(links, "similar")
+    roots = components(links)
+
+    large = _placed(nodes, buckets.where(F.col("n") > FEW)).select("bucket", "h", "n")
+    large = large.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    large = stored(large, "large-buckets")
+    apart = stored(large.groupBy("bucket").agg(F.first("n").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket", "n"), "apart")
+    if apart.isEmpty():
+        return roots
+    large = stored(lookup(large.drop("n"), apart, "bucket", "n").where("n is not null"), "large-buckets")
+    sets = stored(_sets(docs, text, words, stored(large.select("h").distinct(), "wanted")), "shingles")
+    sizes = large.join(sets.select("h", F.length("shingles").alias("size")), "h").groupBy("bucket").agg(F.first("n").alias("n"), F.sum("size").alias("size"))
+    placed = lookup(large.drop("n"), stored(sizes, "sizes"), "bucket", "n").join(sets, "h")
+    work = _dealt(placed, F.greatest(F.lit(1), F.ceil(F.col("size") / PART_BYTES)), spread(nodes), "h", "root", "shingles")
+    more = work.mapInArrow(partial(_joins, least=least), "a long, b long")
+    return components(links.unionByName(stored(more, "more")))
+
+
 def deduplicate_similar(docs: DataFrame, text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of docs that stay, with all columns: of each group linked by `similar_links` the row of the smallest doc_id."""
+    """The rows of docs that stay, with all columns: of each group of `similar_roots` the row of the smallest doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text"))
     rows = stored(rows.mapInArrow(partial(_signatures, words=words), "doc_id long, h long, fp long, bands array<long>"), "signatures")
     nodes = stored(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n")), "texts")
-    roots = components(similar_links(docs, nodes, text, words, least)).select(F.col("node").alias("h"), "root")
+    roots = similar_roots(docs, nodes, text, words, least).select(F.col("node").alias("h"), "root")
     several = nodes.join(roots, "h", "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"), "n")
     return _first_rows(docs, rows.select("doc_id", "h"), several, "h", text)

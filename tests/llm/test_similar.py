@@ -68,7 +68,8 @@ def test_stage_on_documents(spark):
 def test_large_bucket_in_pieces_gives_a_spanning_tree(spark, bucket):
     rng = np.random.default_rng(2)
     nodes = [(i, int(x), [1]) for i, x in enumerate(rng.integers(-(2**63), 2**63, 100))]
-    found = simhash._near(spark.createDataFrame(nodes, "h long, fp long, bands array<long>"), bucket).collect()
+    placed = spark.createDataFrame(nodes, "h long, fp long, bands array<long>")
+    found = simhash._near(placed, simhash._buckets(placed), bucket).collect()
     cost = {tuple(sorted((i, j))): (x ^ y & 2**64 - 1) for i, x, _ in nodes for j, y, _ in nodes}
     cost = {k: bin(v & 2**64 - 1).count("1") for k, v in cost.items()}
 
@@ -82,6 +83,37 @@ def test_large_bucket_in_pieces_gives_a_spanning_tree(spark, bucket):
     assert tree([tuple(r) for r in found]) == tree([k for k in cost if k[0] < k[1]])
 
 
+@pytest.mark.parametrize("part_bytes", [simhash.PART_BYTES, 1 << 16])
+def test_large_bucket_of_borderline_copies_loses_no_link(spark, monkeypatch, part_bytes):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]  # 3 of 200 words replaced: few of the pairs are at 0.8, none far below
+    rows = [(i, " ".join(edited(base, 3, rng))) for i in range(250)]
+    pairs, want = brute_force(rows)
+    assert len(pairs) < 2000 and 10 < len(want) < 100
+    docs = cases.docs(spark, [(i, t, "en", "a") for i, t in rows])
+    monkeypatch.setattr(simhash, "PART_BYTES", part_bytes)
+    assert {r["doc_id"] for r in simhash.deduplicate_similar(docs).collect()} == want
+
+
+def test_exact_overlaps_join_what_brute_force_joins():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.choice(60, rng.integers(0, 50))).astype("<u8") for _ in range(120)] + [np.zeros(0, "<u8")]
+    root = np.array([7 * (i % 40) for i in range(121)])
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.6 * len(np.union1d(a, b))
+    links = list(simhash._apart(sets, root, 0.6))
+    assert all(alike(sets[i], sets[j]) for i, j in links)
+
+    def groups(pairs):
+        top = list(root)
+        for i, j in pairs:
+            a, b = top[i], top[j]
+            top = [min(a, b) if t in (a, b) else t for t in top]
+        return top
+
+    every = [(i, j) for i in range(121) for j in range(i) if alike(sets[i], sets[j])]
+    assert groups(links) == groups(every) and len(set(groups(every))) > 1
+
+
 def test_copies_in_many_rows_and_odd_rows(spark):
     docs = cases.docs(spark)
     kept = simhash.deduplicate_similar(docs)
