@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordvol.llm import ann, exact_dedup, hard_negatives, language_id, mixing, packing, quality, simhash, token_output, toxicity, url_filter
+from recordvol.llm import ann, conversation_repair, exact_dedup, hard_negatives, language_id, mixing, packing, quality, simhash, token_output, toxicity, url_filter
 from recordvol.llm._common import stored
 from recordvol.llm.url_filter import Rule
 
@@ -79,8 +79,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", label=shifted)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.audit(conversation_repair.damage(rows), rows)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_output, op3_toxicity, op4_url_filter, op5_quality, op6_ann, op7_exact_dedup, op8_simhash, op9_packing, op10_mixing, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_output, op3_toxicity, op4_url_filter, op5_quality, op6_ann, op7_exact_dedup, op8_simhash, op9_packing, op10_mixing, op12_hard_negatives, op13_conversation_repair)}
 
 
 OP4_SQL = """
