@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordvol.llm import ann, conversation_repair, exact_dedup, hard_negatives, language_id, mixing, packing, quality, simhash, token_output, toxicity, url_filter
+from recordvol.llm import ann, conversation_repair, exact_dedup, hard_negatives, language_id, lm_scoring, mixing, packing, quality, simhash, token_output, toxicity, url_filter
 from recordvol.llm._common import stored
 from recordvol.llm.url_filter import Rule
 
@@ -74,6 +74,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
+    return lm_scoring.score(docs, lm_scoring.fit(docs.where(~held_out)), held_out)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", label=shifted)
@@ -85,7 +91,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_output, op3_toxicity, op4_url_filter, op5_quality, op6_ann, op7_exact_dedup, op8_simhash, op9_packing, op10_mixing, op12_hard_negatives, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_output, op3_toxicity, op4_url_filter, op5_quality, op6_ann, op7_exact_dedup, op8_simhash, op9_packing, op10_mixing, op11_lm_scoring, op12_hard_negatives, op13_conversation_repair)}
 
 
 OP4_SQL = """

@@ -29,7 +29,7 @@ def ids_of(name, end):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(queries.queries()) == sorted(["op1_language_id", "op2_token_output", "op3_toxicity", "op4_url_filter", "op5_quality", "op6_ann", "op7_exact_dedup", "op8_simhash", "op9_packing", "op10_mixing", "op12_hard_negatives", "op13_conversation_repair"])
+    assert sorted(queries.queries()) == sorted(["op1_language_id", "op2_token_output", "op3_toxicity", "op4_url_filter", "op5_quality", "op6_ann", "op7_exact_dedup", "op8_simhash", "op9_packing", "op10_mixing", "op11_lm_scoring", "op12_hard_negatives", "op13_conversation_repair"])
 
 
 @pytest.mark.parametrize("name", ["op1_language_id", "op3_toxicity", "op5_quality"])
