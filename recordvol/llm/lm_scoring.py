@@ -24,7 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,7 @@ from recordvol.llm._common import followed, slices, spread, stored
 #: Longest n-grams, base of levels, bits an entry, probes a level, weight of the shorter history.
 ORDER, BASE, BITS, PROBES, MU = 2, 1.5, 12, 6, 40.0
 #: Most bytes of a filter that is broadcast, most exact counts that are, bytes of text taken at once.
-MOST_BYTES, TOP, SLICE = 256 << 20, 1 << 20, 8 << 20
+MOST_BYTES, TOP, SLICE = 128 << 20, 1 << 20, 4 << 20
 #: What stands for a text's end; no word's hash is 1 (they are made even).
 END = np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -66,7 +66,7 @@ def _place(x: np.ndarray, level: int, probe: int) -> np.ndarray:
 class Words:
     """Hashes of texts' words, with a bounded table of words hashed before."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         self.known: dict[str, int] = {}
         self.most = most
 
@@ -130,11 +130,14 @@ class Filter:
     size: np.ndarray
 
     @classmethod
-    def of(cls, segments: list[tuple[int, bytes]], buckets: int) -> Filter:
-        first, size, at = np.zeros(buckets, np.int64), np.ones(buckets, np.uint64), 1
+    def of(cls, segments: Iterable[tuple[int, bytes]], buckets: int, total: int) -> Filter:
+        """Segments of `total` bytes, taken one after another."""
+        bits, first, size, at = np.zeros(total + 1, np.uint8), np.zeros(buckets, np.int64), np.ones(buckets, np.uint64), 1
         for bucket, own in segments:
-            first[bucket], size[bucket], at = at * 8, len(own) * 8, at + len(own)
-        return cls(np.frombuffer(b"\0" + b"".join(own for _, own in segments), np.uint8), first, size)
+            first[bucket], size[bucket] = at * 8, len(own) * 8
+            bits[at : at + len(own)] = np.frombuffer(own, np.uint8)
+            at += len(own)
+        return cls(bits, first, size)
 
     def levels(self, x: np.ndarray) -> np.ndarray:
         """The level of each hash: the last one before the first that is missing."""
@@ -171,7 +174,7 @@ class Model:
 
 def fit(training: DataFrame, order: int = ORDER, text: str = "text", top: int = TOP) -> Model:
     """Counts of all n-grams of all rows of training, as a filter, and exact counts of tokens."""
-    buckets = 2 * spread(training)
+    buckets = 16 * spread(training)  # small blobs, as Arrow batches are cut by rows
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -285,7 +288,7 @@ def score(docs: DataFrame, model: Model, held_out: Column, text: str = "text", d
     schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, hashes array<long>, times array<long>"
     shared = sc.broadcast((model.top, model.divisor))  # at most TOP counts
     if model.filter_bytes <= most_bytes:
-        held = sc.broadcast(Filter.of([(r["bucket"], bytes(r["bits"])) for r in model.segments.collect()], model.buckets))  # at most MOST_BYTES
+        held = sc.broadcast(Filter.of(((r["bucket"], r["bits"]) for r in model.segments.toLocalIterator()), model.buckets, model.filter_bytes))  # at most MOST_BYTES
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, n = Words(), TaskContext.get().partitionId() << 40
@@ -368,7 +371,7 @@ def _routed(rows: DataFrame, kind: str, model: Model, shared, schema: str) -> Da
                 if bucket != at:
                     at, held = bucket, None
                 if s is None:
-                    held = Filter.of([(0, v)], 1)
+                    held = Filter.of([(0, v)], 1, len(v))
                 else:
                     x = np.frombuffer(v, "<u8")
                     out.append((s, bucket, (held.levels(x) if held else np.zeros(len(x), np.uint8)).tobytes()))

@@ -107,10 +107,11 @@ def test_filter_never_misses_and_rarely_invents():
     rng = np.random.default_rng(2)
     x = rng.integers(1, 1 << 63, 40_000).astype(np.uint64)
     n = np.maximum(1, rng.pareto(1.0, len(x)).astype(np.int64))
-    f = lm.Filter.of([(0, lm.segment(x[:30_000], n[:30_000])[0])], 1)
+    bits = lm.segment(x[:30_000], n[:30_000])[0]
+    f = lm.Filter.of([(0, bits)], 1, len(bits))
     found, want = f.levels(x[:30_000]), np.searchsorted(lm.LEAST, n[:30_000], side="right")
     assert (found >= want).all() and (found > want).mean() < 0.02 and (f.levels(x[30_000:]) > 0).mean() < 0.02
-    assert (lm.Filter.of([], 4).levels(x) == 0).all()
+    assert (lm.Filter.of([], 4, 0).levels(x) == 0).all()
 
 
 def test_nothing_to_learn_and_no_rows(spark):
