@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from recordvol.operators import averages, ranks
+from recordvol.operators import averages, levels, ranks, strength
 from recordvol.plans import orders
-from recordvol.queries import BARS_SQL, Query
+from recordvol.queries import BARS_SQL, Query, flat
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -127,3 +127,81 @@ def atr_percentile(spark, sf_dir):
 
 
 
+
+
+# --- Levels ----------------------------------------------------------------------------------------------------------
+
+_NEAR = "PARTITION BY timeframe, ticker ORDER BY d ROWS BETWEEN"
+_LINES_SQL = f"""WITH {BARS_SQL},
+numbered AS (
+  SELECT *, row_number() OVER {_W} - 1 AS n, max(high) OVER ({_NEAR} 10 PRECEDING AND 1 PRECEDING) AS back, max(high) OVER ({_NEAR} 1 FOLLOWING AND 10 FOLLOWING) AS ahead,
+    count(*) OVER ({_NEAR} 10 PRECEDING AND 1 PRECEDING) AS back_n, count(*) OVER ({_NEAR} 1 FOLLOWING AND 10 FOLLOWING) AS ahead_n, max(d) OVER (PARTITION BY timeframe, ticker) AS ends,
+    min(close) OVER (PARTITION BY timeframe, ticker ORDER BY d RANGE BETWEEN CURRENT ROW AND INTERVAL 14 DAY FOLLOWING) AS low_ahead
+  FROM every),
+found AS (SELECT timeframe, ticker, d AS pivot_date, n, high AS level, ends FROM numbered WHERE back_n = 10 AND ahead_n = 10 AND high > back AND high >= ahead),
+broken AS (
+  SELECT f.timeframe, f.ticker, f.n, min(b.n) AS at FROM found f JOIN numbered b ON b.timeframe = f.timeframe AND b.ticker = f.ticker AND b.n > f.n + 10 AND b.close > f.level GROUP BY f.timeframe, f.ticker, f.n),
+greens AS (
+  SELECT f.*, s.d AS seen_date, b.d AS breakout_date, b.close AS breakout_close, b.low_ahead FROM found f JOIN numbered s ON s.timeframe = f.timeframe AND s.ticker = f.ticker AND s.n = f.n + 10
+  LEFT JOIN broken x ON x.timeframe = f.timeframe AND x.ticker = f.ticker AND x.n = f.n LEFT JOIN numbered b ON b.timeframe = f.timeframe AND b.ticker = f.ticker AND b.n = x.at)"""
+
+
+@_query(f"""{_LINES_SQL}
+SELECT timeframe, ticker, pivot_date, level, seen_date, breakout_date, breakout_close, coalesce(breakout_date, ends) >= pivot_date + INTERVAL 3 MONTH AS is_green, pivot_date >= ends - INTERVAL 12 MONTH AS is_recent,
+  CASE WHEN breakout_date IS NULL THEN 'open' WHEN low_ahead < level THEN 'failed' WHEN breakout_date + 14 <= ends THEN 'confirmed' ELSE 'pending' END AS status
+FROM greens""")
+def green_lines(spark, sf_dir):
+    return levels.green_lines(orders.bars(spark, sf_dir))
+
+
+def _stochastic_sql() -> str:
+    frame = f"({_NEAR} 9 PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN max(high) OVER {frame} > min(low) OVER {frame} THEN (close - min(low) OVER {frame}) / (max(high) OVER {frame} - min(low) OVER {frame}) * 100 END"
+
+
+@_query(f"""{BASE_SQL}, ranged AS (SELECT * FROM every), {recursive_sql({"ema": ("close", "(2e0 / 22)")})},
+stepwise AS (
+  SELECT timeframe, ticker, d, {_stochastic_sql()} AS k, {ticks_sql(f"avg(close) OVER ({_NEAR} 49 PRECEDING AND CURRENT ROW)")} AS rising, {ticks_sql(f"avg(close) OVER ({_NEAR} 29 PRECEDING AND CURRENT ROW)")} AS mean,
+    {ticks_sql("ema")} AS ema, {ticks_sql("close")} AS c FROM averaged),
+moved AS (SELECT *, lag(k) OVER {_W} AS last_k, lag(rising) OVER {_W} AS last_rising, lag(c) OVER {_W} AS last_c, min(k) OVER ({_NEAR} 2 PRECEDING AND CURRENT ROW) AS low FROM stepwise)
+SELECT timeframe, ticker, d, coalesce(last_k < 20 AND k >= 20 AND rising > last_rising, false) AS blue_dot, coalesce(low < 25 AND c > last_c AND (c > mean OR c > ema), false) AS black_dot FROM moved""")
+def timing_dots(spark, sf_dir):
+    return levels.dots(orders.bars(spark, sf_dir)).select("timeframe", "ticker", "d", "blue_dot", "black_dot")
+
+
+# --- Strength --------------------------------------------------------------------------------------------------------
+
+_SPANS = (5, 20, 60, 120)
+_RATED_SQL = f"""{BASE_SQL}, {TRUE_RANGE_SQL}, {recursive_sql({"atr": ("true_range", "(1e0 / 14)")})},
+measured AS (
+  SELECT timeframe, ticker, d, close, {ticks_sql("atr")} AS atr, {ticks_sql("close")} AS tick, {ticks_sql(f"avg(close) OVER ({_NEAR} 49 PRECEDING AND CURRENT ROW)")} AS mean,
+    min(low) OVER ({_NEAR} 19 PRECEDING AND CURRENT ROW) AS low, max(high) OVER ({_NEAR} 19 PRECEDING AND CURRENT ROW) AS high, {", ".join(f"close / lag(close, {n}) OVER {_W} - 1 AS r{n}" for n in _SPANS)} FROM averaged),
+rated AS (
+  SELECT *, CASE WHEN high > low THEN (close - low) / (high - low) END AS position, CASE WHEN atr > 0 THEN (tick - mean) / atr END AS extension, atr / tick AS ra FROM measured),
+ratings AS (
+  SELECT *, {", ".join(f"CASE WHEN r{n} IS NOT NULL THEN (count(r{n}) OVER (PARTITION BY timeframe, d ORDER BY r{n} NULLS LAST)) * 100 / (count(r{n}) OVER (PARTITION BY timeframe, d)) END AS rating_{n}" for n in (*_SPANS, "a"))} FROM rated)"""
+
+
+@_query(f"""{_RATED_SQL}
+SELECT timeframe, ticker, d, close, {", ".join(f"rating_{n}" for n in _SPANS)}, rating_a AS atr_rating, atr / 10000e0 AS atr, position, extension, CASE WHEN extension >= 11 THEN 'danger' WHEN extension >= 7 THEN 'warning' END AS extended,
+  coalesce((rating_5 + rating_20 + rating_60 + rating_120) / 4 >= 70, false) AS leader, coalesce(greatest(rating_5, rating_20, rating_60, rating_120) >= 97 AND rating_a >= 50 AND position >= 0.5::DOUBLE, false) AS qualified
+FROM ratings""")
+def strength_ratings(spark, sf_dir):
+    return strength.strength(orders.bars(spark, sf_dir))
+
+
+_ROTATION = strength.Rotation(min_price=900.0, min_volume=10)
+
+
+@_query(f"""WITH {BARS_SQL},
+ends AS (SELECT timeframe, ticker, date_trunc('month', d) AS month, arg_max(close, d) AS price, arg_max(volume, d) AS volume FROM every GROUP BY ALL),
+spans AS (SELECT *, coalesce(lead(month) OVER (PARTITION BY timeframe, ticker ORDER BY month) - INTERVAL 1 MONTH, month) AS until FROM ends),
+months AS (SELECT timeframe, ticker, CAST(m AS DATE) AS month, price, CASE WHEN CAST(m AS DATE) = month THEN volume END AS volume FROM (SELECT *, unnest(generate_series(CAST(month AS TIMESTAMP), CAST(until AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM spans)),
+returned AS (
+  SELECT *, row_number() OVER own - 1 AS known, {", ".join(f"price / lag(price, {n}) OVER own - 1 AS return_{n}" for n in (12, 6, 3))} FROM months WINDOW own AS (PARTITION BY timeframe, ticker ORDER BY month)),
+a AS (SELECT *, row_number() OVER (PARTITION BY timeframe, month ORDER BY return_12 DESC, ticker) AS rank_12 FROM returned WHERE known >= 12 AND price >= 900 AND coalesce(volume, 0) >= 10),
+b AS (SELECT *, row_number() OVER (PARTITION BY timeframe, month ORDER BY return_6 DESC, ticker) AS rank_6 FROM a WHERE rank_12 <= 50),
+c AS (SELECT *, row_number() OVER (PARTITION BY timeframe, month ORDER BY return_3 DESC, ticker) AS rank_3 FROM b WHERE rank_6 <= 30)
+SELECT timeframe, ticker, month, price, return_12, return_6, return_3, rank_12, rank_6, rank_3 FROM c WHERE rank_3 <= 10""")
+def rotation(spark, sf_dir):
+    return flat(strength.rotation(orders.bars(spark, sf_dir), _ROTATION).drop("volume"))

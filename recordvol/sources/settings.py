@@ -56,6 +56,32 @@ def as_ints(text: str) -> list[int]:
     return [int(x) for x in re.split(r"[+;,]", text) if x.strip()]
 
 
+@dataclass(frozen=True)
+class Period:
+    """A span of calendar months, or of days."""
+
+    count: int
+    months: bool
+
+
+def period(text: str) -> Period:
+    """A span such as 3m, 1y, 2w or 10d."""
+    m = re.fullmatch(r"(\d+)([dwmy])", text.strip().lower())
+    if not m:
+        raise ValueError(f"{text!r} is not a span such as 3m, 1y, 2w or 10d")
+    scale, months = {"d": (1, False), "w": (7, False), "m": (1, True), "y": (12, True)}[m[2]]
+    return Period(int(m[1]) * scale, months)
+
+
+def period_lists(*texts: str) -> list[tuple[str, ...]]:
+    """Spans of lists such as `3m;6m`, place by place; a shorter list goes on with its first."""
+    lists = [[x.strip() for x in t.split(";") if x.strip()] for t in texts]
+    if not all(lists):
+        raise ValueError(f"a list of spans is empty: {texts}")
+    most = max(map(len, lists))
+    return list(zip(*(own + own[:1] * (most - len(own)) for own in lists)))
+
+
 _PARSERS: dict[str, Callable] = {"bool": as_bool, "int": lambda x: int(float(x)), "float": float, "str": str}
 
 
