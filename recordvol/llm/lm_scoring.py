@@ -3,8 +3,9 @@
 Every n-gram of all training texts is counted: tasks send sorted hashes and counts of a slice of text
 in buckets by hash, and a bucket's counts are added up in one place. A count c becomes the level
 1 + floor(log_BASE c), and the n-gram is put into its bucket's segment of the filter once for each level
-up to its own, so a lookup probes level 1, 2, ... until one is missing. A segment has BITS bits an entry.
-Hashes are 64-bit ones of the words; n-grams of all orders share the filter.
+up to its own, so a lookup probes level 1, 2, ... until one is missing. A segment has BITS bits an entry;
+the PROBES bits of an entry lie in one 64-bit word, so a probe is one look at memory. Hashes are 64-bit
+ones of the words; n-grams of all orders share the filter.
 
 The probability of a token is smoothed from the shortest history to the longest: with the estimated
 counts c of n-gram and history and the probability p of the next shorter history, (c(n-gram) + MU p) /
@@ -24,7 +25,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,13 +37,16 @@ from pyspark.sql import functions as F
 
 from recordvol.llm._common import followed, slices, spread, stored
 
-#: Longest n-grams, base of levels, bits an entry, probes a level, weight of the shorter history.
-ORDER, BASE, BITS, PROBES, MU = 2, 1.5, 12, 6, 40.0
+#: Longest n-grams, base of levels, bits of the filter and bits set for an entry, weight of the shorter history.
+ORDER, BASE, BITS, PROBES, MU = 2, 1.5, 12, 5, 40.0
 #: Most bytes of a filter that is broadcast, most exact counts that are, bytes of text taken at once.
 MOST_BYTES, TOP, SLICE = 128 << 20, 1 << 20, 4 << 20
 #: What stands for a text's end; no word's hash is 1 (they are made even).
 END = np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Random numbers for the hashes: by place (of 64) and byte, and odd ones for the places that follow.
+_BYTES = np.random.default_rng(64).integers(0, 1 << 64, (64, 256), np.uint64)
+_FAR = np.random.default_rng(65).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 
 #: Least counts of the levels, and the mean count of each level (level 0: none).
 LEAST = np.unique(np.ceil(BASE ** np.arange(100)).astype(np.int64))
@@ -59,34 +63,52 @@ def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((x >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _place(x: np.ndarray, level: int, probe: int) -> np.ndarray:
-    return _mixed(x, np.uint64(level * PROBES + probe + 1)) >> np.uint64(8)
-
+def _entry(x: np.ndarray, level: int, size: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The word, of `size` words, and the bits in it of each hash at a level."""
+    h = _mixed(x, np.uint64(level))
+    bits = np.zeros(len(x), np.uint64)
+    for i in range(PROBES):
+        bits |= np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63))
+    return ((h >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64), bits
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """Even 64-bit hashes of words that are not empty: sums of random numbers by byte and place; odd for empty ones."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    out = np.ones(len(words), np.uint64)
+    some = sizes > 0
+    if some.any():
+        values = _BYTES[place & 63, data]
+        (far,) = np.nonzero(place >= 64)
+        values[far] *= _FAR[(place[far] >> 6) & 255] * (place[far].astype(np.uint64) >> np.uint64(14) | np.uint64(1))
+        out[some] = _mixed(np.add.reduceat(values, starts[some]), np.uint64(0)) & ~np.uint64(1)
+    return out
 
-class Words:
-    """Hashes of texts' words, with a bounded table of words hashed before."""
 
-    def __init__(self, most: int = 150_000):
-        self.known: dict[str, int] = {}
-        self.most = most
+@dataclass(frozen=True)
+class Tokens:
+    """Tokens of texts in a row, each text closed by END: different hashes, each token's place there, and where texts end."""
 
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all texts' tokens in a row, each text closed by END, and where each text ends."""
-        import xxhash
+    words: np.ndarray
+    word: np.ndarray
+    ends: np.ndarray
 
-        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-        doc = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy(zero_copy_only=False)))
-        flat = words.flatten().dictionary_encode()
-        names, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) > self.most:
-            self.known.clear()
-        self.known.update((w, xxhash.xxh64_intdigest(w) & ~1 | (w == "")) for w in names if w not in self.known)
-        x = np.fromiter(map(self.known.__getitem__, names), np.uint64, len(names))[codes]
-        some = x & np.uint64(1) == 0  # what is left of leading and trailing spaces is no word
-        x, doc = x[some], doc[some]
-        out = np.full(len(x) + len(texts), END)
-        out[np.arange(len(x)) + doc] = x
-        return out, np.cumsum(np.bincount(doc, minlength=len(texts)) + 1)
+    @classmethod
+    def of(cls, texts: pa.Array) -> Tokens:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(split.offsets.to_numpy(zero_copy_only=False)))
+        flat = split.flatten().dictionary_encode()
+        words, word = _hashes(flat.dictionary), flat.indices.to_numpy(zero_copy_only=False)
+        if (words == 1).any():  # what is left of leading and trailing spaces is no word
+            some = words[word] != 1
+            word, doc = word[some], doc[some]
+        out = np.full(len(word) + len(texts), len(words), np.int32)
+        out[np.arange(len(word)) + doc] = word
+        return cls(np.append(words, END), out, np.cumsum(np.bincount(doc, minlength=len(texts)) + 1))
 
 
 def grams(x: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -112,42 +134,43 @@ def segment(x: np.ndarray, n: np.ndarray) -> tuple[bytes, int]:
     """Bits of the filter for n-grams with these counts, and how many entries it has."""
     level = np.searchsorted(LEAST, n, side="right")
     entries = int(level.sum())
-    size = -(-max(entries * BITS, 1) // 64) * 64
-    bits = np.zeros(size, bool)
+    words = np.zeros(-(-max(entries * BITS, 1) // 64), np.uint64)
     for j in range(1, int(level.max(initial=0)) + 1):
-        own = x[level >= j]
-        for i in range(PROBES):
-            bits[(_place(own, j, i) % np.uint64(size)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes(), entries
+        word, bits = _entry(x[level >= j], j, np.uint64(len(words)))
+        by = np.argsort(word)
+        word, bits = word[by], bits[by]
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        words[word[first]] |= np.bitwise_or.reduceat(bits, first)
+    return words.astype("<u8").tobytes(), entries
 
 
 @dataclass(frozen=True)
 class Filter:
-    """Segments laid one after another: first bit and number of bits of each bucket (none: one empty bit)."""
+    """Segments laid one after another: first word and number of words of each bucket (none: one empty word)."""
 
-    bits: np.ndarray
+    words: np.ndarray
     first: np.ndarray
     size: np.ndarray
 
     @classmethod
     def of(cls, segments: Iterable[tuple[int, bytes]], buckets: int, total: int) -> Filter:
         """Segments of `total` bytes, taken one after another."""
-        bits, first, size, at = np.zeros(total + 1, np.uint8), np.zeros(buckets, np.int64), np.ones(buckets, np.uint64), 1
+        words, first, size, at = np.zeros(total // 8 + 1, np.uint64), np.zeros(buckets, np.int64), np.ones(buckets, np.uint64), 1
         for bucket, own in segments:
-            first[bucket], size[bucket] = at * 8, len(own) * 8
-            bits[at : at + len(own)] = np.frombuffer(own, np.uint8)
+            own = np.frombuffer(own, "<u8")
+            first[bucket], size[bucket] = at, len(own)
+            words[at : at + len(own)] = own
             at += len(own)
-        return cls(bits, first, size)
+        return cls(words, first, size)
 
     def levels(self, x: np.ndarray) -> np.ndarray:
         """The level of each hash: the last one before the first that is missing."""
         out = np.zeros(len(x), np.uint8)
-        bucket = _bucket(x, len(self.first))
-        first, size, alive = self.first[bucket], self.size[bucket], np.arange(len(x))
+        bucket, alive = _bucket(x, len(self.first)), np.arange(len(x))
         for level in range(1, len(LEAST) + 1):
-            for probe in range(PROBES):
-                at = first[alive] + (_place(x[alive], level, probe) % size[alive]).astype(np.int64)
-                alive = alive[self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+            own = bucket[alive]
+            word, bits = _entry(x[alive], level, self.size[own])
+            alive = alive[self.words[self.first[own] + word] & bits == bits]
             if not len(alive):
                 break
             out[alive] = level
@@ -177,13 +200,12 @@ def fit(training: DataFrame, order: int = ORDER, text: str = "text", top: int =
     buckets = 16 * spread(training)  # small blobs, as Arrow batches are cut by rows
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             for own in slices(batch, 0, SLICE):
-                found = grams(words.read(own.column(0))[0], order)
-                for kind, parts in ((0, found[:1]), (1, found[1:])):
-                    x = np.concatenate([g[inside] for g, inside in parts] or [np.zeros(0, np.uint64)])
-                    x, n = np.unique(x, return_counts=True)
+                tokens = Tokens.of(own.column(0))
+                longer = [g[inside] for g, inside in grams(tokens.words[tokens.word], order)[1:]]
+                times = np.bincount(tokens.word, minlength=len(tokens.words))
+                for kind, (x, n) in enumerate(((tokens.words[times > 0], times[times > 0]), np.unique(np.concatenate(longer or [np.zeros(0, np.uint64)]), return_counts=True))):
                     bucket = _bucket(x, buckets)
                     by = np.argsort(bucket, kind="stable")
                     x, n, bucket = x[by], n[by].astype("<u4"), bucket[by]
@@ -234,31 +256,38 @@ def fit(training: DataFrame, order: int = ORDER, text: str = "text", top: int =
 
 
 class Slice:
-    """Texts' tokens, the different n-grams among them, and scores once their levels are known."""
-
-    def __init__(self, x: np.ndarray, ends: np.ndarray, order: int):
-        self.x, self.ends = x, ends
-        self.starts = np.concatenate([[0], ends[:-1]])
-        self.grams = grams(x, order)
-        every = np.concatenate([g for g, _ in self.grams])
-        self.different, self.which = np.unique(every, return_inverse=True)
-
-    def score(self, levels: np.ndarray, divisor: float) -> np.ndarray:
-        """log10 probability of each text from the levels of the different n-grams."""
-        count = VALUE[levels][self.which].reshape(len(self.grams), len(self.x))
-        p = (count[0] + 0.5) / divisor
+    """Texts' tokens and n-grams, and scores once a lookup of levels is there."""
+
+    def __init__(self, texts: pa.Array, order: int):
+        tokens = Tokens.of(texts)
+        self.words, self.word, self.ends = tokens.words, tokens.word, tokens.ends
+        self.x = self.words[self.word]
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+        self.grams = grams(self.x, order)
+
+    def different(self) -> np.ndarray:
+        """Hashes of the different n-grams, in order."""
+        return np.unique(np.concatenate([self.words, *(g for g, _ in self.grams[1:])]))
+
+    def score(self, levels: Callable[[np.ndarray], np.ndarray], divisor: float) -> np.ndarray:
+        """log10 probability of each text; `levels` looks up the levels of hashes."""
+        last = VALUE[levels(self.words)][self.word]
+        p = (last + 0.5) / divisor
         for n in range(1, len(self.grams)):
-            inside = self.grams[n][1]
-            before = np.concatenate([[count[0][-1] if n == 1 else 0.0], count[n - 1][:-1]])  # each text ends in END
-            p = np.where(inside, (np.minimum(count[n], before) + MU * p) / (before + MU), p)
+            g, inside = self.grams[n]
+            own = VALUE[levels(g)]
+            before = np.concatenate([[last[-1] if n == 1 else 0.0], last[:-1]])  # each text ends in END
+            p = np.where(inside, (np.minimum(own, before) + MU * p) / (before + MU), p)
+            last = own
         return np.add.reduceat(np.log10(p), self.starts)
 
     def base(self, top: tuple[np.ndarray, np.ndarray], divisor: float) -> tuple:
         """Each text's sum over its frequent tokens, their number, and its other tokens (hashes and times)."""
-        at = np.minimum(np.searchsorted(top[0], self.x), max(len(top[0]) - 1, 0))
-        hot = top[0][at] == self.x if len(top[0]) else np.zeros(len(self.x), bool)
-        log = np.zeros(len(self.x))
+        at = np.minimum(np.searchsorted(top[0], self.words), max(len(top[0]) - 1, 0))
+        hot = top[0][at] == self.words if len(top[0]) else np.zeros(len(self.words), bool)
+        log = np.zeros(len(self.words))
         log[hot] = np.log10((top[1][at[hot]] + 0.5) / divisor)
+        hot, log = hot[self.word], log[self.word]
         doc = np.searchsorted(self.ends, np.flatnonzero(~hot), side="right")
         x = self.x[~hot]
         by = np.lexsort((x, doc))
@@ -273,7 +302,7 @@ class Slice:
 _FOUND = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "hashes", "times"]
 
 
-def _rows(own: Slice, levels: np.ndarray, doc_ids: pa.Array, model: tuple, first: int) -> pa.RecordBatch:
+def _rows(own: Slice, levels: Callable[[np.ndarray], np.ndarray], doc_ids: pa.Array, model: tuple, first: int) -> pa.RecordBatch:
     top, divisor = model
     base, known, hashes, times = own.base(top, divisor)
     columns = [np.arange(first, first + len(own.ends)), doc_ids, own.ends - own.starts, known, base, own.score(levels, divisor), hashes, times]
@@ -291,11 +320,11 @@ def score(docs: DataFrame, model: Model, held_out: Column, text: str = "text", d
         held = sc.broadcast(Filter.of(((r["bucket"], r["bits"]) for r in model.segments.toLocalIterator()), model.buckets, model.filter_bytes))  # at most MOST_BYTES
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, n = Words(), TaskContext.get().partitionId() << 40
+            n = TaskContext.get().partitionId() << 40
             for batch in batches:
                 for own in slices(batch, 1, SLICE):
-                    found = Slice(*words.read(own.column(1)), order)
-                    yield _rows(found, held.value.levels(found.different), own.column(0), shared.value, n)
+                    found = Slice(own.column(1), order)
+                    yield _rows(found, held.value.levels, own.column(0), shared.value, n)
                     n += own.num_rows
 
         found = stored(rows.mapInArrow(scored, schema), "scored")
@@ -353,9 +382,8 @@ def _routed(rows: DataFrame, kind: str, model: Model, shared, schema: str) -> Da
             yield at, ids, own, levels
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for at, _, own, _ in of_slices(batches, False):
-            x = Slice(*words.read(pa.concat_arrays(own)), order).different
+            x = Slice(pa.concat_arrays(own), order).different()
             bucket = _bucket(x, buckets)
             by = np.argsort(bucket, kind="stable")
             x, bucket = x[by], bucket[by]
@@ -379,13 +407,13 @@ def _routed(rows: DataFrame, kind: str, model: Model, shared, schema: str) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["slice", "bucket", "v"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for at, ids, own, levels in of_slices(batches, True):
-            found = Slice(*words.read(pa.concat_arrays(own)), order)
-            bucket, out = _bucket(found.different, buckets), np.zeros(len(found.different), np.uint8)
+            found = Slice(pa.concat_arrays(own), order)
+            different = found.different()
+            bucket, out = _bucket(different, buckets), np.zeros(len(different), np.uint8)
             by = np.argsort(bucket, kind="stable")
             out[by] = np.frombuffer(b"".join(levels[b] for b in np.unique(bucket).tolist()), np.uint8)
-            yield _rows(found, out, pa.concat_arrays(ids), shared.value, at)
+            yield _rows(found, lambda x, different=different, out=out: out[np.searchsorted(different, x)], pa.concat_arrays(ids), shared.value, at)
 
     ask = texts.repartition(spread(rows), "slice").sortWithinPartitions("slice").select("slice", "doc_id", "text").mapInArrow(asked, "bucket int, slice long, v binary")
     work = model.segments.select("bucket", F.lit(0).alias("role"), none("long").alias("slice"), F.col("bits").alias("v")).unionByName(ask.select("bucket", F.lit(1).alias("role"), "slice", "v"))
