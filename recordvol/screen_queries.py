@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from recordvol.operators import averages, levels, ranks, strength
+from recordvol.operators import averages, breakouts, levels, ranks, strength
 from recordvol.plans import orders
 from recordvol.queries import BARS_SQL, Query, flat
 
@@ -205,3 +205,63 @@ c AS (SELECT *, row_number() OVER (PARTITION BY timeframe, month ORDER BY return
 SELECT timeframe, ticker, month, price, return_12, return_6, return_3, rank_12, rank_6, rank_3 FROM c WHERE rank_3 <= 10""")
 def rotation(spark, sf_dir):
     return flat(strength.rotation(orders.bars(spark, sf_dir), _ROTATION).drop("volume"))
+
+
+# --- Breakouts -------------------------------------------------------------------------------------------------------
+
+
+def _frames_sql(f: str, daily: int, weekly: int, monthly: int, ends: str = "1 PRECEDING") -> str:
+    """f over so many bars before a bar (or up to it), by timeframe."""
+    at = lambda n: f"{f} OVER ({_NEAR} {n} PRECEDING AND {ends})"
+    return f"CASE timeframe WHEN 'daily' THEN {at(daily)} WHEN 'weekly' THEN {at(weekly)} ELSE {at(monthly)} END"
+
+
+_SLOPE_SQL = f"""CASE WHEN {_frames_sql("count(*)", 49, 9, 3, "CURRENT ROW")} = CASE timeframe WHEN 'daily' THEN 50 WHEN 'weekly' THEN 10 ELSE 4 END
+    THEN {_frames_sql("regr_slope(tick, x)", 49, 9, 3, "CURRENT ROW")} END"""
+_SIGNALS_SQL = f"""WITH {BARS_SQL},
+numbered AS (SELECT *, row_number() OVER {_W} - 1 AS x, {ticks_sql("close")} AS tick, CASE timeframe WHEN 'daily' THEN 60 WHEN 'weekly' THEN 12 ELSE 6 END AS least FROM every),
+framed AS (
+  SELECT *, {_SLOPE_SQL} AS trend, x >= least AND volume > {_frames_sql("max(volume)", 60, 12, 6)} AS busy, {_frames_sql("max(close)", 60, 12, 6)} AS top, {_frames_sql("min(close)", 60, 12, 6)} AS bottom FROM numbered),
+events AS (SELECT *, CASE WHEN busy AND close > top AND trend > 1e-6 THEN 'Buy' WHEN busy AND close < bottom AND trend < -1e-6 THEN 'Sell' END AS event FROM framed),
+started AS (SELECT *, max(CASE WHEN event IS NOT NULL THEN x END) OVER {_W} AS start FROM events),
+carried AS (
+  SELECT s.*, e.event AS last_event, e.d AS last_d, e.close AS last_close FROM started s LEFT JOIN events e ON e.timeframe = s.timeframe AND e.ticker = s.ticker AND e.x = s.start),
+sided AS (SELECT *, coalesce(CASE last_event WHEN 'Buy' THEN close < last_close WHEN 'Sell' THEN close > last_close END, false) AS wrong FROM carried),
+counted AS (SELECT *, max(CASE WHEN NOT wrong THEN x END) OVER (PARTITION BY timeframe, ticker, start ORDER BY d) AS right_x FROM sided),
+ended AS (
+  SELECT *, coalesce(bool_or(x - right_x >= CASE timeframe WHEN 'daily' THEN 5 WHEN 'weekly' THEN 2 ELSE 1 END) OVER (PARTITION BY timeframe, ticker, start ORDER BY d), false) AS given_up FROM counted),
+held AS (SELECT *, start IS NOT NULL AND x - start <= CASE timeframe WHEN 'daily' THEN 100 WHEN 'weekly' THEN 20 ELSE 6 END AND NOT given_up AS holds FROM ended)"""
+
+
+@_query(f"""{_SIGNALS_SQL}
+SELECT timeframe, ticker, d, close, volume, event, CASE WHEN holds THEN last_event END AS signal, CASE WHEN holds THEN last_d END AS signal_date, CASE WHEN holds THEN last_close END AS signal_close,
+  CASE WHEN holds THEN x - start END AS age FROM held""")
+def price_volume_signals(spark, sf_dir):
+    return flat(breakouts.price_volume(orders.bars(spark, sf_dir)).drop("open", "high", "low", "trend"))
+
+
+def _steady_index(period: int, short: int) -> str:
+    wide = f"({_NEAR} {period - 1} PRECEDING AND CURRENT ROW)"
+    return f"""ranged AS (
+  SELECT *, CASE WHEN count(*) OVER s = {short} THEN {ticks_sql("max(high) OVER s - min(low) OVER s")} END AS r FROM daily WINDOW s AS ({_NEAR} {short - 1} PRECEDING AND CURRENT ROW)),
+indexed AS (
+  SELECT *, CASE WHEN count(r) OVER {wide} = {period} AND max(r) OVER {wide} > min(r) OVER {wide} THEN (r - min(r) OVER {wide}) * 100 / (max(r) OVER {wide} - min(r) OVER {wide}) END AS index FROM ranged)"""
+
+
+@_query(f"""WITH {BARS_SQL}, {_steady_index(50, 5)},
+quiets AS (SELECT *, coalesce(index < 20, false) AS quiet, CASE WHEN index <= 5 THEN 1 WHEN index <= 10 THEN 2 WHEN index <= 15 THEN 3 WHEN index IS NOT NULL THEN 0 END AS zone FROM indexed),
+changed AS (SELECT *, CASE WHEN quiet IS NOT DISTINCT FROM lag(quiet) OVER {_W} THEN 0 ELSE 1 END AS change FROM quiets),
+stretches AS (SELECT *, sum(change) OVER {_W} AS run FROM changed),
+placed AS (
+  SELECT *, CASE WHEN quiet THEN row_number() OVER o ELSE 0 END AS quiet_run, max(high) OVER o AS top, min(low) OVER o AS bottom FROM stretches WINDOW o AS (PARTITION BY timeframe, ticker, run ORDER BY d)),
+lagged AS (SELECT *, lag(index) OVER {_W} AS last_index, lag(quiet_run) OVER {_W} AS last_run, lag(top) OVER {_W} AS last_top, lag(bottom) OVER {_W} AS last_bottom FROM placed),
+sided AS (
+  SELECT *, CASE WHEN index >= 2e0 * last_index AND NOT quiet AND last_run >= 3 THEN CASE WHEN close > last_top THEN 'up' WHEN close < last_bottom THEN 'down' END END AS s,
+    CASE WHEN close > last_top THEN last_top ELSE last_bottom END AS edge FROM lagged),
+held AS (
+  SELECT *, CASE WHEN lag(s, 2) OVER {_W} = 'up' AND min(close) OVER n > lag(edge, 2) OVER {_W} THEN 'up' WHEN lag(s, 2) OVER {_W} = 'down' AND max(close) OVER n < lag(edge, 2) OVER {_W} THEN 'down' END AS h
+  FROM sided WINDOW n AS ({_NEAR} 1 PRECEDING AND CURRENT ROW))
+SELECT timeframe, ticker, d, index, CAST(zone AS BIGINT) AS zone, quiet_run, CASE WHEN s IS NOT NULL THEN 'breakout' WHEN h IS NOT NULL THEN 'confirmed' WHEN quiet_run >= 3 THEN 'consolidation' WHEN quiet_run >= 2 THEN 'contraction' END AS pattern,
+  coalesce(s, h) AS side FROM held""")
+def contraction_patterns(spark, sf_dir):
+    return flat(breakouts.contraction(orders.bars(spark, sf_dir, "daily")).select("timeframe", "ticker", "d", "index", "zone", "quiet_run", "pattern", "side"))
