@@ -14,10 +14,11 @@ a part of the way (GAP) to the low quantile of the other languages' texts, and f
 margin that falls with the square root of the length.
 
 Fitting takes a bounded sample: of each language at most SAMPLE documents with TRAIN_CHARS
-characters in all, drawn by hash; of a document longer than 1/LONGEST of these characters, that many
-from its start, so no single one displaces the others. These bounds are the only ones: every n-gram
-of the sample is in the model, at most ORDER * TRAIN_CHARS entries of 16 bytes a language. Models of
-more than MOST_BYTES in all are an error, as they are broadcast.
+characters in all, drawn by hash of identifier and text; of a document longer than 1/LONGEST of these
+characters, words drawn by hash from all over its text that make up about as many, so no single one
+displaces the others. These bounds are the only ones: every n-gram of the sample is in the model, at
+most ORDER * TRAIN_CHARS entries of 16 bytes a language. Models of more than MOST_BYTES in all are an
+error, as they are broadcast.
 
 Defined results: a null text, an empty one and one without a letter have language `und`, score 0
 and are rejected; ties go to the language first in order; repeated rows get the same result; with
@@ -35,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordvol.llm._common import held_out, slices, stored
@@ -243,16 +244,23 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
 def _sampled(rows: DataFrame, count: dict[str, int], text: str, lang: str, sample: int, chars: int) -> DataFrame:
     """lang, text, draw, place, chars of the documents that are learned from or calibrate."""
     # A first draw by hash keeps about twice the sample, whatever the corpus has; then the bounds hold exactly.
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40))
+    draw = F.pmod(F.xxhash64("doc_id", text, F.lit(7)), F.lit(1 << 40))
     below = F.create_map(*[x for k, v in count.items() for x in (F.lit(k), F.lit(min(1 << 40, int((1 << 40) * 2 * sample / v))))])
     drawn = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw")).where(F.col("draw") < below[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
-    drawn = drawn.withColumn("text", F.substring("text", 1, max(1, chars // LONGEST)))
     drawn = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    drawn = drawn.withColumn("text", _thinned(F.col("text"), F.col("draw"), max(1, chars // LONGEST)))
     size = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return drawn.withColumn("chars", size).where((F.col("chars") <= chars) | (F.col("place") <= 3))
 
 
+def _thinned(text: Column, draw: Column, most: int) -> Column:
+    """A text of at most `most` characters as it is; of a longer one, about as many in words drawn from all over it."""
+    share = F.lit(most * 1e6) / F.length(text)
+    words = F.filter(F.split(text, r"\s+"), lambda w, i: F.pmod(F.xxhash64(draw, i), F.lit(1_000_000)) < share)
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(words, " "))
+
+
 def _train_one(pdf: pd.DataFrame) -> pd.DataFrame:
     learn = pdf[pdf["place"] % 3 != 0] if len(pdf) > 2 else pdf
     tokens = pd.Series([t for x in learn["text"] for t in x.split()], dtype=object).value_counts()

@@ -30,3 +30,12 @@ def test_one_very_long_document_does_not_displace_the_others(spark):
     docs = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("long "), 5000)).otherwise(F.col("text")))
     found = language_id._sampled(docs, {"xy": 300}, "text", "lang", 1200, 20_000)
     assert found.count() == 300
+
+
+def test_words_of_a_long_document_come_from_all_over_it(spark):
+    text = "".join(f"w{i} " for i in range(40_000))
+    docs = spark.createDataFrame([(None, "xy", text), (None, "xy", "a short one"), (None, "xy", "another short one")], "doc_id long, lang string, text string")
+    drawn = {len(r["text"]) > 100: r["text"] for r in language_id._sampled(docs, {"xy": 3}, "text", "lang", 1200, 400_000).collect()}
+    places = [int(w[1:]) for w in drawn[True].split()]
+    assert 8_000 < len(drawn[True]) < 12_000 and places == sorted(set(places))
+    assert all(sum(1000 * k <= p < 1000 * (k + 1) for p in places) > 10 for k in range(40))
