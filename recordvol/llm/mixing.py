@@ -88,16 +88,16 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", weights: t
     rows = stored(rows.groupBy("doc_id", "h", "source", "size").agg(F.count("*").alias("rows")), "sizes")
     wanted = stored(targets(rows.groupBy("source").agg(F.sum("rows").alias("docs"), F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, most), "targets")
 
-    same = F.col("x.source").eqNullSafe(F.col("y.source"))
-    ratio = F.when(F.col("y.source_size") > 0, F.col("y.target") / F.col("y.source_size")).otherwise(0.0)
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("y.docs") / block))
-    flying = numbered(rows, block).alias("x").join(wanted.alias("y"), same).select(
-        "x.doc_id", "x.h", "x.source", "x.size", "x.place",
+    keyed = wanted.select(_key(), "docs", "source_size", "target")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / block))
+    flying = lookup(numbered(rows, block).withColumn("_rv_key", _key()), keyed, "_rv_key", "docs").select(
+        "doc_id", "h", "source", "size", "place",
         (ratio - F.floor(ratio)).alias("chance"),
         F.floor(ratio).cast("int").alias("copies"),
-        F.pmod(F.xxhash64("x.doc_id", "x.h", "x.place"), blocks).alias("block"),
+        F.pmod(F.xxhash64("doc_id", "h", "place"), blocks).alias("block"),
         blocks.alias("blocks"),
-        "y.docs", "y.source_size",
+        "docs", "source_size",
     )
     most_blocks = wanted.agg(F.max(F.ceil(F.col("docs") / block))).first()[0] or 0
     decided, level, factor = [], 0, max(2, block // sum(LANDING, 2))
@@ -115,7 +115,13 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", weights: t
     for more in decided[1:]:
         out = out.unionByName(more)
     out = out.withColumn("copies", F.col("copies") + F.col("chance").cast("int"))
-    return out.alias("x").join(wanted.alias("y"), same).select("x.doc_id", "x.h", "x.source", "x.size", "y.source_size", "y.target", "x.copies")
+    out = out.select("doc_id", "h", "source", "size", "copies", _key())
+    return lookup(out, keyed, "_rv_key", "docs").select("doc_id", "h", "source", "size", "source_size", "target", "copies")
+
+
+def _key() -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_rv_key")
 
 
 def numbered(rows: DataFrame, chunk: int) -> DataFrame:
@@ -133,15 +139,15 @@ def _settled(flying: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_size = Window.partitionBy("source").orderBy(F.desc("size"), "h", "doc_id", "place")
     is_long = (F.col("size") * F.col("docs") > LONG * F.col("source_size")) & (F.col("chance") > 0)
     long = flying.where(is_long).withColumn("nth", F.row_number().over(by_size)).where(F.col("nth") <= MOST_LONG)
-    settle = long.select(*columns[:-2], F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("blocks"), F.col("chance").alias("was"))
+    settle = long.select(*columns[:-2], F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("blocks"), F.col("chance").alias("was"), "docs")
     decide = _flights(0)
-    settled = settle.groupBy("source").applyInPandas(lambda pdf: decide(pdf.drop(columns="was")).assign(was=pdf["was"].iloc[0]), f"{FLIGHT}, was double")
+    settled = settle.groupBy("source").applyInPandas(lambda pdf: decide(pdf.drop(columns=["was", "docs"])).assign(was=pdf["was"].iloc[0], docs=pdf["docs"].iloc[0]), f"{FLIGHT}, was double, docs long")
     settled = stored(settled, "settled")
-    over = settled.groupBy("source").agg(F.sum((F.col("was") - F.col("chance")) * F.col("size")).alias("over"), F.sum("size").alias("words"))
+    over = settled.groupBy(_key()).agg(F.sum((F.col("was") - F.col("chance")) * F.col("size")).alias("over"), F.sum("size").alias("words"), F.max("docs").alias("in_source"))
     same = lambda t, ks: [F.col(f"f.{k}").eqNullSafe(F.col(f"{t}.{k}")) for k in ks]
-    rest = flying.alias("f").join(F.broadcast(over).alias("o"), same("o", ["source"]), "left")
-    maybe = is_long & F.col("o.words").isNotNull()
-    rest = rest.select("f.*", "over", "words", F.coalesce(maybe, F.lit(False)).alias("maybe"))
+    rest = lookup(flying.withColumn("_rv_key", _key()), stored(over, "over"), "_rv_key", "in_source")
+    maybe = is_long & F.col("words").isNotNull()
+    rest = rest.select(*flying.columns, "over", "words", F.coalesce(maybe, F.lit(False)).alias("maybe"))
     few = rest.where("maybe").alias("f").join(settled.select(*ROW).alias("d"), same("d", ROW), "left_anti")
     rest = rest.where("not maybe").unionByName(few)
     moved = F.col("chance") + F.col("over") / (F.col("source_size") - F.col("words"))
