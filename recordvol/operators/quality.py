@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordvol.operators.records import whole
 from recordvol.schema import KEYS
 
 #: Least bars of a series by timeframe, and otherwise.
@@ -29,22 +30,23 @@ def close_changes(bars: DataFrame) -> DataFrame:
     return bars.withColumn("change", F.when(last != 0, F.col("close") / last - 1))
 
 
+def stats() -> dict[str, Column]:
+    """What a series' verdict rests on, as aggregates of `close_changes`; rows without a date only say that there is a file."""
+    extreme, dated = F.abs("change") > EXTREME_MOVE, F.col("d").isNotNull()
+    return {
+        "bars": F.count("d"),
+        "missing": F.count_if(dated & F.col("close").isNull()),
+        "bad_prices": F.count_if(F.col("close") <= 0),
+        "changes": F.count("change"),
+        "extreme": F.count_if(extreme),
+        "first_date": F.min("d"),
+        "last_date": F.max("d"),
+    }
+
+
 def series_stats(bars: DataFrame) -> DataFrame:
     """bars, missing, bad_prices, changes and extreme moves of each series."""
-    extreme = F.abs("change") > EXTREME_MOVE
-    return (
-        close_changes(bars)
-        .groupBy(*KEYS)
-        .agg(
-            F.count("*").alias("bars"),
-            F.count_if(F.col("close").isNull()).alias("missing"),
-            F.count_if(F.col("close") <= 0).alias("bad_prices"),
-            F.count("change").alias("changes"),
-            F.count_if(extreme).alias("extreme"),
-            F.min("d").alias("first_date"),
-            F.max("d").alias("last_date"),
-        )
-    )
+    return close_changes(bars).groupBy(*KEYS).agg(*(c.alias(name) for name, c in stats().items()))
 
 
 def verdict(override: int | None = None, closes: Column | None = None) -> Column:
@@ -52,7 +54,8 @@ def verdict(override: int | None = None, closes: Column | None = None) -> Column
     n = F.col("bars")
     least = least_bars(override)
     return (
-        F.when(n < least, F.format_string("Insufficient data: %d < %d (%s)", n, least, F.col("timeframe")))
+        F.when(n == 0, "No data available")
+        .when(n < least, F.format_string("Insufficient data: %d < %d (%s)", n, least, F.col("timeframe")))
         .when(F.lit(False) if closes is None else ~closes, "Missing Close price column")
         .when(F.col("missing") > n * MOST_MISSING, F.format_string("Too many missing Close prices: %d", F.col("missing")))
         .when(F.col("bad_prices") > 0, "Invalid price values (≤ 0)")
@@ -61,18 +64,25 @@ def verdict(override: int | None = None, closes: Column | None = None) -> Column
     )
 
 
-def verdicts(bars: DataFrame, override: int | None = None, no_close: DataFrame | None = None) -> DataFrame:
-    """timeframe, ticker, valid and reason. no_close: tickers whose source has no column of closes."""
-    stats, closes = series_stats(bars), None
-    if no_close is not None:
-        stats = stats.join(no_close.select("ticker", F.lit(True).alias("_none")), "ticker", "left")
-        closes = F.col("_none").isNull()
-    reason = verdict(override, closes)
-    return stats.select(*KEYS, (reason == "Valid data").alias("valid"), reason.alias("reason"))
+def _closes(bars: DataFrame) -> dict[str, Column]:
+    """Whether a series' source has closes, where bars say so by their column has_close."""
+    return {"closes": F.bool_and("has_close")} if "has_close" in bars.columns else {}
+
+
+def verdicts(bars: DataFrame, override: int | None = None) -> DataFrame:
+    """timeframe, ticker, valid and reason of each series; bars as of `with_files` also tell of missing columns and rows."""
+    own = stats() | _closes(bars)
+    found = close_changes(bars).groupBy(*KEYS).agg(*(c.alias(name) for name, c in own.items()))
+    reason = verdict(override, F.col("closes") if "closes" in own else None)
+    return found.select(*KEYS, (reason == "Valid data").alias("valid"), reason.alias("reason"))
 
 
-def valid_bars(bars: DataFrame, override: int | None = None, no_close: DataFrame | None = None) -> DataFrame:
-    return bars.join(verdicts(bars, override, no_close).where("valid").select(*KEYS), list(KEYS), "left_semi")
+def valid_bars(bars: DataFrame, override: int | None = None) -> DataFrame:
+    """Bars of the valid series; their verdicts are windows over the exchange that records use as well."""
+    own = stats() | _closes(bars)
+    rows = close_changes(bars).withColumns({name: c.over(whole()) for name, c in own.items()})
+    rows = rows.where(verdict(override, F.col("closes") if "closes" in own else None) == "Valid data").where("d is not null")
+    return rows.select(*(c for c in bars.columns if c != "has_close"))
 
 
 def data_summary(bars: DataFrame, sample: int | None = None) -> DataFrame:
@@ -80,10 +90,9 @@ def data_summary(bars: DataFrame, sample: int | None = None) -> DataFrame:
     if sample is not None:
         first = bars.select("ticker").distinct().orderBy("ticker").limit(sample)
         bars = bars.join(F.broadcast(first), "ticker", "left_semi")
-    stats = series_stats(bars)
     ok = verdict() == "Valid data"
     n = F.count_if(ok)
-    return stats.agg(
+    return series_stats(bars).agg(
         F.count("*").alias("series"),
         n.alias("valid"),
         F.when(n > 0, F.floor(F.sum(F.when(ok, F.col("bars"))) / n)).alias("mean_bars"),

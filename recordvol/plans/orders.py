@@ -77,21 +77,45 @@ def uneven_bars(spark: SparkSession, sf_dir: str, *timeframes: str) -> DataFrame
 
 
 def csv_folder(spark: SparkSession, sf_dir: str, timeframe: str) -> str:
-    """A folder of bars files, one per ticker: of every other ticker with other columns, order and case."""
+    """A folder of bars files, one per ticker, written once an application: of every other ticker with other columns, order and case.
+
+    In weekly files, tickers ending in 7 have no Close column and those ending in 8 no date.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, timeframe)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = _write_csv(spark, sf_dir, timeframe)
+    return _WRITTEN[key]
+
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+_SCRATCH: dict[str, str] = {}
+
+
+def _write_csv(spark: SparkSession, sf_dir: str, timeframe: str) -> str:
     folder = f"{scratch(spark)}/bars-{uuid.uuid4().hex}"
-    rows = uneven_bars(spark, sf_dir, timeframe).repartition("ticker")
-    even = F.substring("ticker", -1, 1).cast("int") % 2 == 0
+    last = F.substring("ticker", -1, 1).cast("int")
+    dates = F.when((last == 8) & F.lit(timeframe == "weekly"), "").otherwise(F.col("d").cast("string"))
+    rows = uneven_bars(spark, sf_dir, timeframe).withColumn("d", dates).repartition("ticker")
     names = {"d": "Date", "open": "Open", "high": "High", "low": "Low", "close": "Close", "volume": "Volume"}
-    first = rows.where(even).select("ticker", *(F.col(c).alias(n) for c, n in names.items()))
-    other = rows.where(~even).select("ticker", F.lit("x").alias("Adj Close"), *(F.col(c).alias(c if c == "low" else names[c]) for c in ("volume", "close", "low", "high", "open")), F.concat(F.col("d").cast("string"), F.lit(" 00:00:00-05:00")).alias("Date"))
-    for part in (first, other):
+    bare = (last == 7) & F.lit(timeframe == "weekly")
+    first = rows.where(last % 2 == 0).select("ticker", *(F.col(c).alias(n) for c, n in names.items()))
+    other = rows.where((last % 2 == 1) & ~bare).select("ticker", F.lit("x").alias("Adj Close"), *(F.col(c).alias(c if c == "low" else names[c]) for c in ("volume", "close", "low", "high", "open")), F.concat("d", F.lit(" 00:00:00-05:00")).alias("Date"))
+    without = rows.where(bare).select("ticker", *(F.col(c).alias(n) for c, n in names.items() if c != "close"))
+    for part in (first, other, without) if timeframe == "weekly" else (first, other):
         part.write.mode("append").partitionBy("ticker").option("header", True).csv(folder)
     return folder
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder spark.checkpoint.dir names; one of its own only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(folder or tempfile.mkdtemp(prefix='recordvol-')).rstrip('/')}/recordvol"
+    """A folder that goes when the application ends, in the one spark.checkpoint.dir names; one of its own only in local mode."""
+    me = spark.sparkContext.applicationId
+    if me not in _SCRATCH:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        _SCRATCH[me] = f"{(folder or tempfile.mkdtemp(prefix='recordvol-')).rstrip('/')}/recordvol-screens/{me}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH[me])
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return _SCRATCH[me]

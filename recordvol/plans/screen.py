@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from recordvol.operators import exports
 from recordvol.operators.quality import valid_bars
 from recordvol.operators.records import Screen, summary
-from recordvol.sources.bars import csv_rows, tidy, without_close
+from recordvol.sources.bars import csv_rows, with_files
 from recordvol.sources.settings import Settings
 
 
@@ -29,17 +29,15 @@ def screen_of(settings: Settings, as_of: str | None) -> Screen:
     )
 
 
-def run(bars: DataFrame, selection: DataFrame, settings: Settings, as_of: str | None = None, no_close: DataFrame | None = None) -> DataFrame:
-    """Results of the selected tickers in the enabled timeframes; one plan over all of them. no_close as in `verdicts`."""
+def run(bars: DataFrame, selection: DataFrame, settings: Settings, as_of: str | None = None) -> DataFrame:
+    """Results of the selected tickers in the enabled timeframes; one plan over all of them, one exchange on the series."""
     chosen = bars.where(F.col("timeframe").isin(list(settings.timeframes()))).join(selection.select("ticker").distinct(), "ticker", "left_semi")
-    return summary(valid_bars(chosen, no_close=no_close), screen_of(settings, as_of))
+    return summary(valid_bars(chosen), screen_of(settings, as_of))
 
 
-def bars_of(spark: SparkSession, folders: Mapping[str, str], tickers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Bars of all timeframes (timeframe: folder of CSV files), and the tickers that lack closes in one of them."""
-    raw = [(t, csv_rows(spark, folder, tickers)) for t, folder in folders.items()]
-    bars, none = (reduce(DataFrame.unionByName, x) for x in zip(*((tidy(r, t), without_close(r)) for t, r in raw)))
-    return bars, none.distinct()
+def bars_of(spark: SparkSession, folders: Mapping[str, str], tickers: DataFrame | None = None) -> DataFrame:
+    """Bars of all timeframes (timeframe: folder of CSV files), each folder read once, as of `with_files`."""
+    return reduce(DataFrame.unionByName, (with_files(csv_rows(spark, folder, tickers), t) for t, folder in folders.items()))
 
 
 def write_reports(results: DataFrame, settings: Settings, folder: str, generated: str) -> None:

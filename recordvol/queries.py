@@ -253,17 +253,25 @@ def csv_bars(spark, sf_dir):
     return bars.read_csv_bars(spark, orders.csv_folder(spark, sf_dir, "daily"), "daily")
 
 
-_SCREENED = f"(SELECT u.* FROM uneven u JOIN verdict v USING (timeframe, ticker) WHERE v.reason = 'Valid data' AND u.ticker IN (SELECT s_name FROM supplier WHERE s_suppkey % 3 <> 0) AND timeframe <> 'monthly')"
+#: Of weekly files some have no Close column, some no date.
+_FILED = """CASE WHEN timeframe = 'weekly' AND right(ticker, 1) = '8' THEN 'No data available' WHEN bars < least THEN reason WHEN timeframe = 'weekly' AND right(ticker, 1) = '7' THEN 'Missing Close price column' ELSE reason END"""
+_SCREENED = f"(SELECT u.* FROM uneven u JOIN (SELECT timeframe, ticker, {_FILED} AS reason FROM verdict) v USING (timeframe, ticker) WHERE v.reason = 'Valid data' AND u.ticker IN (SELECT s_name FROM supplier WHERE s_suppkey % 3 <> 0) AND timeframe <> 'monthly')"
 
 
 @_query(summary_sql(_SCREENED, f"d BETWEEN DATE '{START}' AND DATE '{END}'", trailing=True, base=UNEVEN_SQL))
 def full_screen(spark, sf_dir):
     """From bars files and a selection by file to the results, by the settings of a run."""
     settings = Settings(yf_daily_data=True, yf_weekly_data=True, hve_date_range_mode="fixed", hve_start_date=START, hve_end_date=END)
-    rows, no_close = screen.bars_of(spark, {t: orders.csv_folder(spark, sf_dir, t) for t in settings.timeframes()})
+    rows = screen.bars_of(spark, {t: orders.csv_folder(spark, sf_dir, t) for t in settings.timeframes()})
     listed = orders.table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("place"), F.col("s_name").alias("ticker"))
     selection = universe.chosen(universe.one_hot(clean_universe(spark, sf_dir), FLAGS), (6,), {6: listed}, FLAGS)
-    return flat(screen.run(rows, selection, settings, no_close=no_close))
+    return flat(screen.run(rows, selection, settings))
+
+
+@_query(f"WITH {UNEVEN_SQL}, filed AS (SELECT timeframe, ticker, {_FILED} AS reason FROM verdict WHERE timeframe <> 'monthly') SELECT timeframe, ticker, reason = 'Valid data' AS valid, reason FROM filed")
+def file_verdicts(spark, sf_dir):
+    """Verdicts of series as their files have them, each timeframe by itself."""
+    return quality.verdicts(screen.bars_of(spark, {t: orders.csv_folder(spark, sf_dir, t) for t in ("daily", "weekly")}))
 
 
 # --- Exports and cards -----------------------------------------------------------------------------------------------

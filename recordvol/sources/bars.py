@@ -29,6 +29,9 @@ def cells(line: Column) -> Column:
 def csv_rows(spark: SparkSession, folder: str, tickers: DataFrame | None = None) -> DataFrame:
     """ticker, line, the columns of CSV as text, and has_close, of all bars files of a folder.
 
+    Line 0 is the file's header and has nulls only, so that a file without rows is there as well (one
+    of no bytes is not: the scan skips it).
+
     Files are `{ticker}.csv`, or lie in folders `ticker={ticker}` as Spark writes them. Each file's
     own header says where its columns are, whatever their order and case; a column that a file does
     not have is null. A file is one row of the scan, which suits files of one series each (a daily
@@ -44,8 +47,8 @@ def csv_rows(spark: SparkSession, folder: str, tickers: DataFrame | None = None)
         files = files.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
     lines = files.select("ticker", F.split("value", r"\r?\n").alias("lines"))
     lines = lines.withColumn("names", F.transform(cells(F.col("lines")[0]), lambda x: F.lower(x)))
-    rows = lines.select("ticker", "names", F.posexplode(F.slice("lines", 2, 1 << 30)).alias("line", "text")).where("trim(text) <> ''")
-    rows = rows.withColumn("cells", cells(F.col("text")))
+    rows = lines.select("ticker", "names", F.posexplode("lines").alias("line", "text")).where("line = 0 or trim(text) <> ''")
+    rows = rows.withColumn("cells", F.when(F.col("line") > 0, cells(F.col("text"))))
     column = lambda c: F.get("cells", (F.array_position("names", c.lower()) - 1).cast("int")).alias(c)
     return rows.select("ticker", "line", *(column(c) for c in CSV.fieldNames()), F.array_contains("names", "close").alias("has_close"))
 
@@ -55,21 +58,29 @@ def read_csv_bars(spark: SparkSession, folder: str, timeframe: str, tickers: Dat
     return tidy(csv_rows(spark, folder, tickers), timeframe)
 
 
-def without_close(raw: DataFrame) -> DataFrame:
-    """Tickers whose file has no Close column (validation turns them down)."""
-    return raw.where("not has_close").select("ticker").distinct()
-
-
 def tidy(raw: DataFrame, timeframe: str) -> DataFrame:
     """Bars from text columns: the date before the first space, weekdays only, missing and NaN numbers null.
 
     Dates that cannot be parsed go with the missing ones (see `unreadable_dates`). Of several rows
     of one day the last in the file (by `line`) stays.
     """
-    numbers = [number(F.col(c)).alias(c.lower()) if c in raw.columns else F.lit(None).cast("double").alias(c.lower()) for c in CSV.fieldNames()[1:]]
-    bars = raw.select(F.lit(timeframe).alias("timeframe"), "ticker", bar_date(F.col("Date")).alias("d"), *numbers, "line")
-    bars = bars.where(F.col("d").isNotNull() & (F.weekday("d") < 5))
-    return one_per_day(bars).select(*BARS.fieldNames())
+    return one_per_day(_typed(raw, timeframe).where(_dated())).select(*BARS.fieldNames())
+
+
+def with_files(raw: DataFrame, timeframe: str) -> DataFrame:
+    """The bars of `tidy` with has_close, whether their file has a Close column, and a row without a date for each file."""
+    return one_per_day(_typed(raw, timeframe).where(_dated() | (F.col("line") == 0))).select(*BARS.fieldNames(), "has_close")
+
+
+def _dated() -> Column:
+    return F.col("d").isNotNull() & (F.weekday("d") < 5)
+
+
+def _typed(raw: DataFrame, timeframe: str) -> DataFrame:
+    numbers = {c.lower(): number(F.col(c)) if c in raw.columns else F.lit(None).cast("double") for c in CSV.fieldNames()[1:]}
+    typed = raw.withColumns({"_d": bar_date(F.col("Date")), **{f"_{c}": v for c, v in numbers.items()}})
+    more = ["has_close"] if "has_close" in raw.columns else []
+    return typed.select(F.lit(timeframe).alias("timeframe"), "ticker", F.col("_d").alias("d"), *(F.col(f"_{c}").alias(c) for c in numbers), "line", *more)
 
 
 def bar_date(text: Column) -> Column:

@@ -123,14 +123,29 @@ def test_csv_columns_go_by_their_names(spark, tmp_path):
     (tmp_path / "MIXED.csv").write_text('Volume,"Date",Close\n7,2024-01-05,5\n"1000","2024-01-05","4"\n')
     (tmp_path / "NOCLOSE.csv").write_text("Date,Volume\n2024-01-05,3\n")
     (tmp_path / "EMPTY.csv").write_text("")
+    (tmp_path / "HEADER.csv").write_text("Date,Close,Volume\n\n")
     raw = sources.csv_rows(spark, str(tmp_path))
     found = {r["ticker"]: (r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in sources.tidy(raw, "daily").collect()}
     # Of two rows of a day the last one counts, not the largest.
     assert found == {"EXTRA": (1, 2, 3, 4, 1000), "FEW": (None, None, None, 1.5, 1000), "MIXED": (None, None, None, 4, 1000), "NOCLOSE": (None, None, None, None, 3)}
-    none = sources.without_close(raw)
-    assert [r[0] for r in none.collect()] == ["NOCLOSE"]
-    reasons = {r["ticker"]: r["reason"] for r in quality.verdicts(sources.tidy(raw, "daily"), 1, none).collect()}
-    assert reasons["NOCLOSE"] == "Missing Close price column" and reasons["EXTRA"] == "Valid data"
+    reasons = {r["ticker"]: r["reason"] for r in quality.verdicts(sources.with_files(raw, "daily"), 1).collect()}
+    assert reasons == {"NOCLOSE": "Missing Close price column", "HEADER": "No data available"} | dict.fromkeys(("EXTRA", "FEW", "MIXED"), "Valid data")
+
+
+def test_each_timeframe_is_judged_by_its_own_file(spark, tmp_path):
+    for timeframe, header in (("daily", "Date,Volume"), ("weekly", "Date,Close,Volume")):
+        (tmp_path / timeframe).mkdir()
+        for ticker in ("AAA", "BBB"):
+            names = "Date,Close,Volume" if ticker == "BBB" else header
+            days = [dt.date(2020, 1, 6) + dt.timedelta(7 * i) for i in range(300)]
+            (tmp_path / timeframe / f"{ticker}.csv").write_text(names + "\n" + "\n".join(",".join([str(d), *(["5"] * (names.count(",")))]) for d in days))
+    bars = screen.bars_of(spark, {t: str(tmp_path / t) for t in ("daily", "weekly")})
+    found = {(r["timeframe"], r["ticker"]): r["reason"] for r in quality.verdicts(bars).collect()}
+    assert found == {("daily", "AAA"): "Missing Close price column", ("daily", "BBB"): "Valid data", ("weekly", "AAA"): "Valid data", ("weekly", "BBB"): "Valid data"}
+    valid = quality.valid_bars(bars)
+    assert valid.columns == BARS.fieldNames() and {(r[0], r[1]): r[2] for r in valid.groupBy("timeframe", "ticker").count().collect()} == {k: 300 for k, v in found.items() if v == "Valid data"}
+    plan = screen.run(bars, spark.createDataFrame([("AAA",)], "ticker string"), Settings(yf_daily_data=True, yf_weekly_data=True, hve_limit_years=0, hve_date_range_mode="rolling"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 2
 
 
 def test_full_screen_from_files_to_reports(spark, tmp_path):
@@ -146,8 +161,8 @@ def test_full_screen_from_files_to_reports(spark, tmp_path):
     known = spark.createDataFrame([("A", 1, True, "NYSE"), ("A", 2, False, "LSE")], "ticker string, place long, SP500 boolean, exchange string")
     selection = universe.chosen(known, [6], {6: listed}, ["SP500"])
     assert {(r["ticker"], r["SP500"], r["exchange"]) for r in selection.collect()} == {("A", True, "NYSE"), ("B", False, None), ("SHORT", False, None), ("GONE", False, None)}
-    bars, none = screen.bars_of(spark, {"daily": str(tmp_path / "daily")}, selection)
-    results = screen.run(bars, selection, settings, no_close=none)
+    bars = screen.bars_of(spark, {"daily": str(tmp_path / "daily")}, selection)
+    results = screen.run(bars, selection, settings)
     assert {(r["ticker"], r["hve_volume"]) for r in results.collect()} == {("A", 900.0), ("B", 500.0)}
     screen.write_reports(results, settings, str(tmp_path / "out"), "now")
     names = {p.name for p in (tmp_path / "out").iterdir()}
