@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from recordvol.operators import averages, breakouts, levels, ranks, strength
+from recordvol.operators import averages, breakouts, flows, leaders, levels, ranks, strength
 from recordvol.plans import orders
 from recordvol.queries import BARS_SQL, Query, flat
 
@@ -265,3 +265,99 @@ SELECT timeframe, ticker, d, index, CAST(zone AS BIGINT) AS zone, quiet_run, CAS
   coalesce(s, h) AS side FROM held""")
 def contraction_patterns(spark, sf_dir):
     return flat(breakouts.contraction(orders.bars(spark, sf_dir, "daily")).select("timeframe", "ticker", "d", "index", "zone", "quiet_run", "pattern", "side"))
+
+
+# --- Volume and flows ------------------------------------------------------------------------------------------------
+
+_SUITE = flows.VolumeSuite(months=6, recent=30, deviations=3.0, rvol=20)
+
+
+def _as_of_sql(months: int) -> str:
+    return f"arg_max(mean, d) OVER (PARTITION BY timeframe, ticker ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL {months} MONTH PRECEDING)"
+
+
+@_query(f"""WITH {BARS_SQL},
+framed AS (
+  SELECT *, coalesce(volume > max(volume) OVER (PARTITION BY timeframe, ticker ORDER BY d RANGE BETWEEN INTERVAL 6 MONTH PRECEDING AND INTERVAL 1 DAY PRECEDING), false) AS is_high,
+    count(*) OVER (PARTITION BY timeframe, ticker) - row_number() OVER {_W} AS rest, count(volume) OVER e AS n, sum(volume) OVER e AS s, sum(volume * volume) OVER e AS q, lag(volume, 25) OVER {_W} AS v25, lag(close) OVER {_W} AS c1,
+    {ticks_sql("high")} + {ticks_sql("low")} + {ticks_sql("close")} AS typical, avg(volume) OVER ({_NEAR} 49 PRECEDING AND CURRENT ROW) AS mean
+  FROM every WINDOW e AS ({_NEAR} 20 PRECEDING AND 1 PRECEDING)),
+scored AS (
+  SELECT *, CASE WHEN n > 1 AND q * n - s * s > 0 THEN (volume * n - s) / sqrt((q * n - s * s) * n / (n - 1)) END AS z, CASE WHEN v25 > 0 THEN (volume - v25) / v25 * 100 END AS vroc, CASE WHEN s > 0 THEN volume * n / s END AS rvol,
+    sum(CASE WHEN c1 > 0 THEN {ticks_sql("volume * (close / c1 - 1)")} ELSE 0 END) OVER {_W} AS vpt, CASE WHEN typical > lag(typical) OVER {_W} THEN typical * volume ELSE 0 END AS up, CASE WHEN typical < lag(typical) OVER {_W} THEN typical * volume ELSE 0 END AS down,
+    mean / {_as_of_sql(3)} AS adtv_3, mean / {_as_of_sql(6)} AS adtv_6, mean / {_as_of_sql(12)} AS adtv_12
+  FROM framed),
+flowing AS (SELECT *, sum(up) OVER m AS ups, sum(down) OVER m AS downs, vpt * (count(*) OVER v) - (sum(vpt) OVER v) AS off, 0.05::DOUBLE * abs(sum(vpt) OVER v) AS level
+  FROM scored WINDOW m AS ({_NEAR} 13 PRECEDING AND CURRENT ROW), v AS ({_NEAR} 19 PRECEDING AND CURRENT ROW)),
+ready AS (SELECT *, CASE WHEN ups + downs > 0 THEN ups * 100 / (ups + downs) END AS mfi FROM flowing)
+SELECT timeframe, ticker, d, is_high, is_high AND rest < 30 AS is_recent_high, floor(z * 1e6 + 0.3137::DOUBLE) / 1e6 AS z, coalesce(z >= 3, false) AS is_deviant, vroc, coalesce(vroc >= 50, false) AS is_jump, rvol,
+  CASE WHEN rvol >= 5 THEN 'extreme' WHEN rvol >= 2 THEN 'high' END AS activity, mfi, CASE WHEN mfi >= 80 THEN 'overbought' WHEN mfi <= 20 THEN 'oversold' END AS pressure, CAST(vpt AS BIGINT) AS vpt,
+  CASE WHEN off > level THEN 'up' WHEN off < -level THEN 'down' END AS vpt_signal, {", ".join(f"floor(adtv_{m} * 1e6 + 0.3137::DOUBLE) / 1e6 AS adtv_{m}" for m in (3, 6, 12))},
+  coalesce(adtv_3 >= 2, false) AND coalesce(adtv_6 >= 2, false) AND coalesce(adtv_12 >= 2, false) AS is_busy
+FROM ready""")
+def volume_suite(spark, sf_dir):
+    rows = flows.volume_suite(orders.bars(spark, sf_dir), _SUITE).drop("open", "high", "low", "close", "volume")
+    return rows.withColumns({c: F.floor(F.col(c) * 1e6 + 0.3137) / 1e6 for c in ("z", "adtv_3", "adtv_6", "adtv_12")})
+
+
+_LINE_SQL = f"""WITH {BARS_SQL},
+flowed AS (SELECT *, CASE WHEN high > low THEN {ticks_sql("((close - low) - (high - close)) / (high - low) * volume")} ELSE 0 END AS flow FROM every),
+adl AS (SELECT *, CAST(sum(flow) OVER {_W} AS BIGINT) AS line, row_number() OVER {_W} - 1 AS n FROM flowed)"""
+
+
+def _swing_sql(side: str, x: str) -> str:
+    a, b = f"({_NEAR} 3 PRECEDING AND 1 PRECEDING)", f"({_NEAR} 1 FOLLOWING AND 3 FOLLOWING)"
+    return f"""SELECT '{side}' AS side, timeframe, ticker, n, d, {x} AS level, line, lead(d, 3) OVER {_W} AS seen_date, count(*) OVER {a} = 3 AND count(*) OVER {b} = 3 AND {x} > max({x}) OVER {a} AND {x} >= max({x}) OVER {b} AS is_pivot FROM adl"""
+
+
+@_query(f"""{_LINE_SQL},
+swings AS ({_swing_sql("high", "high")} UNION ALL {_swing_sql("low", "-low")}),
+paired AS (SELECT *, {", ".join(f"lag({c}) OVER s AS last_{c}" for c in ("d", "n", "level", "line"))} FROM swings WHERE is_pivot WINDOW s AS (PARTITION BY timeframe, ticker, side ORDER BY n)),
+kinds AS (SELECT *, CASE WHEN side = 'high' AND line < last_line THEN 'bearish' WHEN side = 'low' AND line > last_line THEN 'bullish' END AS kind FROM paired WHERE n - last_n <= 20 AND level > last_level)
+SELECT timeframe, ticker, kind, last_d, d, seen_date, abs(last_level) AS last_price, abs(level) AS price, last_line, line FROM kinds WHERE kind IS NOT NULL""")
+def flow_divergences(spark, sf_dir):
+    return flows.divergences(orders.bars(spark, sf_dir))
+
+
+@_query(f"""{_LINE_SQL},
+ends AS (SELECT timeframe, ticker, CAST(date_trunc('month', d) AS DATE) AS month, arg_max(line, d) AS line FROM adl GROUP BY ALL),
+moved AS (
+  SELECT *, CASE WHEN lag(month) OVER o = month - INTERVAL 1 MONTH AND lag(line) OVER o <> 0 THEN (line - lag(line) OVER o) * 100 / abs(lag(line) OVER o) END AS change FROM ends WINDOW o AS (PARTITION BY timeframe, ticker ORDER BY month)),
+ranged AS (SELECT *, coalesce(change >= 15 AND change <= 30, false) AS in_range FROM moved),
+broken AS (SELECT *, sum(CASE WHEN in_range THEN 0 ELSE 1 END) OVER (PARTITION BY timeframe, ticker ORDER BY month) AS breaks FROM ranged),
+scored AS (
+  SELECT *, count(*) FILTER (WHERE in_range) OVER (PARTITION BY timeframe, ticker, breaks ORDER BY month) AS streak, (count(*) FILTER (WHERE change > 0) OVER b) * 100 / 6 AS consistency, count(change) OVER b AS known
+  FROM broken WINDOW b AS (PARTITION BY timeframe, ticker ORDER BY month ROWS 5 PRECEDING))
+SELECT timeframe, ticker, month, line, change, in_range, streak, consistency, known = 6 AND consistency >= 60 AS score_ok, known = 6 AND consistency >= 60 AND streak >= 3 AS is_signal FROM scored""")
+def monthly_accumulation(spark, sf_dir):
+    return flows.monthly_accumulation(orders.bars(spark, sf_dir))
+
+
+# --- Groups ----------------------------------------------------------------------------------------------------------
+
+_LATEST_SQL = f"""WITH {BARS_SQL},
+numbered AS (SELECT *, lag(close, 50) OVER {_W} AS past, lead(d) OVER {_W} AS next_d FROM every),
+latest AS (SELECT b.timeframe, b.ticker, b.d, b.close, {ticks_sql("close / past - 1")} AS change, n_name AS "group" FROM numbered b JOIN supplier ON s_name = b.ticker JOIN nation ON n_nationkey = s_nationkey WHERE next_d IS NULL AND past > 0)"""
+
+
+
+@_query(f"""{_LATEST_SQL}
+SELECT timeframe, "group", CASE WHEN grouping("group") = 1 THEN 'all' ELSE 'group' END AS level, count(*) AS series, sum(change) / count(*) / 10000 AS mean_change, count(*) FILTER (WHERE change > 0) AS rising,
+  arg_max(ticker, (change, ticker)) AS best FROM latest GROUP BY GROUPING SETS ((timeframe, "group"), (timeframe))""")
+def group_returns(spark, sf_dir):
+    returns = leaders.latest_returns(orders.bars(spark, sf_dir), 50)
+    return leaders.hierarchy(returns.join(_groups(spark, sf_dir), "ticker"), "group")
+
+
+@_query(f"""{_LATEST_SQL},
+ranked AS (SELECT timeframe, "group", sum(change) / count(*) / 10000 AS group_change FROM latest GROUP BY ALL HAVING count(*) >= 3),
+kept AS (SELECT *, row_number() OVER (PARTITION BY timeframe ORDER BY group_change DESC, "group") AS group_rank, count(*) OVER (PARTITION BY timeframe) AS groups FROM ranked),
+best AS (SELECT *, row_number() OVER (PARTITION BY timeframe, "group" ORDER BY change DESC, ticker) AS rank FROM latest)
+SELECT timeframe, "group", group_rank, rank, ticker, d, close, change / 10000 AS change, group_change FROM best JOIN kept USING (timeframe, "group") WHERE rank <= 4 AND (group_rank - 1) * 100 < groups * 20""")
+def industry_leaders(spark, sf_dir):
+    return flat(leaders.industry_leaders(orders.bars(spark, sf_dir), _groups(spark, sf_dir)))
+
+
+def _groups(spark, sf_dir):
+    nations = orders.table(spark, sf_dir, "nation")
+    return orders.table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("ticker"), F.col("n_name").alias("group"))
