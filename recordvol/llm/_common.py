@@ -27,9 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     """
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _FOLDERS.setdefault(f"{spark.sparkContext.applicationId} local", tempfile.mkdtemp(prefix="recordvol-"))
+    own = f"{spark.sparkContext.applicationId} local"
+    if own not in _FOLDERS:
+        _FOLDERS[own] = tempfile.mkdtemp(prefix="recordvol-")
+    return _FOLDERS[own]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -93,24 +96,39 @@ def followed(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", le
     return rows.where(is_hot).join(few, key, how).unionByName(rows.where(~is_hot).join(table, key, how))
 
 
-def marked(df: DataFrame, key: Column, keys: DataFrame, column: str, bits: int | None = None) -> DataFrame:
-    """Adds a boolean `column`: may `key` be among `keys`? Never false for one that is.
+def key_filter(keys: DataFrame, bits: int | None = None) -> tuple[DataFrame, int]:
+    """One row (words array<bigint>), the bits of a filter for the keys, and their number; `keys` (stored) has one column.
 
-    A filter of `bits` bits, by default 32 for each key and MOST_BITS at most, so its size is bounded
-    whatever the size of keys; with more keys it lets more others pass. The filter is one row of
-    longs that a scalar subquery hands to the tasks. `keys` (stored) has one column of the type of `key`.
+    By default 32 bits a key and MOST_BITS at most, so its size is bounded whatever the size of keys;
+    with more keys it lets more others pass.
     """
     if bits is None:
         bits = min(MOST_BITS, max(1 << 12, 1 << (32 * keys.count()).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    at = place(F.col(keys.columns[0]))
+    at = F.pmod(F.xxhash64(keys.columns[0]), F.lit(bits))
     words = keys.select((at / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
     words = words.groupBy("word").agg(F.bit_or("bit").alias("bit"))
-    every = df.sparkSession.range(0, bits // 64, 1, 1).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
-    row = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bit", F.lit(0).cast("long")).alias("bit")))), lambda x: x["bit"]).alias("words"))
-    found = df.withColumn("_rv_cell", place(key))
-    word = F.get(row.scalar(), (F.col("_rv_cell") / 64).cast("int"))
-    return found.withColumn(column, F.getbit(word, F.pmod("_rv_cell", F.lit(64)).cast("int")) == 1).drop("_rv_cell")
+    every = keys.sparkSession.range(0, bits // 64, 1, 1).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    held = F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bit", F.lit(0).cast("long")).alias("bit")))), lambda x: x["bit"])
+    return every.agg(held.alias("words")), bits
+
+
+def passes(key: Column, words: DataFrame, bits: int) -> Column:
+    """Whether a key may be among those of a filter (see `key_filter`); never false for one that is.
+
+    The filter is one row that a scalar subquery hands to the tasks.
+    """
+    cell = F.pmod(F.xxhash64(key), F.lit(bits))
+    return F.getbit(F.get(words.scalar(), (cell / 64).cast("int")), F.pmod(cell, F.lit(64)).cast("int")) == 1
+
+
+def marked(df: DataFrame, key: Column, keys: DataFrame, column: str, bits: int | None = None) -> DataFrame:
+    """Adds a boolean `column`: may `key` be among `keys`? Never false for one that is (see `key_filter`)."""
+    return df.withColumn(column, passes(key, *key_filter(keys, bits)))
+
+
+def whole_row(columns: list[str]) -> Column:
+    """A hash of all columns, which settles ties between rows that agree in all that matters."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in columns))
 
 
 def slices(batch, column: int, most: int = SLICE_BYTES):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordvol.llm._common import followed, lookup, marked, slices, spread, stored
+from recordvol.llm._common import followed, lookup, marked, slices, spread, stored, whole_row
 from recordvol.llm.components import components
 
 #: Most fingerprints of a tile that one task holds as its own; larger tiles are split.
@@ -222,7 +222,7 @@ def _first_rows(docs: DataFrame, rows: DataFrame, several: DataFrame, node: str,
     keyed = marked(keyed, F.col("_rv_key"), members.select("_rv_key"), "_rv_member")
     mine = keyed.where("_rv_member").join(members, "_rv_key", "left").where("coalesce(_rv_stays, true)")
     mine = mine.withColumn("_rv_alone", F.when(F.col("_rv_stays").isNull(), F.monotonically_increasing_id()))  # not a member after all
-    same = Window.partitionBy("_rv_key", "_rv_alone").orderBy(F.lit(1))
+    same = Window.partitionBy("_rv_key", "_rv_alone").orderBy(whole_row(docs.columns))
     mine = mine.withColumn("_rv_rank", F.row_number().over(same)).where("_rv_rank = 1")
     return keyed.where("not _rv_member").select(*docs.columns).unionByName(mine.select(*docs.columns))
 
