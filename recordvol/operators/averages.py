@@ -96,9 +96,9 @@ class AtrBands:
     """Lengths and factors of two bands around the close by timeframe. Defaults are fixed values."""
 
     length: Mapping[str, int] = None
-    factor: float = 3.0
+    factor: float | Mapping[str, float] = 3.0
     length2: Mapping[str, int] = None
-    factor2: float = 1.5
+    factor2: float | Mapping[str, float] = 1.5
 
     def lengths(self, which: str) -> dict[str, int]:
         return dict(getattr(self, which) or {"daily": 20, "weekly": 4, "monthly": 2})
@@ -115,7 +115,7 @@ def atr_bands(bars: DataFrame, bands: AtrBands = AtrBands()) -> DataFrame:
     rows = recursive_means(rows, {name: ("true_range", w) for name, w in weights.items()})
     rows = rows.withColumns({c: ticks(F.col(c)) / TICK for c in ("atr", "atr2")})
     last = {c: F.lag(c).over(series()) for c in ("close", "atr", "atr2")}
-    move, wide, narrow = F.col("close") - last["close"], bands.factor * last["atr"], bands.factor2 * last["atr2"]
+    move, wide, narrow = F.col("close") - last["close"], by_timeframe(bands.factor) * last["atr"], by_timeframe(bands.factor2) * last["atr2"]
     signal = F.when(move > wide, "strong up").when(move < -wide, "strong down").when(move > narrow, "up").when(move < -narrow, "down").otherwise("inside")
     return rows.withColumn("signal", signal)
 

@@ -57,6 +57,16 @@ def legacy_results(bars: DataFrame, empty: bool = False) -> DataFrame:
     return out.withColumn("volume_ratio_to_max", F.when(F.col("hve_count") > 0, 100 * ratio(F.col("current_volume"), F.col("max_volume_ever"))))
 
 
+def from_screen(results: DataFrame) -> DataFrame:
+    """Results of a screen (`records.summary`) with the names scores and sheets go by; the largest volume is the latest record."""
+    names = {
+        "hve_count": "total_hve_count", "latest_hve_date": "hve_date", "max_volume_ever": "hve_volume", "current_volume": "latest_volume", "current_price": "latest_close",
+        "data_end_date": "latest_date", "data_points": "data_points", "days_since_latest_hve": "days_since_hve",
+    }
+    percent = (100 * F.col("volume_ratio")).alias("volume_ratio_to_max")
+    return results.select(*KEYS, *(F.col(c).alias(n) for n, c in names.items()), F.lit(None).cast("date").alias("data_start_date"), percent)
+
+
 def scored(results: DataFrame) -> DataFrame:
     """Legacy results with their score, best first."""
     value = score(F.col("days_since_latest_hve"), F.col("hve_count"), F.col("volume_ratio_to_max"))

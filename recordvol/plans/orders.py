@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordvol.operators.universe import cleaned
 from recordvol.schema import BARS
 
 PERIODS = {"daily": None, "weekly": "week", "monthly": "month"}
@@ -87,6 +89,16 @@ def csv_folder(spark: SparkSession, sf_dir: str, timeframe: str) -> str:
     return _WRITTEN[key]
 
 
+def universe_file(spark: SparkSession, sf_dir: str, write: Callable[[DataFrame, str], None]) -> str:
+    """A file of the clean universe, written once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "universe")
+    if key not in _WRITTEN:
+        path = f"{scratch(spark)}/universe-{uuid.uuid4().hex}"
+        write(cleaned(universe(spark, sf_dir)).drop("place"), path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 _SCRATCH: dict[str, str] = {}
 

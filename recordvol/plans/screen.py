@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordvol.operators import exports
+from recordvol.operators import exports, scoring
 from recordvol.operators.quality import valid_bars
 from recordvol.operators.records import Screen, summary
 from recordvol.sources.bars import csv_rows, with_files
-from recordvol.sources.settings import Settings
+from recordvol.sources.settings import Settings, output_name
 
 
 def screen_of(settings: Settings, as_of: str | None) -> Screen:
@@ -40,8 +40,11 @@ def bars_of(spark: SparkSession, folders: Mapping[str, str], tickers: DataFrame
     return reduce(DataFrame.unionByName, (with_files(csv_rows(spark, folder, tickers), t) for t, folder in folders.items()))
 
 
-def write_reports(results: DataFrame, settings: Settings, folder: str, generated: str) -> None:
-    """Result files, cards and, where they are enabled, both wide tables. The results are read from what was written."""
+def write_reports(results: DataFrame, settings: Settings, folder: str, generated: str, stamp: str | None = None) -> None:
+    """Result files, cards and, where they are enabled, both wide tables. The results are read from what was written.
+
+    With a stamp (such as 20240131_180000) the scored sheet of all timeframes is written under a name of its own.
+    """
     path = f"{folder}/results"
     results.write.partitionBy("timeframe").parquet(path)
     stored = results.sparkSession.read.schema(results.schema).parquet(path)
@@ -51,3 +54,6 @@ def write_reports(results: DataFrame, settings: Settings, folder: str, generated
         exports.write_wide(exports.hve_wide(stored, settings.hve_historical_max_events), f"{folder}/hve_historical")
     if settings.hvd_historical_export:
         exports.write_wide(exports.hvd_wide(stored, settings.hvd_historical_max_days), f"{folder}/hvd_historical")
+    if stamp:
+        sheet = scoring.summary_sheet(scoring.scored(scoring.from_screen(stored)))
+        scoring.all_combined(sheet).write.option("header", True).csv(f"{folder}/{output_name('hve_report', settings.ticker_choice, stamp)}")

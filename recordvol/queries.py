@@ -375,6 +375,21 @@ def close_matrix_all(spark, sf_dir):
     return matrix.long(orders.bars(spark, sf_dir, "daily"))
 
 
+_REPORT_SQL = """round((CASE WHEN days <= 30 THEN 50.0::DOUBLE WHEN days <= 90 THEN 50.0::DOUBLE * (1 - (days - 30) / 60 * 0.5::DOUBLE) WHEN days <= 365 THEN 25.0::DOUBLE * (1 - (days - 90) / 275 * 0.8::DOUBLE)
+    ELSE 5.0::DOUBLE * greatest(0.0::DOUBLE, 1 - (days - 365) / 365) END) + least(30.0::DOUBLE, total_hve_count * 3.0::DOUBLE) + least(20.0::DOUBLE, percent / 5), 2)"""
+
+
+@_query(f"""WITH {flags_sql("every", f"d BETWEEN DATE '{START}' AND DATE '{END}'")},
+aged AS (SELECT *, CAST(latest_date - hve_date AS DOUBLE) AS days, 100 * (CASE WHEN hve_volume > 0 THEN latest_volume / hve_volume ELSE 0.0::DOUBLE END) AS percent FROM hve)
+SELECT ticker AS "Ticker", timeframe AS "Timeframe", {_REPORT_SQL} AS "Score", total_hve_count AS "HVE Count", hve_date AS "Latest HVE Date", CAST(days AS BIGINT) AS "Days Since HVE", hve_volume AS "Max Volume", latest_volume AS "Current Volume",
+  percent AS "Volume % of Max", latest_close AS "Current Price", CAST(NULL AS DATE) AS "Data Start", latest_date AS "Data End", data_points AS "Data Points" FROM aged""")
+def scored_report(spark, sf_dir):
+    """The combined sheet of all timeframes, from the results of a screen."""
+    results = scoring.scored(scoring.from_screen(records.summary(orders.bars(spark, sf_dir), FIXED)))
+    sheets = [scoring.summary_sheet(results.where(F.col("timeframe") == t)) for t in ("daily", "weekly", "monthly")]
+    return flat(scoring.all_combined(*sheets))
+
+
 # --- Universe --------------------------------------------------------------------------------------------------------
 
 
@@ -448,3 +463,15 @@ def enrich_first_match(spark, sf_dir):
 @_query(f"WITH {UNIVERSE_SQL} SELECT s_name AS ticker FROM supplier WHERE s_name NOT IN (SELECT ticker FROM clean)")
 def missing_from_universe(spark, sf_dir):
     return universe.missing(orders.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("ticker")), clean_universe(spark, sf_dir))
+
+
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@_query(f"""WITH {UNIVERSE_SQL} SELECT ticker, exchange, {", ".join(f"EXISTS (SELECT 1 FROM member m WHERE m.place = c.place AND index_name = '{n}') AS {n.lower()}" for n in FLAGS)},
+  {", ".join(f"exchange = '{r}' AS exchange_{r.lower().replace(' ', '_')}" for r in _REGIONS)} FROM clean c""")
+def universe_file(spark, sf_dir):
+    """The universe with its flags, written as a file and read back."""
+    path = orders.universe_file(spark, sf_dir, universe.write_universe)
+    flags = [*(n.lower() for n in FLAGS), *(f"exchange_{r.lower()}" for r in _REGIONS)]
+    return universe.read_universe(spark, path).select("ticker", "exchange", *(F.col(f"`{f}`").cast("boolean").alias(f.replace(" ", "_")) for f in flags))

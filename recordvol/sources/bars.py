@@ -139,6 +139,7 @@ def find_file(spark: SparkSession, name: str, folders: Sequence[str]) -> str | N
 
 def ticker_list_paths(folder: str, choice: str, name: str | None = None) -> list[str]:
     """Where a list of tickers is looked for, in order: the named file here and in the folder, then the files of the choice."""
+    # Names of the files.
     own = [name, f"{folder}/{name}"] if name else [f"{folder}/combined_tickers_choice_{choice}.csv"]
     names = [f"combined_info_tickers_clean_{choice}", f"combined_info_tickers_{choice}", "tradingview_universe_bool"]
     return own + [f"{folder}/{n}.csv" for n in names]
@@ -175,6 +176,7 @@ def read_first(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def ticker_info_paths(folder: str, choice: str) -> list[str]:
     """Where ticker information of a choice is looked for, in order."""
+    # Names of the files.
     names = [f"combined_info_tickers_clean_{choice}", f"combined_info_tickers_{choice}", "combined_info_tickers_clean_0", "combined_info_tickers_0", "tradingview_universe_bool", "tradingview_universe_info"]
     return [f"{folder}/{n}.csv" for n in names]
 

@@ -85,18 +85,23 @@ def period_lists(*texts: str) -> list[tuple[str, ...]]:
 _PARSERS: dict[str, Callable] = {"bool": as_bool, "int": lambda x: int(float(x)), "float": float, "str": str}
 
 
-def read_settings(path: str) -> Settings:
-    """Settings of a file of `variable,value,description` rows; defaults for all that is missing or wrong."""
-    kinds = {f.name: str(f.type) for f in fields(Settings)}
-    found = {}
+def settings_rows(path: str) -> list[tuple[str, str]]:
+    """Keys and values of a file of `variable,value,description` rows, without comments; none where there is no file."""
     try:
         with open(path, newline="", encoding="utf-8") as file:
             rows = [r for r in csv.reader(file) if len(r) >= 2 and not r[0].lstrip().startswith("#")]
     except OSError as e:
         log.warning("settings %s: %s; defaults are used", path, e)
-        return Settings()
-    for key, value, *_ in rows:
-        name, value = key.strip().lower(), value.strip()
+        return []
+    return [(key.strip(), value.strip()) for key, value, *_ in rows]
+
+
+def read_settings(path: str) -> Settings:
+    """Settings of a file; defaults for all that is missing or wrong."""
+    kinds = {f.name: str(f.type) for f in fields(Settings)}
+    found = {}
+    for key, value in settings_rows(path):
+        name = key.lower()
         if name not in kinds or not value:
             continue
         try:

@@ -164,9 +164,11 @@ def test_full_screen_from_files_to_reports(spark, tmp_path):
     bars = screen.bars_of(spark, {"daily": str(tmp_path / "daily")}, selection)
     results = screen.run(bars, selection, settings)
     assert {(r["ticker"], r["hve_volume"]) for r in results.collect()} == {("A", 900.0), ("B", 500.0)}
-    screen.write_reports(results, settings, str(tmp_path / "out"), "now")
+    screen.write_reports(results, settings, str(tmp_path / "out"), "now", "20240131_180000")
     names = {p.name for p in (tmp_path / "out").iterdir()}
-    assert names == {"results", "csv", "ticker_cards", "hve_historical", "hvd_historical"}
+    assert names == {"results", "csv", "ticker_cards", "hve_historical", "hvd_historical", "hve_report_6_20240131_180000"}
+    report = spark.read.option("header", True).csv(str(tmp_path / "out" / "hve_report_6_20240131_180000")).collect()
+    assert {(r["Ticker"], r["HVE Count"], r["Score"] is not None) for r in report} == {(r["ticker"], str(r["total_hve_count"]), True) for r in results.collect()}
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "hve_historical")).count() == 2
     assert [r["ticker"] for r in exports.most_recent(results, 1).collect()] == ["A"]
     universe.write_selection(selection, str(tmp_path / "sel"), "6")
