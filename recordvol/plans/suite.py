@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordvol.operators import averages, breakouts, flows, leaders, levels, ranks, records, strength
+from recordvol.operators import averages, breakouts, flows, launch, leaders, levels, ranks, records, strength
 from recordvol.sources import screen_settings
 
 #: What runs each screen: (bars, parameters) to rows.
@@ -23,6 +23,8 @@ RUNS = {
     "contraction": breakouts.contraction,
     "volume_suite": flows.volume_suite,
     "divergence": flows.divergences,
+    "launch_pads": launch.launch_pads,
+    "movers": launch.movers,
 }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from recordvol.operators import averages, breakouts, flows, leaders, levels, ranks, strength
+from recordvol.operators import averages, breakouts, flows, launch, leaders, levels, ranks, strength
 from recordvol.plans import orders
 from recordvol.queries import BARS_SQL, Query, flat
 
@@ -361,3 +361,37 @@ def industry_leaders(spark, sf_dir):
 def _groups(spark, sf_dir):
     nations = orders.table(spark, sf_dir, "nation")
     return orders.table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("ticker"), F.col("n_name").alias("group"))
+
+
+# --- Launch pads and movers ------------------------------------------------------------------------------------------
+
+_SPREAD = f"({_NEAR} 49 PRECEDING AND CURRENT ROW)"
+_CLOSES = f"({_NEAR} 19 PRECEDING AND CURRENT ROW)"
+
+
+@_query(f"""{BASE_SQL}, ranged AS (SELECT * FROM every), {recursive_sql({f"m{n}": ("close", f"(2e0 / {n + 1})") for n in (10, 20, 50)})},
+stepwise AS (SELECT timeframe, ticker, d, {", ".join(f"{ticks_sql(f'm{n}')} AS m{n}" for n in (10, 20, 50))}, {ticks_sql("close")} AS c FROM averaged),
+spreads AS (SELECT *, greatest(m10, m20, m50) - least(m10, m20, m50) AS spread, {", ".join(f"lag(m{n}, {max(1, int(n * 0.3))}) OVER {_W} AS l{n}" for n in (10, 20, 50))} FROM stepwise),
+moments AS (
+  SELECT *, count(*) OVER {_SPREAD} AS n, sum(spread) OVER {_SPREAD} AS s, sum(spread * spread) OVER {_SPREAD} AS q, count(*) OVER {_CLOSES} AS cn, sum(c) OVER {_CLOSES} AS cs, sum(c * c) OVER {_CLOSES} AS cq FROM spreads),
+scored AS (
+  SELECT *, CASE WHEN n = 50 AND q * n - s * s > 0 THEN CAST(spread * n - s AS DOUBLE) / sqrt(CAST(q * n - s * s AS DOUBLE) * n / (n - 1)) END AS z, {" AND ".join(f"coalesce(m{n} - l{n} >= 0.0001::DOUBLE * {max(1, int(n * 0.3))} * l{n}, false)" for n in (10, 20, 50))} AS rising,
+    coalesce(abs(c - m50) <= 2 * CASE WHEN cn > 1 THEN sqrt(CAST(cq * cn - cs * cs AS DOUBLE) / CAST(cn * (cn - 1) AS DOUBLE)) END, false) AS near FROM moments)
+SELECT timeframe, ticker, d, spread, floor(z * 1e6 + 0.3137::DOUBLE) / 1e6 AS spread_z, coalesce(z <= 1, false) AS tight, rising, near, coalesce(z <= 1, false) AND rising AND near AS is_launch FROM scored""")
+def launch_pads(spark, sf_dir):
+    rows = launch.launch_pads(orders.bars(spark, sf_dir)).drop("open", "high", "low", "close", "volume")
+    return rows.withColumn("spread_z", F.floor(F.col("spread_z") * 1e6 + 0.3137) / 1e6)
+
+
+_MOVERS = launch.Movers(volume=100, week_gain=3.0, week_volume=20, day_gain=2.0, day_volume=30)
+
+
+@_query(f"""WITH {BARS_SQL},
+framed AS (
+  SELECT *, sum(volume) OVER b AS s, count(volume) OVER b AS n, lag(close) OVER {_W} AS c1, lag(close, 5) OVER {_W} AS c5, {ticks_sql("close")} AS tick, {ticks_sql(f"avg(close) OVER ({_NEAR} 49 PRECEDING AND CURRENT ROW)")} AS m50,
+    {ticks_sql(f"avg(close) OVER ({_NEAR} 199 PRECEDING AND CURRENT ROW)")} AS m200 FROM every WINDOW b AS ({_NEAR} 20 PRECEDING AND 1 PRECEDING)),
+ratios AS (SELECT *, CASE WHEN s > 0 THEN volume * n / s END AS ratio, CASE WHEN c1 > 0 THEN close / c1 * 100 - 100 END AS day_gain, CASE WHEN c5 > 0 THEN close / c5 * 100 - 100 END AS week_gain FROM framed)
+SELECT timeframe, ticker, d, ratio, day_gain, week_gain, coalesce(volume >= 100 AND ratio >= 1.25::DOUBLE, false) AS is_volume_mover, coalesce(week_gain >= 3 AND ratio >= 1.25::DOUBLE AND s >= 20 * n, false) AS is_week_mover,
+  coalesce(day_gain >= 2 AND ratio >= 1.5::DOUBLE AND volume >= 30 AND tick > m50 AND tick > m200, false) AS is_day_mover FROM ratios""")
+def movers(spark, sf_dir):
+    return launch.movers(orders.bars(spark, sf_dir), _MOVERS).drop("open", "high", "low", "close", "volume")

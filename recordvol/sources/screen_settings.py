@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from recordvol.operators.averages import AtrBands, Guppy
 from recordvol.operators.breakouts import Contraction, PriceVolume
 from recordvol.operators.flows import Divergence, VolumeSuite
+from recordvol.operators.launch import LaunchPad, Movers
 from recordvol.operators.leaders import Leaders
 from recordvol.operators.levels import Dots, GreenLines
 from recordvol.operators.ranks import AtrPercentile
@@ -115,6 +116,23 @@ KINDS = {
         },
         off=("daily", "weekly", "monthly"), volume="min_volume_avg",
     ),
+    "launch_pads": Kind(
+        LaunchPad(),
+        "gold_launch_pad",
+        {
+            "periods": ("gold_launch_pad_ma_periods", _ints), "kind": ("gold_launch_pad_ma_type", str), "window": ("gold_launch_pad_zscore_window", _whole), "spread": ("gold_launch_pad_max_spread_threshold", float),
+            "slope_share": ("gold_launch_pad_slope_lookback_pct", float), "least_slope": ("gold_launch_pad_min_slope_threshold", float), "near": ("gold_launch_pad_price_proximity_stdv", float), "near_window": ("gold_launch_pad_proximity_window", _whole),
+        },
+    ),
+    "movers": Kind(
+        Movers(),
+        "stockbee_suite",
+        {
+            "volume": ("stockbee_suite_9m_volume_threshold", float), "volume_ratio": ("stockbee_suite_9m_rel_vol_threshold", float), "week_gain": ("stockbee_suite_weekly_gain_threshold", float), "week_ratio": ("stockbee_suite_weekly_rel_vol_threshold", float),
+            "week_volume": ("stockbee_suite_weekly_min_avg_volume", float), "day_gain": ("stockbee_suite_daily_gain_threshold", float), "day_ratio": ("stockbee_suite_daily_rel_vol_threshold", float), "day_volume": ("stockbee_suite_daily_min_volume", float),
+        },
+        off=("weekly", "monthly"), scaled=True,
+    ),
     "leaders": Kind(
         Leaders(), "stockbee_suite", {"top_percent": ("stockbee_suite_industry_top_pct", float), "top_series": ("stockbee_suite_industry_top_stocks", _whole), "least_series": ("stockbee_suite_industry_min_size", _whole)}, off=("weekly", "monthly")
     ),
