@@ -36,12 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordvol.llm._common import held_out, slices, stored
+from recordvol.llm._common import HEAVY, held_out, slices, stored
 
 #: Most labelled rows fitted on, rounds, pseudo-labels a round and view, and how far off the base rate (log-odds) a view is sure.
 SAMPLE, ROUNDS, HANDED, SURE = 8000, 4, 200, 1.0
 #: Hash places of words and of shapes, and of each category of the metadata view.
 WORDS, SHAPES, PLACES = 512, 256, 16
+#: Rows from which an identifier is frequent, and parts its rows and those without one are spread over.
+OFTEN, SALTS = 1000, 1024
 FEATURES = "doc_id long, held_out boolean, a binary, b array<float>"
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -105,8 +107,12 @@ def features(docs: DataFrame, pages: DataFrame | None = None, text: str = "text"
                 a = text_view(part.column(5)).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([x.tobytes() for x in a], pa.binary())], names=["doc_id", "salt", "held_out", "source", "lang", "a"])
 
-    # Rows without an id join with nothing; the salt spreads them.
-    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(4096)) + 1).otherwise(F.lit(0)).cast("long")
+    # Rows without an id join with nothing, and an id may be that of very many rows: the salt spreads both.
+    me = F.col("doc_id").cast("long")
+    often = docs.where(me.isNotNull()).groupBy(me.alias("doc_id")).agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "doc_id").limit(HEAVY).collect()
+    hot = [r["doc_id"] for r in often]  # fewer than HEAVY can hold much
+    spread_ = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    salt = F.when(me.isNull(), spread_ + 1).when(me.isin(hot) if hot else F.lit(False), spread_).otherwise(F.lit(0)).cast("long")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), salt.alias("salt"), held_out().alias("held_out"),
         F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text).alias("text"),
@@ -116,7 +122,8 @@ def features(docs: DataFrame, pages: DataFrame | None = None, text: str = "text"
         rows = rows.withColumn("url", F.lit(None).cast("string"))
     else:
         urls = pages.where(F.col("page_id").isNotNull()).groupBy(F.col("page_id").cast("long").alias("doc_id")).agg(F.min("url").alias("url"))
-        rows = rows.join(urls.withColumn("salt", F.lit(0).cast("long")), ["doc_id", "salt"], "left")
+        salts = F.when(F.col("doc_id").isin(hot) if hot else F.lit(False), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        rows = rows.join(urls.withColumn("salt", F.explode(salts)), ["doc_id", "salt"], "left")
     return rows.select("doc_id", "held_out", "a", F.array(*metadata_view(F.col("source"), F.col("lang"), F.col("url"))).alias("b"))
 
 
@@ -249,7 +256,8 @@ def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     draw = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 40))
     below = min(1 << 40, int((1 << 40) * 1.2 * (sample + 50) / max(total, 1)))
     chosen = ids.where(draw < below).orderBy(draw, "doc_id").limit(sample).select("doc_id", "label")
-    known = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "a", "b").toPandas()  # at most `sample` rows
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("a", "b"))
+    known = rows.join(F.broadcast(chosen), "doc_id").withColumn("nth", F.row_number().over(one)).where("nth = 1").select("doc_id", "label", "a", "b").toPandas()  # at most `sample` rows
     known = known.sort_values("doc_id", kind="stable")
     y = known["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
