@@ -18,7 +18,6 @@ START, END, AS_OF = "1996-01-01", "1999-12-31", "2001-11-02"
 FIXED = Screen(range_mode="fixed", start=START, end=END)
 ROLLING = Screen(range_mode="rolling", limit_years=4, as_of=AS_OF)
 ALL = Screen()
-MATRIX_TICKERS = ("Supplier#000000001", "Supplier#000000002", "Supplier#000000003")
 FLAGS = ("SP500", "NASDAQ100", "NASDAQComposite", "Russell1000", "MiniRussell2000")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,9 +356,11 @@ def details_sheet(spark, sf_dir):
     return scoring.details_sheet(scoring.legacy_results(orders.bars(spark, sf_dir)))
 
 
-@_query(f"""WITH {BARS_SQL} SELECT d, {", ".join(f"max(CASE WHEN ticker = '{t}' THEN close END) AS " + chr(34) + t + chr(34) for t in MATRIX_TICKERS)} FROM daily GROUP BY d""")
+@_query(f"WITH {BARS_SQL} SELECT * FROM (PIVOT (SELECT d, ticker, close FROM daily) ON ticker USING max(close) GROUP BY d)")
 def close_matrix(spark, sf_dir):
-    return matrix.matrix(orders.bars(spark, sf_dir, "daily"), MATRIX_TICKERS)
+    """A column for each ticker; their names, which are columns here, are the only rows that are collected."""
+    names = [r[0] for r in orders.table(spark, sf_dir, "supplier").select("s_name").distinct().orderBy("s_name").collect()]
+    return matrix.matrix(orders.bars(spark, sf_dir, "daily"), names)
 
 
 _INDEXES = " OR ".join(f"contains(ticker, '{p}')" for p in matrix.INDEXES)
