@@ -246,19 +246,22 @@ def _sampled(rows: DataFrame, count: dict[str, int], text: str, lang: str, sampl
     # A first draw by hash keeps about twice the sample, whatever the corpus has; then the bounds hold exactly.
     draw = F.pmod(F.xxhash64("doc_id", text, F.lit(7)), F.lit(1 << 40))
     below = F.create_map(*[x for k, v in count.items() for x in (F.lit(k), F.lit(min(1 << 40, int((1 << 40) * 2 * sample / v))))])
-    drawn = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw")).where(F.col("draw") < below[F.col("lang")])
+    drawn = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"), F.length(text).alias("size")).where(F.col("draw") < below[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
     drawn = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
-    drawn = drawn.withColumn("text", _thinned(F.col("text"), F.col("draw"), max(1, chars // LONGEST)))
+    drawn = drawn.withColumn("text", _thinned(F.col("text"), F.col("size"), F.col("draw"), max(1, chars // LONGEST))).drop("size")
     size = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return drawn.withColumn("chars", size).where((F.col("chars") <= chars) | (F.col("place") <= 3))
 
 
-def _thinned(text: Column, draw: Column, most: int) -> Column:
-    """A text of at most `most` characters as it is; of a longer one, about as many in words drawn from all over it."""
-    share = F.lit(most * 1e6) / F.length(text)
+def _thinned(text: Column, size: Column, draw: Column, most: int) -> Column:
+    """A text of at most `most` characters as it is; of a longer one, about as many in words drawn from all over it.
+
+    `size` is its length, a column from below a window: counted inside the lambda it would be counted for each word.
+    """
+    share = F.lit(most * 1e6) / size
     words = F.filter(F.split(text, r"\s+"), lambda w, i: F.pmod(F.xxhash64(draw, i), F.lit(1_000_000)) < share)
-    return F.when(F.length(text) <= most, text).otherwise(F.array_join(words, " "))
+    return F.when(size <= most, text).otherwise(F.array_join(words, " "))
 
 
 def _train_one(pdf: pd.DataFrame) -> pd.DataFrame:
