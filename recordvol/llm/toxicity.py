@@ -7,9 +7,9 @@ weight) is a small table: it is bounded by the number of places, 4 bytes each, a
 
 Fitting takes at most SAMPLE labelled documents of each class, drawn by hash. Several tasks train on
 disjoint parts of it side by side, their weights are averaged, and the next round starts from the
-average (iterative parameter mixing). Texts are hashed once and kept as places and values. A sixth of
-the sample calibrates the scores afterwards; its texts are summed up in tasks, and only sums and
-labels reach the driver. Of rows that repeat an identifier the one of the smallest hash is learned from.
+average (iterative parameter mixing). A sixth of the sample calibrates the scores afterwards; its
+texts are summed up in tasks, and only sums and labels reach the driver. Of rows that repeat an
+identifier the one of the smallest hash is learned from.
 
 Defined results: null and empty texts have no feature and the score of the intercept; repeated rows
 get the same score; labels of documents that are not there do not count; without labelled documents
@@ -166,7 +166,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     drawn = texts.join(F.broadcast(drawn), "doc_id")  # at most sum(sample) identifiers
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
     drawn = drawn.withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
-    drawn = drawn.select("doc_id", "label", "text").mapInArrow(_featured, "doc_id long, label int, at array<int>, value array<double>")
     shards = max(1, sum(min(counts[k], v) for k, v in most.items()) // SHARD)
     part = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n)).cast("int")
     drawn = stored(drawn.withColumns({"shard": part(5, shards), "place": part(17, 6)}), "toxicity-sample")
@@ -182,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         mixed = (w.astype(np.float32), s.astype(np.float32))
     (places,) = np.nonzero(mixed[0][:-1])
     model = Model(places, mixed[0][places], float(mixed[0][-1]))
-    seen = drawn.where("place = 0").select("label", "at", "value").mapInArrow(_raw(spark.sparkContext.broadcast(model)), "label int, raw double").toPandas()
+    seen = drawn.where("place = 0").select("label", "text").mapInArrow(_raw(spark.sparkContext.broadcast(model)), "label int, raw double").toPandas()
     return _calibrated(model, seen, counts)
 
 
@@ -190,25 +189,18 @@ def _below(sample: int, count: int) -> int:
     return min(1 << 40, int((1 << 40) * 1.5 * (sample + 100) / count))
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Identifier, label, and the places and values of each text, so that rounds need no texts; a row has 2^BITS places at most."""
-    features = Features()
-    for batch in batches:
-        for part in slices(batch, 2):
-            rows = rows_of(*features.places(part.column(2)))
-            lists = [pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc_id", "label", "at", "value"])
-
-
 def _learner(shared, round_: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable")
         pdf = pdf.iloc[np.random.default_rng(round_).permutation(len(pdf))]
         start = shared.value
         model = Ftrl() if start is None else Ftrl(*start)
-        for at, value, label in zip(pdf["at"], pdf["value"], pdf["label"]):
-            if len(at):
-                model.learn(np.asarray(at), np.asarray(value), int(label))
+        features = Features()
+        for i in range(0, len(pdf), 200):
+            part = pdf.iloc[i : i + 200]
+            for (at, value), label in zip(rows_of(*features.places(pa.array(part["text"], pa.string()))), part["label"]):
+                if len(at):
+                    model.learn(at, value, int(label))
         w = model.weights()
         w[-1] = model.intercept()
         (at,) = np.nonzero((w != 0) | (model.n > 0) | (np.arange(len(w)) == len(w) - 1))
@@ -219,12 +211,11 @@ def _learner(shared, round_: int):
 
 def _raw(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, features = shared.value, Features()
         dense = model.dense()
         for batch in batches:
-            at, value, offsets = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
-            ends = np.concatenate([[0.0], np.cumsum(dense[at] * value)])[offsets - offsets[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.bias + np.diff(ends))], names=["label", "raw"])
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.raw(dense, *features.places(part.column(1))))], names=["label", "raw"])
 
     return run
 
