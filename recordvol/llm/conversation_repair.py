@@ -16,8 +16,8 @@ one hash over them in order, of which only the letters are held. Repeats are fou
 turn of each role and text, not by looking at a conversation as a whole.
 
 Defined results: null roles and texts count as one space; a null turn comes first and is no turn for
-gaps; a null conv_id is a conversation; roles other than s, u and a by their first letter can be
-reroled or deleted; rows that repeat another are duplicates of it; equal turns are ordered by role,
+gaps; a null conv_id is a conversation; roles other than s, u and a by their first letter, the empty
+one as well, can be reroled or deleted only; rows that repeat another are duplicates of it; equal turns are ordered by role,
 then by hash; an empty table gives no rows; other columns are ignored.
 """
 
