@@ -41,7 +41,22 @@ def coarser(daily: DataFrame, timeframe: str) -> DataFrame:
     return rows.select(F.lit(timeframe).alias("timeframe"), *BARS.fieldNames()[1:])
 
 
+#: Lines of orders for which there is a partition of series.
+LINES = 200_000
+
+
+def partitions(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions of bars: their number grows with the lines, so that what a task sorts does not."""
+    lines = table(spark, sf_dir, "lineitem").count()  # from the files' footers
+    return max(spark.sparkContext.defaultParallelism, -(-lines // LINES))
+
+
 def bars(spark: SparkSession, sf_dir: str, *timeframes: str) -> DataFrame:
+    """Bars of the timeframes (all, if none is named), laid out for windows over series."""
+    return derived(spark, sf_dir, *timeframes).repartition(partitions(spark, sf_dir), "ticker")
+
+
+def derived(spark: SparkSession, sf_dir: str, *timeframes: str) -> DataFrame:
     daily = daily_bars(spark, sf_dir)
     parts = [daily if t == "daily" else coarser(daily, t) for t in timeframes or tuple(PERIODS)]
     out = parts[0]
@@ -75,7 +90,7 @@ def uneven_bars(spark: SparkSession, sf_dir: str, *timeframes: str) -> DataFrame
     calm = 100 + F.col("close") / 100
     close = F.when(k == 1, F.when(F.dayofmonth("d") > 6, calm)).when(k == 2, F.col("close")).when(k == 3, F.when(F.dayofmonth("d") > 2, calm).otherwise(0.0)).when(k == 5, F.when(F.col("d") < "2001-06-01", calm)).otherwise(calm)
     ticker = F.when(k == 6, F.concat(F.lit("^FTSE"), F.substring("ticker", -9, 9))).otherwise(F.col("ticker"))
-    return bars(spark, sf_dir, *timeframes).withColumns({"close": close, "ticker": ticker})
+    return derived(spark, sf_dir, *timeframes).withColumns({"close": close, "ticker": ticker})
 
 
 def csv_folder(spark: SparkSession, sf_dir: str, timeframe: str) -> str:

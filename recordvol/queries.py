@@ -117,17 +117,17 @@ def clean_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {BARS_SQL} SELECT * FROM daily")
 def bars_daily(spark, sf_dir):
-    return orders.bars(spark, sf_dir, "daily")
+    return orders.derived(spark, sf_dir, "daily")
 
 
 @_query(f"WITH {BARS_SQL} SELECT * FROM weekly")
 def bars_weekly(spark, sf_dir):
-    return orders.bars(spark, sf_dir, "weekly")
+    return orders.derived(spark, sf_dir, "weekly")
 
 
 @_query(f"WITH {BARS_SQL} SELECT * FROM monthly")
 def bars_monthly(spark, sf_dir):
-    return orders.bars(spark, sf_dir, "monthly")
+    return orders.derived(spark, sf_dir, "monthly")
 
 
 @_query(f"WITH {BARS_SQL} SELECT ticker, d, volume, max(volume) OVER ({_SERIES} ORDER BY d ROWS UNBOUNDED PRECEDING) AS running_max FROM daily")
@@ -360,7 +360,7 @@ def details_sheet(spark, sf_dir):
 def close_matrix(spark, sf_dir):
     """A column for each ticker; their names, which are columns here, are the only rows that are collected."""
     names = [r[0] for r in orders.table(spark, sf_dir, "supplier").select("s_name").distinct().orderBy("s_name").collect()]
-    return matrix.matrix(orders.bars(spark, sf_dir, "daily"), names)
+    return matrix.matrix(orders.derived(spark, sf_dir, "daily"), names)
 
 
 _INDEXES = " OR ".join(f"contains(ticker, '{p}')" for p in matrix.INDEXES)
