@@ -1,9 +1,11 @@
 """Cross-sectional strength: percentile ranks of all series on a date, and the rotation that picks leaders step by step.
 
-Ranks need a partitioning by date, and a date may hold very many series, so they are counted on two
-levels: values fall into at most 2 * BUCKETS buckets of a date, the buckets' counts are summed up over
-each date (a small table), and only within a bucket are values put in order. A date is as many tasks
-as it has buckets, and all measures share the exchange.
+Ratings need a partitioning by date: bars move there once, with all measures in their row, and each
+measure is a sorted window over a date, which spills where a date holds very many series.
+
+`cross_ranks` counts a single measure on two levels: values fall into at most 2 * BUCKETS buckets of a
+date, the buckets' counts are summed up over each date (a small table), and only within a bucket are
+values put in order, so a date is as many tasks as it has buckets.
 """
 
 from __future__ import annotations
@@ -54,14 +56,15 @@ class Strength:
     danger: float = 11.0
 
 
-def strength(bars: DataFrame, s: Strength = Strength()) -> DataFrame:
+def strength(bars: DataFrame, s: Strength = Strength(), partitions: int | None = None) -> DataFrame:
     """Percentile ratings of each bar among all series of its timeframe and date.
 
     rating_n is 100 times the share of series whose return over the last n bars is at most the bar's own
     (null without n bars before), atr_rating the same of the average true range per price. leader: the
     mean of all ratings of returns reaches s.leader. qualified: one of them reaches s.top, atr_rating its
     threshold, and the close lies at least range_position up the range of the last range_bars. extension
-    is the close's distance from its mean in ranges; extended says `warning` or `danger` of it.
+    is the close's distance from its mean in ranges; extended says `warning` or `danger` of it. The dates
+    are dealt into `partitions`, by default the session's.
     """
     rows = priced(bars).withColumn("true_range", true_range())
     rows = recursive_means(rows, {"atr": ("true_range", 1 / s.atr_bars)})
@@ -72,11 +75,14 @@ def strength(bars: DataFrame, s: Strength = Strength()) -> DataFrame:
     rows = rows.withColumns({"atr": ticks(F.col("atr")), "tick": ticks(F.col("close")), "mean": ticks(simple_mean("close", s.mean_bars)), "position": F.when(high > low, (F.col("close") - low) / (high - low)), **returns})
     rows = rows.withColumn("atr_rating", F.when(F.col("tick") > 0, F.col("atr") / F.col("tick")))
     measures = [*returns, "atr_rating"]
-    rows = rows.select(*KEYS, "d", "close", "atr", "tick", "mean", "position", F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures))))
-    ranked = cross_ranks(rows, ("timeframe", "d", "measure"), "value")
-    rating = F.col("at_most") * 100 / F.col("of")
-    kept = ("close", "atr", "tick", "mean", "position")
-    wide = ranked.groupBy(*KEYS, "d").agg(*(F.any_value(c).alias(c) for c in kept), *(F.max(F.when(F.col("measure") == m, rating)).alias(m) for m in measures))
+    rows = rows.select(*KEYS, "d", "close", "atr", "tick", "mean", "position", *measures)
+    rows = rows.repartition(partitions, "timeframe", "d") if partitions else rows
+    # A window a measure over the same rows; nulls come first and are not counted.
+    day = Window.partitionBy("timeframe", "d")
+    wide = rows.withColumns({f"_of_{m}": F.count(m).over(day) for m in measures})
+    for m in measures:
+        at_most = F.count(m).over(day.orderBy(m).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        wide = wide.withColumn(m, F.when(F.col(m).isNotNull(), at_most * 100 / F.col(f"_of_{m}")))
     own: list[Column] = [F.col(m) for m in returns]
     total = own[0]
     for c in own[1:]:

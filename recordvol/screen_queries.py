@@ -187,7 +187,7 @@ SELECT timeframe, ticker, d, close, {", ".join(f"rating_{n}" for n in _SPANS)},
   coalesce((rating_5 + rating_20 + rating_60 + rating_120) / 4 >= 70, false) AS leader, coalesce(greatest(rating_5, rating_20, rating_60, rating_120) >= 97 AND rating_a >= 50 AND position >= 0.5::DOUBLE, false) AS qualified
 FROM ratings""")
 def strength_ratings(spark, sf_dir):
-    return strength.strength(orders.bars(spark, sf_dir))
+    return strength.strength(orders.bars(spark, sf_dir), partitions=orders.partitions(spark, sf_dir))
 
 
 _ROTATION = strength.Rotation(min_price=900.0, min_volume=10)
