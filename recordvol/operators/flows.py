@@ -144,10 +144,9 @@ def divergences(bars: DataFrame, p: Divergence = Divergence()) -> DataFrame:
     bars; both lie within p.most_bars of each other. seen_date is the bar that confirms the later one.
     """
     rows = accumulation(bars)
-    numbered = rows.withColumn("n", F.row_number().over(series()) - 1).select(*KEYS, "n", "d", "line")
-    turned = rows.select(*KEYS, "d", (-F.col("low")).alias("high"), (-F.col("high")).alias("low"), "close")  # a low is a high upside down
-    tops = pivots(rows, p.strength).withColumn("side", F.lit("high")).unionByName(pivots(turned, p.strength).withColumn("side", F.lit("low")))
-    tops = tops.join(numbered.select(*KEYS, "n", "line"), [*KEYS, "n"]).join(numbered.select(*KEYS, F.col("n").alias("seen_n"), F.col("d").alias("seen_date")), [*KEYS, "seen_n"])
+    turned = rows.select(*KEYS, "d", (-F.col("low")).alias("high"), (-F.col("high")).alias("low"), "close", "line")  # a low is a high upside down
+    carried = {"line": F.col("line"), "seen_date": F.lead("d", p.strength).over(series())}
+    tops = pivots(rows, p.strength, carried).withColumn("side", F.lit("high")).unionByName(pivots(turned, p.strength, carried).withColumn("side", F.lit("low")))
     own = Window.partitionBy(*KEYS, "side").orderBy("n")
     before = {f"last_{c}": F.lag(c).over(own) for c in ("d", "n", "level", "line")}
     tops = tops.withColumns(before)

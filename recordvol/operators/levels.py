@@ -9,6 +9,7 @@ holds more than FAN values.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,18 +23,20 @@ from recordvol.sources.settings import Period, period, period_lists
 FAN = 64
 
 
-def pivots(bars: DataFrame, strength: int) -> DataFrame:
+def pivots(bars: DataFrame, strength: int, carried: Mapping[str, Column] | None = None) -> DataFrame:
     """Bars whose high is above those of `strength` bars before and not below those of as many after; all must be there.
 
     level is the high, n the bar's place in its series (from 0), seen_n that of the bar that confirms it.
+    `carried` columns are taken over all bars, so they may look around in the series.
     """
+    carried = carried or {}
     ahead, back = series().rowsBetween(1, strength), series().rowsBetween(-strength, -1)
     rows = priced(bars).withColumns(
-        {"n": F.row_number().over(series()) - 1, "_higher": F.max("high").over(back), "_ahead": F.max("high").over(ahead), "_back_n": F.count("*").over(back), "_ahead_n": F.count("*").over(ahead)}
+        {"n": F.row_number().over(series()) - 1, "_higher": F.max("high").over(back), "_ahead": F.max("high").over(ahead), "_back_n": F.count("*").over(back), "_ahead_n": F.count("*").over(ahead), **carried}
     )
     enough = (F.col("_back_n") == strength) & (F.col("_ahead_n") == strength)
     rows = rows.where(enough & (F.col("high") > F.col("_higher")) & (F.col("high") >= F.col("_ahead")))
-    return rows.select(*KEYS, "d", "n", F.col("high").alias("level"), (F.col("n") + strength).alias("seen_n"))
+    return rows.select(*KEYS, "d", "n", F.col("high").alias("level"), (F.col("n") + strength).alias("seen_n"), *carried)
 
 
 def first_above(levels: DataFrame, bars: DataFrame, value: str, after: str, carried: tuple[str, ...], most_bars: int, fan: int = FAN) -> DataFrame:
@@ -115,11 +118,9 @@ def green_lines(bars: DataFrame, g: GreenLines = GreenLines(), most_bars: int =
     holds = period(g.confirmation)
     days = holds.count if not holds.months else 30 * holds.count
     ahead = Window.partitionBy(*KEYS).orderBy(F.unix_date("d")).rangeBetween(0, days)
-    rows = priced(bars).withColumns({"n": F.row_number().over(series()) - 1, "low_ahead": F.min("close").over(ahead), "last_date": F.max("d").over(whole())})
-    rows = rows.select(*KEYS, "n", "close", "low_ahead", "last_date", F.col("d").alias("breakout_date"))
-    found = pivots(bars, g.strength).withColumnRenamed("d", "pivot_date")
-    seen = rows.select(*KEYS, F.col("n").alias("seen_n"), F.col("breakout_date").alias("seen_date"), F.col("last_date").alias("ends"))
-    found = found.join(seen, [*KEYS, "seen_n"])
+    rows = priced(bars).withColumns({"n": F.row_number().over(series()) - 1, "low_ahead": F.min("close").over(ahead)})
+    rows = rows.select(*KEYS, "n", "close", "low_ahead", F.col("d").alias("breakout_date"))
+    found = pivots(bars, g.strength, {"seen_date": F.lead("d", g.strength).over(series()), "ends": F.max("d").over(whole())}).withColumnRenamed("d", "pivot_date")
     found = first_above(found, rows, "close", "seen_n", ("breakout_date", "close", "low_ahead"), most_bars)
     held = F.coalesce("breakout_date", "ends") >= later(F.col("pivot_date"), period(g.lookback))
     status = (
