@@ -122,14 +122,17 @@ def _write_csv(spark: SparkSession, sf_dir: str, timeframe: str) -> str:
     folder = f"{scratch(spark)}/bars-{uuid.uuid4().hex}"
     last = F.substring("ticker", -1, 1).cast("int")
     dates = F.when((last == 8) & F.lit(timeframe == "weekly"), "").otherwise(F.col("d").cast("string"))
-    rows = uneven_bars(spark, sf_dir, timeframe).withColumn("d", dates).repartition("ticker")
+    # Stored, as each kind of file reads them; only the bars of its own tickers are shuffled.
+    uneven_bars(spark, sf_dir, timeframe).write.parquet(f"{folder}-rows")
+    rows = spark.read.schema(BARS).parquet(f"{folder}-rows").withColumn("d", dates).repartition(partitions(spark, sf_dir), "ticker")
     names = {"d": "Date", "open": "Open", "high": "High", "low": "Low", "close": "Close", "volume": "Volume"}
     bare = (last == 7) & F.lit(timeframe == "weekly")
     first = rows.where(last % 2 == 0).select("ticker", *(F.col(c).alias(n) for c, n in names.items()))
     other = rows.where((last % 2 == 1) & ~bare).select("ticker", F.lit("x").alias("Adj Close"), *(F.col(c).alias(c if c == "low" else names[c]) for c in ("volume", "close", "low", "high", "open")), F.concat("d", F.lit(" 00:00:00-05:00")).alias("Date"))
     without = rows.where(bare).select("ticker", *(F.col(c).alias(n) for c, n in names.items() if c != "close"))
     for part in (first, other, without) if timeframe == "weekly" else (first, other):
-        part.write.mode("append").partitionBy("ticker").option("header", True).csv(folder)
+        # Files are many: tasks move their own to their place, not the driver one after the other.
+        part.write.mode("append").partitionBy("ticker").option("header", True).option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(folder)
     return folder
 
 

@@ -100,7 +100,8 @@ def unreadable_dates(raw: DataFrame) -> DataFrame:
 
 
 def one_per_day(bars: DataFrame) -> DataFrame:
-    """The last row of each day, by the row's place `line` in its file."""
+    """The last row of each day, by the row's place `line` in its file; bars are laid out by series once, for this and windows after it."""
+    bars = bars.repartition("ticker")
     last = F.max_by(F.struct(*(c for c in bars.columns if c not in KEYS)), "line")
     return bars.groupBy(*KEYS, "d").agg(last.alias("row")).select(*KEYS, "row.*")
 
