@@ -11,8 +11,8 @@ all pairs of a group, and components of the links are found by contraction.
 
 `deduplicate_similar` is for near copies by similarity of shingle sets, which a small radius misses:
 at similarity 0.8 about 10 of 64 bits differ, and by a radius that wide every fingerprint would have
-to be compared with every other. So texts that share a band of MinHash values meet in a bucket, a
-bucket gives the links of a minimum spanning tree by fingerprint distance (all pairs where it has
+to be compared with every other. So the tiled comparison links the fingerprints within RADIUS bits, and
+for wider ones texts that share a band of MinHash values meet in a bucket as well; a bucket gives the links of a minimum spanning tree by fingerprint distance (all pairs where it has
 few texts), and every link is checked on the shingle sets before it counts. Where members of a
 bucket with many texts are then still apart, their shingle sets are compared exactly in the tasks,
 by an inverted index of the shingles of two parts of the bucket, so a tree never loses a link.
@@ -43,6 +43,8 @@ TILE = 1 << 15
 BLOCK = (1 << 9, 1 << 12)
 #: Bands of MinHash values, and values of a band: a pair of similarity 0.8 shares one with chance 0.9993.
 BANDS, BAND = 24, 6
+#: Bits within which the tiled comparison links fingerprints of near copies.
+RADIUS = 3
 #: Texts of a bucket that one task takes as its own, and of one whose pairs are all checked.
 BUCKET, FEW = 1 << 13, 64
 #: Bytes of shingle sets of a part of a bucket; a task compares two parts at once.
@@ -392,12 +394,24 @@ def _checked_links(docs: DataFrame, pairs: DataFrame, text: str, words: int, lea
     return found.mapInArrow(partial(_checked, least=least), "a long, b long")
 
 
-def similar_roots(docs: DataFrame, nodes: DataFrame, text: str = "text", words: int = 5, least: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+def _tiled(nodes: DataFrame, radius: int) -> DataFrame:
+    """a, b: pairs of texts to check whose fingerprints are equal or linked within the radius, by the tiled comparison.
+
+    Texts of one fingerprint are each paired with one of them, and those of linked fingerprints as the links say.
+    """
+    firsts = stored(nodes.groupBy("fp").agg(F.min("h").alias("first")), "tile-texts")
+    same = nodes.select("h", "fp").join(firsts, "fp").where("h <> first").select("h", F.col("first").alias("other"))
+    found = stored(links(firsts.select("fp"), radius), "tile-links")
+    found = found.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("h")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("other")), "b")
+    return same.unionByName(found.select("h", "other")).select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b"))
+
+
+def similar_roots(docs: DataFrame, nodes: DataFrame, text: str = "text", words: int = 5, least: float = 0.8, bucket: int = BUCKET, radius: int = RADIUS) -> DataFrame:
     """node, root: the groups of texts (by hash) linked by shingle sets of Jaccard similarity `least` or more."""
     buckets = _buckets(nodes)
-    links = _checked_links(docs, stored(_near(nodes, buckets, bucket), "pairs"), text, words, least)
-    links = stored(links, "similar")
-    roots = components(links)
+    pairs = _near(nodes, buckets, bucket).unionByName(_tiled(nodes, radius)).distinct()
+    near = stored(_checked_links(docs, stored(pairs, "pairs"), text, words, least), "similar")
+    roots = components(near)
 
     large = _placed(nodes, buckets.where(F.col("n") > FEW)).select("bucket", "h", "n")
     large = large.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
@@ -411,7 +425,7 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, text: str = "text", words:
     placed = lookup(large.drop("n"), stored(sizes, "sizes"), "bucket", "n").join(sets, "h")
     work = _dealt(placed, F.greatest(F.lit(1), F.ceil(F.col("size") / PART_BYTES)), spread(nodes), "h", "root", "shingles")
     more = work.mapInArrow(partial(_joins, least=least), "a long, b long")
-    return components(links.unionByName(stored(more, "more")))
+    return components(near.unionByName(stored(more, "more")))
 
 
 def deduplicate_similar(docs: DataFrame, text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
