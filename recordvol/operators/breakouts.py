@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordvol.operators.averages import priced, runs, ticks
+from recordvol.operators.frames import moving
 from recordvol.operators.records import series
 from recordvol.schema import KEYS
 
@@ -28,21 +29,21 @@ def _each(values: Mapping[str, int], f) -> Column:
     return out
 
 
-def _before(n: int):
-    return series().rowsBetween(-n, -1)
+def slopes(rows: DataFrame, value: str, bars: Iterable[int]) -> DataFrame:
+    """Adds `_slope_n` for each n of bars: the slope a bar of the least-squares line through the last n values (whole numbers, none null); null with fewer.
 
-
-def slope(value: str, bars: int) -> Column:
-    """Slope a bar of the least-squares line through the last `bars` values (whole numbers); null with fewer.
-
-    With x counted from 0 at a series' first bar, the sums of y and of x y over the frame give it; x is
-    shifted to the frame's end before anything is divided, so it stays exact in whole numbers.
+    With x (the column `_x`) counted from 0 at a series' first bar, the sums of y and of x y over the frame
+    give it; x is shifted to the frame's end before anything is divided, so it stays exact in whole numbers.
     """
-    frame = series().rowsBetween(1 - bars, 0)
-    y, n = F.sum(value).over(frame), bars
-    xy = F.sum(F.col(value) * F.col("_x")).over(frame) - F.col("_x") * y  # x from 1 - n to 0
-    sx, sxx = -n * (n - 1) // 2, (n - 1) * n * (2 * n - 1) // 6
-    return F.when((F.count(value).over(frame) == n) & F.lit(n > 1), (n * xy - sx * y) / F.lit(float(max(1, n * sxx - sx * sx))))
+    sums = {f"_{kind}_{n}": ("sum", kind, n) for n in bars for kind in ("_y", "_xy")}
+    rows = moving(rows.withColumns({"_y": F.col(value), "_xy": F.col(value) * F.col("_x")}), sums)
+    found = {}
+    for n in bars:
+        y = F.col(f"__y_{n}")
+        xy = F.col(f"__xy_{n}") - F.col("_x") * y  # x from 1 - n to 0
+        sx, sxx = -n * (n - 1) // 2, (n - 1) * n * (2 * n - 1) // 6
+        found[f"_slope_{n}"] = F.when((F.col("_x") >= n - 1) & F.lit(n > 1), (n * xy - sx * y) / F.lit(float(max(1, n * sxx - sx * sx))))
+    return rows.withColumns(found).drop("_y", "_xy", *sums)
 
 
 @dataclass(frozen=True)
@@ -81,9 +82,11 @@ def price_volume(bars: DataFrame, p: PriceVolume = PriceVolume()) -> DataFrame:
         raise ValueError(f"{p.direction!r} is not Long or Long and Short")
     rows = priced(bars).where(F.col("timeframe").isin(list(p.bars("price")))).withColumns({"_x": F.row_number().over(series()) - 1, "_tick": ticks(F.col("close"))})
     full = F.col("_x") >= F.greatest(_of(p.bars("price")), _of(p.bars("volume")))
-    high, low = (_each(p.bars("price"), lambda n, f=f: f("close").over(_before(n))) for f in (F.max, F.min))
-    busy = F.col("volume") > _each(p.bars("volume"), lambda n: F.max("volume").over(_before(n)))
-    rows = rows.withColumns({"trend": _each(p.bars("trend"), lambda n: slope("_tick", n)), "_up": full & busy & (F.col("close") > high), "_down": full & busy & (F.col("close") < low)})
+    frames = [("max", "close", "price"), ("min", "close", "price"), ("max", "volume", "volume")]
+    rows = moving(rows, {f"_{how}_{c}_{n}": (how, c, n) for how, c, which in frames for n in set(p.bars(which).values())}, before=1)
+    high, low, most = (_each(p.bars(which), lambda n, at=f"_{how}_{c}_": F.col(f"{at}{n}")) for how, c, which in frames)
+    rows = slopes(rows.withColumns({"_up": full & (F.col("volume") > most) & (F.col("close") > high), "_down": full & (F.col("volume") > most) & (F.col("close") < low)}), "_tick", set(p.bars("trend").values()))
+    rows = rows.withColumn("trend", _each(p.bars("trend"), lambda n: F.col(f"_slope_{n}")))
     event = F.when(F.col("_up") & (F.col("trend") > 0), "Buy")
     if p.direction != "Long":
         event = event.when(F.col("_down") & (F.col("trend") < 0), "Sell")
@@ -94,10 +97,10 @@ def price_volume(bars: DataFrame, p: PriceVolume = PriceVolume()) -> DataFrame:
     last = F.col("_last")
     wrong = F.when(last["event"] == "Buy", F.col("close") < last["close"]).when(last["event"] == "Sell", F.col("close") > last["close"])
     rows = rows.withColumns({"_wrong": F.coalesce(wrong, F.lit(False)), "_start": last["_x"]})
-    # How long the bars up to this one have closed on the wrong side, within the stretch.
-    stretch = series("_start").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_right_x", F.max(F.when(~F.col("_wrong"), F.col("_x"))).over(stretch))
-    rows = rows.withColumn("_given_up", F.coalesce(F.max((F.col("_x") - F.col("_right_x") >= _of(p.bars("threshold"))).cast("int")).over(stretch), F.lit(0)) == 1)
+    # How long the bars up to this one have closed on the wrong side: not the bar of the event, so this lies within its stretch.
+    rows = rows.withColumn("_right_x", F.max(F.when(~F.col("_wrong"), F.col("_x"))).over(running))
+    late = F.col("_x") - F.col("_right_x") >= _of(p.bars("threshold"))
+    rows = rows.withColumn("_given_up", F.coalesce(F.max(F.when(late, F.col("_x"))).over(running) >= F.col("_start"), F.lit(False)))
     age = F.col("_x") - last["_x"]
     holds = last.isNotNull() & (age <= _of(p.bars("max_age"))) & ~F.col("_given_up")
     kept = {"signal": last["event"], "signal_date": last["d"], "signal_close": last["close"], "age": age}
