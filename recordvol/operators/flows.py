@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordvol.operators.averages import priced, ticks
+from recordvol.operators.frames import moving, size
 from recordvol.operators.levels import pivots
 from recordvol.operators.records import series, whole
 from recordvol.schema import KEYS
@@ -73,30 +74,35 @@ def volume_suite(bars: DataFrame, v: VolumeSuite = VolumeSuite()) -> DataFrame:
     their thresholds. Bars without a volume or prices take no part.
     """
     rows = priced(bars).where("volume is not null")
-    back = series().rowsBetween(-v.rvol, -1)
-    n, total, squares = F.count("volume").over(back), F.sum("volume").over(back), F.sum(F.col("volume") * F.col("volume")).over(back)
+    lag = lambda c, k=1: F.lag(c, k).over(series())
+    # Window expressions are columns first, as each use of one would compute it again.
+    lags = {"_volume_then": lag("volume", v.vroc), "_close_then": lag("close")}
+    rows = rows.withColumns({"_square": F.col("volume") * F.col("volume"), "_n": size(v.rvol, 1), **lags})
+    rows = moving(rows, {"_total": ("sum", "volume", v.rvol), "_squares": ("sum", "_square", v.rvol)}, before=1)
+    rows = moving(rows, {"_recent": ("sum", "volume", v.adtv)})
+    n, total, squares = F.col("_n"), F.col("_total"), F.col("_squares")
     spread = squares * n - total * total
     z = F.when((n > 1) & (spread > 0), (F.col("volume") * n - total) / F.sqrt(spread * n / (n - 1)))
-    lag = lambda c, k=1: F.lag(c, k).over(series())
+    then, close = F.col("_volume_then"), F.col("_close_then")
     rows = rows.withColumns(
         {
             "is_high": above_months("volume", v.months),
             "_left": F.count("*").over(whole()) - F.row_number().over(series()),
             "z": z,
-            "vroc": F.when(lag("volume", v.vroc) > 0, (F.col("volume") - lag("volume", v.vroc)) / lag("volume", v.vroc) * 100),
+            "vroc": F.when(then > 0, (F.col("volume") - then) / then * 100),
             "rvol": F.when(total > 0, F.col("volume") * n / total),
             "_typical": ticks(F.col("high")) + ticks(F.col("low")) + ticks(F.col("close")),
-            "_pushed": F.when(lag("close") > 0, ticks(F.col("volume") * (F.col("close") / lag("close") - 1))).otherwise(0),
-            "_mean": F.avg("volume").over(series().rowsBetween(1 - v.adtv, 0)),
+            "_pushed": F.when(close > 0, ticks(F.col("volume") * (F.col("close") / close - 1))).otherwise(0),
+            "_mean": F.col("_recent") / size(v.adtv),
         }
     )
     running = series().rowsBetween(Window.unboundedPreceding, 0)
     flow = F.col("_typical") * F.col("volume")
-    rows = rows.withColumns({"_up": F.when(F.col("_typical") > lag("_typical"), flow).otherwise(0.0), "_down": F.when(F.col("_typical") < lag("_typical"), flow).otherwise(0.0), "vpt": F.sum("_pushed").over(running)})
-    short = series().rowsBetween(1 - v.mfi, 0)
-    up, down = F.sum("_up").over(short), F.sum("_down").over(short)
-    own = series().rowsBetween(1 - v.vpt, 0)
-    off, level = F.col("vpt") * F.count("*").over(own) - F.sum("vpt").over(own), v.vpt_threshold * F.abs(F.sum("vpt").over(own))
+    rows = rows.withColumns({"_typical_then": lag("_typical"), "vpt": F.sum("_pushed").over(running)})
+    rows = rows.withColumns({"_up": F.when(F.col("_typical") > F.col("_typical_then"), flow).otherwise(0.0), "_down": F.when(F.col("_typical") < F.col("_typical_then"), flow).otherwise(0.0)})
+    rows = moving(rows, {"_ups": ("sum", "_up", v.mfi), "_downs": ("sum", "_down", v.mfi), "_flows": ("sum", "vpt", v.vpt)})
+    up, down, sums = F.col("_ups"), F.col("_downs"), F.col("_flows")
+    off, level = F.col("vpt") * size(v.vpt) - sums, v.vpt_threshold * F.abs(sums)
     ratios = {f"adtv_{m}": F.col("_mean") / as_of("_mean", m) for m, _ in v.adtv_thresholds}
     rows = rows.withColumns({"mfi": F.when(up + down > 0, up * 100 / (up + down)), "vpt_signal": F.when(off > level, "up").when(off < -level, "down"), **ratios})
     no = lambda c: F.coalesce(c, F.lit(False))
