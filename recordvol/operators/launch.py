@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordvol.operators.averages import priced, recursive_means, simple_mean, ticks
+from recordvol.operators.frames import moving, size
 from recordvol.operators.records import series
 
 
@@ -115,10 +118,13 @@ def movers(bars: DataFrame, p: Movers = Movers()) -> DataFrame:
     """
     rows = priced(bars)
     back = series().rowsBetween(-p.ratio_bars, -1)
-    total, n = F.sum("volume").over(back), F.count("volume").over(back)
-    gain = lambda k: F.when(F.lag("close", k).over(series()) > 0, F.col("close") / F.lag("close", k).over(series()) * 100 - 100)
-    rows = rows.withColumns({"ratio": F.when(total > 0, F.col("volume") * n / total), "day_gain": gain(1), "week_gain": gain(p.week), "_total": total, "_n": n, "_tick": ticks(F.col("close"))})
-    rows = rows.withColumn("_above", (F.col("_tick") > ticks(simple_mean("close", p.means[0]))) & (F.col("_tick") > ticks(simple_mean("close", p.means[1]))))
+    # Window expressions are columns first, as each use of one would compute it again.
+    rows = rows.withColumns({"_total": F.sum("volume").over(back), "_n": F.count("volume").over(back), "_day": F.lag("close", 1).over(series()), "_week": F.lag("close", p.week).over(series())})
+    gain = lambda then: F.when(F.col(then) > 0, F.col("close") / F.col(then) * 100 - 100)
+    ratio = F.when(F.col("_total") > 0, F.col("volume") * F.col("_n") / F.col("_total"))
+    rows = rows.withColumns({"ratio": ratio, "day_gain": gain("_day"), "week_gain": gain("_week"), "_tick": ticks(F.col("close"))})
+    rows = moving(rows, {f"_sum_{n}": ("sum", "close", n) for n in p.means})
+    rows = rows.withColumn("_above", reduce(and_, (F.col("_tick") > ticks(F.col(f"_sum_{n}") / size(n)) for n in p.means)))
     no = lambda c: F.coalesce(c, F.lit(False))
     flags = {
         "is_volume_mover": no((F.col("volume") >= p.volume) & (F.col("ratio") >= p.volume_ratio)),
