@@ -21,28 +21,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier's shipped quantity per weekday, with the first, largest, smallest and last retail price."""
+    n = partitions(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.to_date("l_shipdate").alias("d"))
-    lines = lines.where(F.weekday("d") < 5).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("p")), "l_partkey")
+    prices = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("p"))
+    lines = with_keyed(lines.where(F.weekday("d") < 5), prices, "l_partkey", n)
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey")
-    # Suppliers are one row a ticker: their names are joined after the aggregate has shrunk the lines.
-    per_day = lines.groupBy("l_suppkey", "d").agg(
+    # Lines hardly share a supplier and a day: they move as they are, and are sorted once where they arrive.
+    per_day = lines.repartition(n, "l_suppkey", "d").groupBy("l_suppkey", "d").agg(
         F.min_by("p", order).alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", order).alias("close"), F.sum("l_quantity").alias("volume")
     )
+    # Suppliers are one row a ticker: their names are joined after the aggregate has shrunk the lines.
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("ticker"))
-    return per_day.join(names, "l_suppkey").select(F.lit("daily").alias("timeframe"), *BARS.fieldNames()[1:])
-
-
-def coarser(daily: DataFrame, timeframe: str) -> DataFrame:
-    """Weekly or monthly bars, dated by their first trading day."""
-    period = F.date_trunc(PERIODS[timeframe], "d")
-    rows = daily.groupBy("ticker", period.alias("period")).agg(
+    return with_keyed(per_day, names, "l_suppkey", n).select(F.lit("daily").alias("timeframe"), *BARS.fieldNames()[1:], "l_suppkey")
+
+
+def with_keyed(rows: DataFrame, keyed: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows joined with a table of a row a key, which goes to every task if it is small; else both are laid out in n partitions."""
+    if keyed.count() <= SENT:  # from the files' footers
+        return rows.join(F.broadcast(keyed), key)
+    return rows.repartition(n, key).join(keyed.repartition(n, key).hint("merge"), key)
+
+
+def coarser(daily: DataFrame, *timeframes: str) -> DataFrame:
+    """Bars of the timeframes, dated by their first trading day; daily ones stay as they are."""
+    rows = daily.withColumn("timeframe", F.explode(F.array(*(F.lit(t) for t in timeframes))))
+    # A day's bar is a group of its own, also where suppliers share a name.
+    period, own = F.to_timestamp("d"), F.col("l_suppkey")
+    for timeframe in timeframes:
+        if PERIODS[timeframe]:
+            is_it = F.col("timeframe") == timeframe
+            period, own = F.when(is_it, F.date_trunc(PERIODS[timeframe], "d")).otherwise(period), F.when(~is_it, own)
+    rows = rows.groupBy("timeframe", "ticker", period.alias("_period"), own.alias("_own")).agg(
         F.min("d").alias("d"), F.min_by("open", "d").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "d").alias("close"), F.sum("volume").alias("volume")
     )
-    return rows.select(F.lit(timeframe).alias("timeframe"), *BARS.fieldNames()[1:])
+    return rows.select(*BARS.fieldNames())
 
 
 #: Lines of orders for which there is a partition of series.
 LINES = 200_000
+#: Most rows of a table that a join sends to every task.
+SENT = 2_000_000
 
 
 def partitions(spark: SparkSession, sf_dir: str) -> int:
@@ -53,16 +71,15 @@ def partitions(spark: SparkSession, sf_dir: str) -> int:
 
 def bars(spark: SparkSession, sf_dir: str, *timeframes: str) -> DataFrame:
     """Bars of the timeframes (all, if none is named), laid out for windows over series."""
-    return derived(spark, sf_dir, *timeframes).repartition(partitions(spark, sf_dir), "ticker")
+    return derived(spark, sf_dir, *timeframes)
 
 
 def derived(spark: SparkSession, sf_dir: str, *timeframes: str) -> DataFrame:
-    daily = daily_bars(spark, sf_dir)
-    parts = [daily if t == "daily" else coarser(daily, t) for t in timeframes or tuple(PERIODS)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Daily bars move to their tickers once, and those of all timeframes are put together of them where they lie."""
+    daily = daily_bars(spark, sf_dir).repartition(partitions(spark, sf_dir), "ticker")
+    if timeframes == ("daily",):
+        return daily.select(*BARS.fieldNames())
+    return coarser(daily, *timeframes or tuple(PERIODS))
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,18 @@ def test_partitions_grow_with_the_lines(spark, monkeypatch):
     assert orders.bars(spark, SF).rdd.getNumPartitions() == many
 
 
+def test_lines_and_bars_of_all_timeframes_move_in_as_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(orders, "LINES", 100)
+    monkeypatch.setattr(orders, "SENT", 0)  # parts and suppliers count as too many to be sent to every task
+    many = orders.partitions(spark, SF)
+    bars = orders.bars(spark, SF)
+    plan = bars._jdf.queryExecution().executedPlan().toString()
+    # Lines and parts by part, lines by supplier and day, bars and suppliers by supplier, bars by ticker: each once for all timeframes.
+    assert plan.count("Exchange") == plan.count(f", {many}), REPARTITION_BY_NUM") == 6
+    monkeypatch.undo()
+    assert sorted(map(tuple, bars.collect())) == sorted(map(tuple, orders.bars(spark, SF).collect()))
+
+
 def test_windows_over_laid_out_bars_need_no_exchange(spark):
     laid = orders.bars(spark, SF)
     assert exchanges(flows.volume_suite(laid)) == exchanges(laid)
@@ -54,3 +66,11 @@ def test_a_folder_of_files_computes_its_bars_once(spark):
     stored = spark.read.parquet(f"{folder}-rows")
     tickers = spark.read.text(folder, recursiveFileLookup=True, pathGlobFilter="*.csv").selectExpr("_metadata.file_path as p").distinct().count()
     assert tickers == stored.select("ticker").distinct().count()
+
+
+def test_breakouts_sort_a_series_once(spark):
+    laid = orders.bars(spark, SF)
+    sorts = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Sort [timeframe")
+    assert sorts(breakouts.price_volume(laid)) == 1
+    # No frame of a window is as wide as the breakouts': wider ones are put together.
+    assert "-60" not in breakouts.price_volume(laid)._jdf.queryExecution().executedPlan().toString()
