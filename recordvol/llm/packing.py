@@ -17,7 +17,7 @@ gives no rows; other columns are ignored. The capacity must be a power of two.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordvol.llm._common import slices
-from recordvol.llm.tokenization import TEXT_BYTES, encoder, pack
+from recordvol.llm.tokenization import PieceEncoder, encoder, pack
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema(
@@ -33,6 +33,8 @@ _ARROW = pa.schema(
 )
 #: Rows of an output batch.
 BATCH = 2000
+#: Bytes of text encoded at once. What a task holds beyond its input is a multiple of it.
+TEXT_BYTES = 1 << 20
 
 
 #: A rest that lacks at most 1/SLACK of a class's share of the capacity is put there uncut.
@@ -95,6 +97,13 @@ class Bins:
             yield from self._close(taken)
 
 
+def encoded(batches: Iterable[pa.RecordBatch], enc: PieceEncoder) -> Iterator[tuple[int | None, bytes]]:
+    """doc_id and ids of each row of batches of doc_id and text."""
+    for batch in batches:
+        for part in slices(batch, 1, TEXT_BYTES):
+            yield from zip(part.column(0).to_pylist(), enc.encode(part.column(1)))
+
+
 def pack_sequences(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, capacity: int = 2048, text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
@@ -107,13 +116,11 @@ def pack_sequences(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, enc, out = Bins(capacity, TaskContext.get().partitionId() << 39), encoder(tokenizer, spaces), []
-        for batch in batches:
-            for part in slices(batch, 1, TEXT_BYTES):
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
-                    out.extend(bins.add(doc_id, ids + end))
-                    while len(out) >= BATCH:
-                        yield _batch(out[:BATCH])
-                        out = out[BATCH:]
+        for doc_id, ids in encoded(batches, enc):
+            out.extend(bins.add(doc_id, ids + end))
+            while len(out) >= BATCH:
+                yield _batch(out[:BATCH])
+                out = out[BATCH:]
         out.extend(bins.rest())
         if out:
             yield _batch(out)
