@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All stages but the last return the columns of documents; each works
-on every row its predecessor kept. What happens to nulls, empty texts, repeated rows and empty
+on every row its predecessor kept. Stages that hand texts to Python keep the session's Arrow batches
+small. What happens to nulls, empty texts, repeated rows and empty
 tables is said in the operators' modules; all of them pass through every stage without failing.
 """
 
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordvol.llm import exact_dedup, language_id, mixing, packing, simhash
-from recordvol.llm._common import stored
+from recordvol.llm._common import small_batches, stored
 from recordvol.llm.queries import tokenizer_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,6 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; what is rejected goes."""
+    small_batches(spark)
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
@@ -31,6 +33,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by similarity 0.8 or more of five-word shingles, that of the smallest doc_id."""
+    small_batches(spark)
     return simhash.deduplicate_similar(docs, words=5, least=0.8)
 
 
@@ -41,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, with their ids and places in sequences of 2048."""
+    small_batches(spark)
     return packing.pack_sequences(docs, tokenizer_file("word_bpe_49k.json"), "dropped", end_id=1)
 
 

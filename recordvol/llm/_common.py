@@ -14,6 +14,8 @@ HEAVY = 256
 MOST_BITS = 1 << 26
 #: Most bytes of text a Python task turns into Python objects at once.
 SLICE_BYTES = 4 << 20
+#: Most bytes of an Arrow batch (a row at least) where `small_batches` holds.
+BATCH_BYTES = 1 << 20
 
 
 _FOLDERS: dict[str, str] = {}
@@ -54,6 +56,14 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Python tasks get their rows in batches of about BATCH_BYTES.
+
+    By default a batch has 10,000 rows or 64 MB, and of long texts each task holds several copies of it, outside the heap and in Python.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> int:
     """Number of partitions for a shuffle this module lays out itself."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -132,8 +142,12 @@ def whole_row(columns: list[str]) -> Column:
 
 
 def slices(batch, column: int, most: int = SLICE_BYTES):
-    """Cut an Arrow batch so that a slice holds about `most` bytes of a string column (one row at least)."""
+    """Cut an Arrow batch so that a slice holds about `most` bytes of a string column (one row at least).
+
+    What Arrow keeps of a slice's memory goes back to the system before the next, as a Python worker outlives its tasks.
+    """
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -143,6 +157,7 @@ def slices(batch, column: int, most: int = SLICE_BYTES):
         before = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(at, to - at)
+        pa.default_memory_pool().release_unused()
         at = to
 
 

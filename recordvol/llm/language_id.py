@@ -49,7 +49,7 @@ LONGEST = 40
 #: Probability of a character no model has seen.
 UNSEEN = 1e-4
 #: Distinct words a Python worker keeps scores of, and words scored at once.
-MOST_WORDS, CHUNK = 250_000, 50_000
+MOST_WORDS, CHUNK = 250_000, 10_000
 #: Quantiles of own and other texts, deviations (in nats at least) own texts may be off, part of the gap to the others' texts.
 OWN, OTHER, DEVIATIONS, LEAST_OFF, GAP = 0.99, 0.01, 6, 0.3, 1 / 3
 #: Nats instead of the gap where no other language is learned; deviations of one character's cost in the margin.
