@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordvol.operators.universe import cleaned
@@ -137,22 +142,78 @@ _SCRATCH: dict[str, str] = {}
 
 def _write_csv(spark: SparkSession, sf_dir: str, timeframe: str) -> str:
     folder = f"{scratch(spark)}/bars-{uuid.uuid4().hex}"
-    last = F.substring("ticker", -1, 1).cast("int")
-    dates = F.when((last == 8) & F.lit(timeframe == "weekly"), "").otherwise(F.col("d").cast("string"))
-    # Stored, as each kind of file reads them; only the bars of its own tickers are shuffled.
-    uneven_bars(spark, sf_dir, timeframe).write.parquet(f"{folder}-rows")
-    rows = spark.read.schema(BARS).parquet(f"{folder}-rows").withColumn("d", dates).repartition(partitions(spark, sf_dir), "ticker")
-    names = {"d": "Date", "open": "Open", "high": "High", "low": "Low", "close": "Close", "volume": "Volume"}
-    bare = (last == 7) & F.lit(timeframe == "weekly")
-    first = rows.where(last % 2 == 0).select("ticker", *(F.col(c).alias(n) for c, n in names.items()))
-    other = rows.where((last % 2 == 1) & ~bare).select("ticker", F.lit("x").alias("Adj Close"), *(F.col(c).alias(c if c == "low" else names[c]) for c in ("volume", "close", "low", "high", "open")), F.concat("d", F.lit(" 00:00:00-05:00")).alias("Date"))
-    without = rows.where(bare).select("ticker", *(F.col(c).alias(n) for c, n in names.items() if c != "close"))
-    for part in (first, other, without) if timeframe == "weekly" else (first, other):
-        # Files are many: tasks move their own to their place, not the driver one after the other.
-        part.write.mode("append").partitionBy("ticker").option("header", True).option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(folder)
+    last, weekly = F.substring("ticker", -1, 1).cast("int"), F.lit(timeframe == "weekly")
+    cell = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in BARS.fieldNames()[2:]}
+    dates, stamped = F.when((last == 8) & weekly, '""').otherwise(cell["d"]), F.concat(cell["d"], F.lit(" 00:00:00-05:00"))
+    kinds = (
+        (last % 2 == 0, {"Date": dates, "Open": cell["open"], "High": cell["high"], "Low": cell["low"], "Close": cell["close"], "Volume": cell["volume"]}),
+        ((last == 7) & weekly, {"Date": dates, "Open": cell["open"], "High": cell["high"], "Low": cell["low"], "Volume": cell["volume"]}),
+        (last % 2 == 1, {"Adj Close": F.lit("x"), "Volume": cell["volume"], "Close": cell["close"], "low": cell["low"], "High": cell["high"], "Open": cell["open"], "Date": stamped}),
+    )
+    head, line = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for is_it, cells in reversed(kinds):
+        head, line = F.when(is_it, ",".join(cells)).otherwise(head), F.when(is_it, F.concat_ws(",", *cells.values())).otherwise(line)
+    # Bars lie where their tickers are: the tasks that compute them write their files.
+    rows = uneven_bars(spark, sf_dir, timeframe).select("ticker", "d", head.alias("head"), line.alias("line")).where("head is not null")
+    write_series(rows, folder)
     return folder
 
 
+#: Schemes of folders that tasks reach by a local path.
+LOCAL = ("file",)
+
+
+def write_series(rows: DataFrame, folder: str) -> None:
+    """A file per ticker of rows (ticker, d, head, line) that are laid out by ticker.
+
+    In a folder that is a local path to all executors, tasks write the files themselves and leave a table of tickers and rows as `{folder}-rows`:
+    Hadoop's local file system starts a process or two for each file that it makes (chmod), some 40 ms a file. Elsewhere Spark's writer makes a folder per ticker.
+    """
+    path = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    if files.getUri().getScheme() in LOCAL:
+        done = rows.sortWithinPartitions("ticker", "d").drop("d").mapInArrow(partial(_put, folder=path.toUri().getPath()), "ticker string, rows long")
+        done.write.parquet(f"{folder}-rows")
+        return
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("d")))
+    lines = rows.select("ticker", "d", F.posexplode(F.when(F.col("n") == 1, F.array("head", "line")).otherwise(F.array("line"))).alias("at", "line"))
+    lines = lines.sortWithinPartitions("ticker", "d", "at").select("ticker", "line")
+    lines.write.mode("append").partitionBy("ticker").options(sep="\u0001", quote="").csv(folder)
+
+
+def _put(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes rows (ticker, head, line), sorted by ticker, to `{ticker}.csv` in a folder of the task's own; gives tickers and numbers of rows.
+
+    A file gets its name when it is whole, so a task that runs again leaves the same files.
+    """
+    task = TaskContext.get()
+    place = f"{folder}/{task.partitionId()}"
+    os.makedirs(place, exist_ok=True)
+    ticker, out, rows, made = None, None, 0, []
+    part = f"{place}/.{task.taskAttemptId()}"
+
+    def close() -> None:
+        out.close()
+        os.replace(part, f"{place}/{ticker}.csv")
+        made.append((ticker, rows))
+
+    for batch in batches:
+        runs = pc.run_end_encode(batch.column(0))
+        lines, lo = batch.column(2).to_numpy(zero_copy_only=False), 0
+        for name, hi in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            if name != ticker:
+                if out:
+                    close()
+                ticker, out, rows = name, open(part, "w", encoding="utf-8", newline=""), 0
+                out.write(batch.column(1)[lo].as_py() + "\n")
+            out.write("\n".join(lines[lo:hi]) + "\n")
+            rows, lo = rows + hi - lo, hi
+    if out:
+        close()
+    yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())], names=["ticker", "rows"])
+
+
 def scratch(spark: SparkSession) -> str:
     """A folder that goes when the application ends, in the one spark.checkpoint.dir names; one of its own only in local mode."""
     me = spark.sparkContext.applicationId

@@ -35,9 +35,9 @@ def run(bars: DataFrame, selection: DataFrame, settings: Settings, as_of: str |
     return summary(valid_bars(chosen), screen_of(settings, as_of))
 
 
-def bars_of(spark: SparkSession, folders: Mapping[str, str], tickers: DataFrame | None = None) -> DataFrame:
+def bars_of(spark: SparkSession, folders: Mapping[str, str], tickers: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Bars of all timeframes (timeframe: folder of CSV files), each folder read once, as of `with_files`."""
-    return reduce(DataFrame.unionByName, (with_files(csv_rows(spark, folder, tickers), t) for t, folder in folders.items()))
+    return reduce(DataFrame.unionByName, (with_files(csv_rows(spark, folder, tickers), t, partitions) for t, folder in folders.items()))
 
 
 def write_reports(results: DataFrame, settings: Settings, folder: str, generated: str, stamp: str | None = None) -> None:

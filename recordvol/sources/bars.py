@@ -21,9 +21,13 @@ _COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def cells(line: Column) -> Column:
-    """The fields of a line of CSV, without quotes around them."""
-    found = F.when(F.contains(line, F.lit('"')), F.split(line, _COMMA)).otherwise(F.split(line, ","))
-    return F.transform(found, lambda x: F.trim(F.trim(x), F.lit('"')))
+    """The fields of a line of CSV."""
+    return F.when(F.contains(line, F.lit('"')), F.split(line, _COMMA)).otherwise(F.split(line, ","))
+
+
+def bare(cell: Column) -> Column:
+    """A field without quotes around it."""
+    return F.trim(F.trim(cell), F.lit('"'))
 
 
 def csv_rows(spark: SparkSession, folder: str, tickers: DataFrame | None = None) -> DataFrame:
@@ -46,30 +50,33 @@ def csv_rows(spark: SparkSession, folder: str, tickers: DataFrame | None = None)
     if tickers is not None:
         files = files.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
     lines = files.select("ticker", F.split("value", r"\r?\n").alias("lines"))
-    lines = lines.withColumn("names", F.transform(cells(F.col("lines")[0]), lambda x: F.lower(x)))
-    rows = lines.select("ticker", "names", F.posexplode("lines").alias("line", "text")).where("line = 0 or trim(text) <> ''")
+    # Where the columns are is found once a file; of each line only their fields are looked at.
+    lines = lines.withColumn("names", F.transform(cells(F.col("lines")[0]), lambda x: F.lower(bare(x))))
+    places = (F.nullif(F.array_position("names", c.lower()), F.lit(0)).cast("int").alias(f"at_{c}") for c in CSV.fieldNames())
+    lines = lines.select("ticker", "lines", F.array_contains("names", "close").alias("has_close"), *places)
+    # No list of lines is empty; the outer form only spares a filter that splits the text once more.
+    rows = lines.select("*", F.posexplode_outer("lines").alias("line", "text")).drop("lines").where("line = 0 or trim(text) <> ''")
     rows = rows.withColumn("cells", F.when(F.col("line") > 0, cells(F.col("text"))))
-    column = lambda c: F.get("cells", (F.array_position("names", c.lower()) - 1).cast("int")).alias(c)
-    return rows.select("ticker", "line", *(column(c) for c in CSV.fieldNames()), F.array_contains("names", "close").alias("has_close"))
+    return rows.select("ticker", "line", *(bare(F.get("cells", F.col(f"at_{c}") - 1)).alias(c) for c in CSV.fieldNames()), "has_close")
 
 
-def read_csv_bars(spark: SparkSession, folder: str, timeframe: str, tickers: DataFrame | None = None) -> DataFrame:
+def read_csv_bars(spark: SparkSession, folder: str, timeframe: str, tickers: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """All bars files of a folder as one table; tickers without a file are simply not there."""
-    return tidy(csv_rows(spark, folder, tickers), timeframe)
+    return tidy(csv_rows(spark, folder, tickers), timeframe, partitions)
 
 
-def tidy(raw: DataFrame, timeframe: str) -> DataFrame:
+def tidy(raw: DataFrame, timeframe: str, partitions: int | None = None) -> DataFrame:
     """Bars from text columns: the date before the first space, weekdays only, missing and NaN numbers null.
 
     Dates that cannot be parsed go with the missing ones (see `unreadable_dates`). Of several rows
     of one day the last in the file (by `line`) stays.
     """
-    return one_per_day(_typed(raw, timeframe).where(_dated())).select(*BARS.fieldNames())
+    return one_per_day(_typed(raw, timeframe).where(_dated()), partitions).select(*BARS.fieldNames())
 
 
-def with_files(raw: DataFrame, timeframe: str) -> DataFrame:
+def with_files(raw: DataFrame, timeframe: str, partitions: int | None = None) -> DataFrame:
     """The bars of `tidy` with has_close, whether their file has a Close column, and a row without a date for each file."""
-    return one_per_day(_typed(raw, timeframe).where(_dated() | (F.col("line") == 0))).select(*BARS.fieldNames(), "has_close")
+    return one_per_day(_typed(raw, timeframe).where(_dated() | (F.col("line") == 0)), partitions).select(*BARS.fieldNames(), "has_close")
 
 
 def _dated() -> Column:
@@ -85,7 +92,7 @@ def _typed(raw: DataFrame, timeframe: str) -> DataFrame:
 
 def bar_date(text: Column) -> Column:
     """The day in a date text, whatever time of day or offset follows it."""
-    return F.try_to_date(F.get(F.split(F.trim(text), " "), F.lit(0)))
+    return F.try_to_date(F.substring_index(F.trim(text), " ", 1))
 
 
 def number(text: Column) -> Column:
@@ -99,9 +106,12 @@ def unreadable_dates(raw: DataFrame) -> DataFrame:
     return raw.groupBy("ticker").agg(bad.alias("unreadable"))
 
 
-def one_per_day(bars: DataFrame) -> DataFrame:
-    """The last row of each day, by the row's place `line` in its file; bars are laid out by series once, for this and windows after it."""
-    bars = bars.repartition("ticker")
+def one_per_day(bars: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The last row of each day, by the row's place `line` in its file; bars are laid out by series once, for this and windows after it.
+
+    Where the number of bars is known, it should give the number of partitions; otherwise the session does.
+    """
+    bars = bars.repartition(partitions, "ticker") if partitions else bars.repartition("ticker")
     last = F.max_by(F.struct(*(c for c in bars.columns if c not in KEYS)), "line")
     return bars.groupBy(*KEYS, "d").agg(last.alias("row")).select(*KEYS, "row.*")
 
