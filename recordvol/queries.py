@@ -249,7 +249,7 @@ def latest_bar_filter_uneven(spark, sf_dir):
 
 @_query(f"WITH {UNEVEN_SQL} SELECT d, open, high, low, close, volume, ticker, timeframe FROM uneven WHERE timeframe = 'daily'")
 def csv_bars(spark, sf_dir):
-    return bars.read_csv_bars(spark, orders.csv_folder(spark, sf_dir, "daily"), "daily")
+    return bars.read_csv_bars(spark, orders.csv_folder(spark, sf_dir, "daily"), "daily", partitions=orders.partitions(spark, sf_dir))
 
 
 #: Of weekly files some have no Close column, some no date.

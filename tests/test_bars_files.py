@@ -54,3 +54,10 @@ def test_columns_are_found_once_a_file(spark):
     plan = screen.bars_of(spark, {"daily": orders.csv_folder(spark, SF, "daily")})._jdf.queryExecution().optimizedPlan().toString()
     # Below the lines' own rows, that is, not above the operator that makes a row of each line; lines are split once.
     assert "array_position" not in plan[: plan.index("Generate")] and plan.count(r"\r?\n") == 1
+
+
+def test_parts_of_csv_bars_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(orders, "LINES", 200)
+    many = orders.partitions(spark, SF)
+    plan = queries.queries()["csv_bars"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert many > 20 and plan.count("Exchange") == plan.count(f", {many}), REPARTITION_BY_NUM") == 1
