@@ -74,6 +74,11 @@ def partitions(spark: SparkSession, sf_dir: str) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-lines // LINES))
 
 
+def file_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions of bars read from files: fewer, as each of the scan's many small tasks has a block for each of them."""
+    return max(spark.sparkContext.defaultParallelism, -(-partitions(spark, sf_dir) // 5))
+
+
 def bars(spark: SparkSession, sf_dir: str, *timeframes: str) -> DataFrame:
     """Bars of the timeframes (all, if none is named), laid out for windows over series."""
     return derived(spark, sf_dir, *timeframes)

@@ -44,8 +44,8 @@ def test_the_same_rows_where_tasks_reach_no_local_folder(spark, tmp_path, monkey
 
 
 def test_parts_of_files_bars_grow_with_the_lines(spark, monkeypatch):
-    monkeypatch.setattr(orders, "LINES", 200)
-    many = orders.partitions(spark, SF)
+    monkeypatch.setattr(orders, "LINES", 50)
+    many = orders.file_parts(spark, SF)
     plan = queries.queries()["file_verdicts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert many > 20 and plan.count("Exchange") == plan.count(f"Exchange hashpartitioning(ticker") == plan.count(f", {many}), REPARTITION_BY_NUM") == 2
 
@@ -57,7 +57,7 @@ def test_columns_are_found_once_a_file(spark):
 
 
 def test_parts_of_csv_bars_grow_with_the_lines(spark, monkeypatch):
-    monkeypatch.setattr(orders, "LINES", 200)
-    many = orders.partitions(spark, SF)
+    monkeypatch.setattr(orders, "LINES", 50)
+    many = orders.file_parts(spark, SF)
     plan = queries.queries()["csv_bars"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert many > 20 and plan.count("Exchange") == plan.count(f", {many}), REPARTITION_BY_NUM") == 1
